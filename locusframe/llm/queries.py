@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontamination
 from ._common import table
 from .url_filter import verdict_sql, with_url_verdict
 
@@ -84,3 +85,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op3_decontamination", decontamination.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a 13-word window of a benchmark item."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
