@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontamination
 from ._common import table
@@ -91,3 +91,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a 13-word window of a benchmark item."""
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _part(column: str, parts: int):
+    """Remainder of the CRC-32 of an id's text; -1 for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts)), F.lit(-1))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled ones outside a hash fold."""
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(_part("doc_id", 5) != 0))
+    scored = toxicity.with_toxicity(docs, model)
+    return scored.select("doc_id", (_part("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op7_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside a hash fold."""
+    from . import language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.filter(_part("doc_id", 4) != 2))
+    found = language.with_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (_part("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
