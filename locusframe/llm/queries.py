@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination
+from . import decontamination, jaccard_join
 from ._common import table
 from .url_filter import verdict_sql, with_url_verdict
 
@@ -118,3 +118,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs.filter(_part("doc_id", 4) != 2))
     found = language.with_language(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (_part("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op8_jaccard_join", jaccard_join.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingles are 75 % alike."""
+    return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
