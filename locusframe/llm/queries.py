@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, jaccard_join
+from . import decontamination, jaccard_join, line_dedup
 from ._common import table
 from .url_filter import verdict_sql, with_url_verdict
 
@@ -124,3 +124,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingles are 75 % alike."""
     return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
+@query("op10_line_dedup", line_dedup.SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many repeat earlier ones, and a digest of what stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.without_repeated_lines(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"))
