@@ -55,10 +55,17 @@ def _recall_at(cut: float) -> Column:
     return F.coalesce(F.max(F.when(1 - F.col("precision") <= cut, F.col("recall"))), F.lit(0.0))
 
 
-AU_ROC = F.sum((F.col("fpr") - F.col("prev_fpr")) * (F.col("recall") + F.col("prev_recall")) / 2)
-#: Area by trapezoids whose curve begins at the first threshold's precision.
-AU_PRC = F.sum((F.col("recall") - F.col("prev_recall")) * (F.col("precision") + F.coalesce(F.col("prev_precision"), F.col("precision"))) / 2)
-AVERAGE_PRECISION = F.sum((F.col("recall") - F.col("prev_recall")) * F.col("precision"))
+def au_roc() -> Column:
+    return F.sum((F.col("fpr") - F.col("prev_fpr")) * (F.col("recall") + F.col("prev_recall")) / 2)
+
+
+def au_prc() -> Column:
+    """Area by trapezoids; the curve begins at the first threshold's precision."""
+    return F.sum((F.col("recall") - F.col("prev_recall")) * (F.col("precision") + F.coalesce(F.col("prev_precision"), F.col("precision"))) / 2)
+
+
+def average_precision() -> Column:
+    return F.sum((F.col("recall") - F.col("prev_recall")) * F.col("precision"))
 
 
 def _agg(df: DataFrame, keys: list[str] | None, *columns: Column) -> DataFrame:
@@ -66,7 +73,7 @@ def _agg(df: DataFrame, keys: list[str] | None, *columns: Column) -> DataFrame:
 
 
 def binary_metrics(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    return _agg(curves(df, keys), keys, AU_PRC.alias("auprc"), AU_ROC.alias("auroc"))
+    return _agg(curves(df, keys), keys, au_prc().alias("auprc"), au_roc().alias("auroc"))
 
 
 def recall_at_fdr(df: DataFrame, cuts: tuple[float, ...], keys: list[str] | None = None) -> DataFrame:
@@ -75,7 +82,7 @@ def recall_at_fdr(df: DataFrame, cuts: tuple[float, ...], keys: list[str] | None
 
 
 def tagged_metrics(df: DataFrame, tag: str, cuts: tuple[float, ...] = (0.5, 0.25, 0.1, 0.05), keys: list[str] | None = None) -> DataFrame:
-    values = [AVERAGE_PRECISION.alias(f"{tag}_ap"), AU_ROC.alias(f"{tag}_auroc"), *[_recall_at(c).alias(f"{tag}_recall_at_{round(100 * c)}_fdr") for c in cuts]]
+    values = [average_precision().alias(f"{tag}_ap"), au_roc().alias(f"{tag}_auroc"), *[_recall_at(c).alias(f"{tag}_recall_at_{round(100 * c)}_fdr") for c in cuts]]
     return _agg(curves(df, keys), keys, *values)
 
 
@@ -88,7 +95,7 @@ def classification_report(df: DataFrame, keys: list[str] | None = None, cuts: tu
     p, n = F.sum("pos"), F.sum(F.col("all") - F.col("pos"))
     tn = n - (pred - tp)
     return _agg(
-        c, keys, tp.alias("tp"), p.alias("p"), tn.alias("tn"), n.alias("n"), AU_ROC.alias("auroc"), AU_PRC.alias("auprc"), _ratio(2.0 * tp, pred + p).alias("f1"),
+        c, keys, tp.alias("tp"), p.alias("p"), tn.alias("tn"), n.alias("n"), au_roc().alias("auroc"), au_prc().alias("auprc"), _ratio(2.0 * tp, pred + p).alias("f1"),
         *[_recall_at(x).alias(f"recall_at_{round(100 * x)}_fdr") for x in cuts],
         (tp / (p + _GUARD)).alias("positive_accuracy"), (tn / (n + _GUARD)).alias("negative_accuracy"), ((tp / (p + _GUARD) + tn / (n + _GUARD)) / 2).alias("balanced_accuracy"),
     )
@@ -98,7 +105,7 @@ def bootstrap_metrics(df: DataFrame, folds: int = 10, id_col: str = "id") -> Dat
     """Average precision and auROC of each stratified fold: rows of a label are dealt out in order of id."""
     ids = df.select("label", F.col(id_col).alias("id"), "score")
     place = F.row_number().over(W.partitionBy("label").orderBy("id")) - 1
-    return _agg(curves(ids.withColumn("fold", place % folds), ["fold"]), ["fold"], AVERAGE_PRECISION.alias("ap"), AU_ROC.alias("auroc"))
+    return _agg(curves(ids.withColumn("fold", place % folds), ["fold"]), ["fold"], average_precision().alias("ap"), au_roc().alias("auroc"))
 
 
 def class_counts(df: DataFrame) -> DataFrame:

@@ -1,10 +1,19 @@
-"""Hold-outs, folds and seeded samples."""
+"""Hold-outs, folds and seeded samples.
+
+Choices are made by the first 32 bits of an MD5 of the key, which other engines have too.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def key_hash(*parts: Column) -> Column:
+    """0 to 2**32 - 1 from the parts joined by colons."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def holdout(df: DataFrame, cells: list, contigs: list | None = None) -> DataFrame:
     """split: train if neither cell type nor contig is held out, test if both are, else null.
 
@@ -27,7 +36,7 @@ def holdout_folds(df: DataFrame, n_cells: int = 1, n_contigs: int = 3, folds: in
     def some(kind: str, n: int) -> DataFrame:
         keys = df.select(F.col(kind).cast("string").alias("value")).distinct()
         dealt = keys.select("value", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
-        dealt = dealt.withColumn("h", F.xxhash64(F.concat_ws("/", F.lit(kind), "value", (F.col("fold") + seed).cast("string"))))
+        dealt = dealt.withColumn("h", key_hash(F.lit(kind), F.col("value"), F.col("fold") + seed))
         least = dealt.groupBy("fold").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "value"))), 1, n).alias("v"))
         return least.select("fold", F.lit(kind).alias("kind"), F.explode("v.value").alias("value"))
 
@@ -36,13 +45,12 @@ def holdout_folds(df: DataFrame, n_cells: int = 1, n_contigs: int = 3, folds: in
 
 def hash_fold(key: Column, k: int) -> Column:
     """A fold from 0 to k - 1 by a hash of the key; no row is left out."""
-    return F.pmod(F.crc32(key.cast("binary")), F.lit(k))
+    return F.pmod(key_hash(key), F.lit(k)).cast("int")
 
 
 def keep_by_hash(key: Column, rate: float, seed: int = 0) -> Column:
     """True for about rate of the keys; the same ones on each run."""
-    h = F.crc32(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
-    return h < int(rate * 2**32)
+    return key_hash(F.lit(seed), key) < int(rate * 2**32)
 
 
 def sample_negatives(df: DataFrame, rate: float, key: str, seed: int = 0) -> DataFrame:
