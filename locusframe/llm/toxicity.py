@@ -88,7 +88,9 @@ class Model:
 
     def features(self, column: pa.Array) -> np.ndarray:
         """For each text: windows that save enough, also as a share, and the most saved."""
-        saved, owner, texts = self.savings(column)
+        return self.features_of(*self.savings(column))
+
+    def features_of(self, saved: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
         hit = saved >= self.cut
         n = np.bincount(owner, minlength=texts)
         k = np.bincount(owner[hit], minlength=texts)
@@ -178,17 +180,15 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     held = pa.array([t for t, b in zip(texts, build, strict=True) if not b], pa.string())
     y = toxic[~build].astype(float)
     best = (np.inf, 1, np.array([0.0, 0.0, 0.0, -2.0]))
-    saved, owner, n = model.savings(held)
-    for cut in (1, 2, 3):
+    saved = model.savings(held)
+    for cut in (1, 2, 3) if len(y) else ():  # without labelled rows nothing is called toxic
         model.cut = cut
-        model.savings = lambda column: (saved, owner, n)
-        x = model.features(held)
+        x = model.features_of(*saved)
         w = _logistic(x, y)
         p = np.clip(1 / (1 + np.exp(-x @ w)), 1e-6, 1 - 1e-6)
-        loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()) if len(y) else 0.0
+        loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
         if loss < best[0]:
             best = (loss, cut, w)
-    del model.savings
     model.cut, model.weights = best[1:]
     return model
 
