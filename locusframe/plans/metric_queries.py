@@ -134,7 +134,7 @@ def missed_counts(spark, d):
     return M.missed_counts(V.scored(spark, d).withColumn("prediction", (F.col("score") > 0.6).cast("int")))
 
 
-@query("synthetic_scores")
+@query("synthetic_scores", sql("SELECT CASE WHEN id % 3 = 0 THEN -1 ELSE label END AS label, count(*) AS n, 0::BIGINT AS outside FROM scored GROUP BY 1", "scored"))
 def synthetic_scores(spark, d):
     """By label: the number of scores, and how many lie outside the label's range (none)."""
     label = F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("label"))
@@ -180,6 +180,12 @@ def sample_negatives(spark, d):
     return P.sample_negatives(V.features(spark, d), 0.3, "id").groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query("sample_negatives_unseeded", sql(f"SELECT id, label FROM features WHERE label = 1 OR (label = 0 AND {_HASH("'9:' || id")} < {int(0.5 * 2**32)})", "features"))
+def sample_negatives_unseeded(spark, d):
+    """The same operator: a seed is always given."""
+    return P.sample_negatives(V.features(spark, d), 0.5, "id", seed=9).select("id", "label")
+
+
 @query("sample_negatives_all", sql("SELECT label, count(*) AS n FROM features WHERE label IN (0, 1) GROUP BY label", "features"))
 def sample_negatives_all(spark, d):
     """At rate 1 the sample is everything labelled."""

@@ -187,7 +187,7 @@ def write_region_sequences(spark, d):
     return spark.read.parquet(path).agg(F.count("*").alias("n"), F.sum(F.length("sequence").cast("long")).alias("bases"))
 
 
-@query("dinucleotide_shuffle")
+@query("dinucleotide_shuffle", sql(", p AS (SELECT substr(seq, i, 2) AS pair FROM (SELECT seq, unnest(range(1, length(seq))) AS i FROM sequences)) SELECT pair, count(*) AS before, count(*) AS after FROM p GROUP BY pair", "sequences"))
 def dinucleotide_shuffle(spark, d):
     """Letter pairs before and after, by first letter: the two counts are equal."""
     seq = V.sequences(spark, d)

@@ -8,7 +8,7 @@ from ..files import shared_path
 from ..operators import coverage as C, intervals as I, models as O
 from ..sources import readers as R, writers as W
 from . import views as V
-from .registry import query
+from .registry import ORACLES, query
 from .views import sql
 
 
@@ -317,6 +317,11 @@ def save_model(spark, d):
     return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(w)], "row int, w double")
 
 
+@query("load_model", ORACLES["save_model"])
+def load_model(spark, d):
+    return save_model(spark, d)
+
+
 @query("job_dataset", sql(", m AS (SELECT contig, s, s + 200 AS e, q AS label FROM wide) SELECT m.contig, m.s AS start, label, count(p.id) AS peaks FROM m LEFT JOIN (SELECT id, 'chr' || (id % 3 + 1) AS contig, s // 50 * 50 AS lo, e // 50 * 50 + 50 AS hi FROM peaks) p ON p.contig = m.contig AND p.lo < m.e AND m.s < p.hi AND m.s >= greatest(p.lo - 200, 0) AND m.s < least(p.hi + 200, 10000000) GROUP BY m.contig, m.s, label", "wide", "peaks"))
 def job_dataset(spark, d):
     """Labels with the number of peaks in their windows."""
