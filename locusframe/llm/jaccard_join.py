@@ -27,9 +27,9 @@ from ._shingles import buffers, mix, shingle_sets
 BLOCK_SETS, BLOCK_SHINGLES, PIVOTS = 256, 1 << 19, 12
 #: A shingle is hot if a 256th of all texts hold it: at most 256 times the mean set size are.
 HOT_SHARE = 256
-_CHUNK_TEXTS, _CHUNK_SHINGLES = 8192, 4 << 20
-#: Counts of a shingle are told apart up to here.
-_MOST = 1 << 16
+_CHUNK_TEXTS, _CHUNK_SHINGLES = 8192, 3 << 20
+#: Shingles of one part of the count.
+PART_SHINGLES = 1_500_000
 _SEEN = 1 << 20
 
 
@@ -87,11 +87,53 @@ def _measure(k: int):
     return run
 
 
-def _postings(k: int, hot: np.ndarray):
-    """(key, other, hot): a shingle and a set that holds it; of hot shingles the set is the key, to spread them."""
+def _packed(shingle: np.ndarray, owner: np.ndarray) -> bytes:
+    """Sorted shingles as differences of as few bytes as they need, then their owners (below 2**16)."""
+    order = np.argsort(shingle)
+    shingle, owner = shingle[order], owner[order]
+    step = np.diff(shingle, prepend=shingle[:1])
+    width = max(1, (int(step.max()).bit_length() + 7) // 8)
+    planes = step.view(np.uint8).reshape(-1, 8)[:, :width]
+    return b"".join([np.array([len(shingle), width], np.int32).tobytes(), shingle[:1].tobytes(), planes.tobytes(), owner.astype(np.uint16).tobytes()])
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, width = np.frombuffer(data, np.int32, 2).tolist()
+    step = np.zeros((n, 8), np.uint8)
+    step[:, :width] = np.frombuffer(data, np.uint8, n * width, 16).reshape(n, width)
+    first = np.frombuffer(data, np.uint64, 1, 8)[0]
+    return np.cumsum(step.reshape(-1).view(np.uint64)) + first, np.frombuffer(data, np.uint16, n, 16 + n * width)
+
+
+def _postings(k: int, hot: np.ndarray, parts: int):
+    """(part, base, data): the shingles of one part that a run of texts holds, and which text of it does.
+
+    Part -1 holds what needs no counting: for each text its size, its signature and its hot
+    shingles, as (text, count, value) in three arrays.
+    """
+    hot = hot.view(np.uint64)
+    hot.sort()
 
     def run(batches):
+        from pyspark import TaskContext
+
         seen: set[int] = set()
+        base, texts, held = TaskContext.get().partitionId() << 40, 0, []
+
+        def flush():
+            shingle, owner = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            fixed = [np.concatenate([h[i] for h in held]) for i in (2, 3, 4)]
+            rows = [(-1 - (base >> 16) % parts, np.array([len(fixed[0])], np.int64).tobytes() + b"".join(x.astype(np.int64).tobytes() for x in fixed))]
+            part = (shingle % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+            shingle, owner, part = shingle[order], owner[order], part[order]
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+            for a, z in zip(starts, [*starts[1:], len(part)], strict=True):
+                rows.append((int(part[a]), _packed(shingle[a:z], owner[a:z])))
+            for at in range(0, len(rows), 64):
+                some = rows[at : at + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), pa.array([base] * len(some), pa.int64()), pa.array([r[1] for r in some], pa.binary())], names=["part", "base", "data"])
+
         for b in batches:
             for _, _, values, sizes, signatures in _sets(b.column(0), k):
                 new = np.zeros(len(sizes), bool)
@@ -101,61 +143,83 @@ def _postings(k: int, hot: np.ndarray):
                         seen.add(s)
                 if len(seen) > _SEEN:
                     seen.clear()
-                rows = np.repeat(new, sizes)
-                shingle, owner = values[rows], np.repeat(signatures[new], sizes[new])
-                if not len(shingle):
-                    continue
+                own = np.arange(texts, texts + int(new.sum()))
+                shingle, owner = values[np.repeat(new, sizes)].view(np.uint64), np.repeat(own, sizes[new])
                 at = np.minimum(np.searchsorted(hot, shingle), max(0, len(hot) - 1))
                 is_hot = hot[at] == shingle if len(hot) else np.zeros(len(shingle), bool)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.where(is_hot, owner, shingle)), pa.array(np.where(is_hot, shingle, owner)), pa.array(is_hot)], names=["key", "other", "hot"]
-                )
+                fixed = (np.concatenate([own, own, owner[is_hot]]), np.concatenate([np.full(len(own), -1), np.zeros(len(own), int), np.full(int(is_hot.sum()), 1 << 30)]), np.concatenate([sizes[new], signatures[new], shingle[is_hot].view(np.int64)]))
+                held.append((shingle[~is_hot], owner[~is_hot], *fixed))
+                texts += len(own)
+                if sum(len(h[0]) for h in held) > _CHUNK_SHINGLES or texts > (1 << 16) - 600:
+                    yield from flush()
+                    base, texts, held = base + (1 << 16), 0, []
+        if held:
+            yield from flush()
 
     return run
 
 
 def _shared(batches):
-    """From postings sorted by key: (sig, count, shingle) of shingles that several sets hold."""
-
-    def out(sig, count, shingle):
-        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(count.astype(np.int32)), pa.array(shingle)], names=["sig", "count", "shingle"])
-
-    rest_key, rest = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    large = None  # a shingle of which _MOST sets went out already
-
-    def groups(key, other, last):
-        nonlocal rest_key, rest, large
-        key, other = np.concatenate([rest_key, key]), np.concatenate([rest, other])
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1])
-        key, other = key[fresh], other[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        stop = len(key)
-        if not last and len(key) and len(key) - starts[-1] < _MOST:
-            stop = starts[-1]
-        rest_key, rest = key[stop:], other[stop:]
-        starts = starts[starts < stop]
-        if not stop:
-            return None
-        size = np.diff(np.append(starts, stop))
-        count = np.minimum(size, _MOST)
-        count[(key[starts] == large) if large is not None else np.zeros(len(starts), bool)] = _MOST
-        large = key[stop - 1] if count[-1] == _MOST else None
-        if not last and large is not None and stop == len(key):
-            pass  # later rows of it go out with the same count
-        keep = np.repeat(count > 1, size)
-        return other[:stop][keep], np.repeat(count, size)[keep], key[:stop][keep]
-
+    """From postings sorted by part: (ref, count, value) of shingles that several texts hold, and of all fixed values."""
+
+    def out(ref, count, value):
+        return pa.RecordBatch.from_arrays([pa.array(ref), pa.array(count.astype(np.int32)), pa.array(value)], names=["ref", "count", "value"])
+
+    def shared(held):
+        shingle, ref = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        order = np.argsort(shingle)
+        shingle, ref = shingle[order], ref[order]
+        starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        count = np.diff(np.append(starts, len(shingle)))
+        keep = np.repeat(count > 1, count)
+        ref, count, shingle = ref[keep], np.repeat(count, count)[keep], shingle[keep]
+        order = np.argsort(ref, kind="stable")  # equal references side by side take less room in the shuffle
+        return out(ref[order], count[order], shingle[order].view(np.int64))
+
+    name, held = None, []
     for b in batches:
-        key, other, hot = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if hot.any():
-            yield out(key[hot], np.full(int(hot.sum()), 1 << 30), other[hot])
-        found = groups(key[~hot], other[~hot], False)
-        if found is not None and len(found[0]):
-            yield out(*found)
-    found = groups(np.zeros(0, np.int64), np.zeros(0, np.int64), True)
-    if found is not None and len(found[0]):
-        yield out(*found)
+        for part, base, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            raw = data.as_py()
+            if part < 0:
+                n = int(np.frombuffer(raw, np.int64, 1)[0])
+                owner, count, value = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n)
+                yield out(base + owner, count, value)
+                continue
+            if part != name:
+                if held:
+                    yield shared(held)
+                name, held = part, []
+            shingle, owner = _unpacked(raw)
+            held.append((shingle, base + owner.astype(np.int64)))
+    if held:
+        yield shared(held)
+
+
+def _ordered(share: int):
+    """From rows sorted by ref: sig, n and the shared shingles of each text, rare first, if they are enough to link."""
+
+    def sets(ref, count, value):
+        first = np.flatnonzero(np.concatenate([[True], ref[1:] != ref[:-1]]))
+        size = np.diff(np.append(first, len(ref)))
+        order = np.lexsort((value, count, np.repeat(np.arange(len(size)), size)))
+        value = value[order]
+        n, sig = value[first], value[first + 1]
+        good = np.flatnonzero(size - 2 >= _needed(n, share))
+        lists = [value[first[i] + 2 : first[i] + size[i]] for i in good]
+        return pa.RecordBatch.from_arrays([pa.array(sig[good]), pa.array(n[good]), pa.array(lists, pa.list_(pa.int64()))], names=["sig", "n", "shingles"])
+
+    def run(batches):
+        rest = [np.zeros(0, np.int64)] * 3
+        for b in batches:
+            held = [np.concatenate([r, b.column(i).to_numpy()]) for i, r in enumerate(rest)]
+            stop = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if stop:
+                yield sets(*(h[:stop] for h in held))
+            rest = [h[stop:] for h in held]
+        if len(rest[0]):
+            yield sets(*rest)
+
+    return run
 
 
 # --- the trie --------------------------------------------------------------------------
@@ -327,7 +391,7 @@ def similarity_components(docs: DataFrame, share: int = 75, k: int = 5, id_col:
     reachable.  A text without words is linked with nothing and has its own id.  Null ids
     are kept and never are the smallest; repeated rows are linked copies, an empty table
     gives an empty result; other columns are not read.  Shingles are told apart by 64-bit
-    hashes.
+    hashes.  docs must give the same rows in the same order when read again, as a table does.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -339,13 +403,13 @@ def similarity_components(docs: DataFrame, share: int = 75, k: int = 5, id_col:
     hot = np.array(sorted(r[0] for r in frequent.select("sig").collect()), np.int64)  # bounded, see HOT_SHARE
     classes = texts.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.first("n").alias("n"))
 
-    postings = base.select("t").mapInArrow(_postings(k, hot), "key long, other long, hot boolean")
-    shared = postings.repartition("key").sortWithinPartitions("key", "other").mapInArrow(_shared, "sig long, count int, shingle long")
-    lists = shared.groupBy("sig").agg(F.collect_list(F.struct("count", "shingle")).alias("s"))
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_SHINGLES + 1)
+    postings = base.select("t").mapInArrow(_postings(k, hot, parts), "part int, base long, data binary")
+    shared = postings.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shared, "ref long, count int, value long")
+    sets = shared.repartition("ref").sortWithinPartitions("ref").mapInArrow(_ordered(share), "sig long, n long, shingles array<long>")
+    able = stored(sets.groupBy("sig").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
     need = F.ceil(F.col("n") * share / F.lit(100.0)).cast("int")
-    ordered = F.transform(F.array_sort(F.array_distinct("s")), lambda x: x["shingle"])
-    able = lists.join(classes.select("sig", "n"), "sig").filter(F.size("s") >= need)
-    able = stored(able.select("sig", "n", ordered.alias("shingles")).filter(F.size("shingles") >= need))
 
     first = able.select("sig", F.explode(F.slice("shingles", F.lit(1), F.size("shingles") - need + 1)).alias("key"))
     least = first.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).filter("a < z").select("key", "a")
