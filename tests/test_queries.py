@@ -21,7 +21,9 @@ def duck():
 
 
 def cell(x):
-    if x is None or x != x:
+    import pandas as pd
+
+    if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x):
         return "~"
     if isinstance(x, (list, tuple)) or hasattr(x, "__len__") and not isinstance(x, (str, bytes)):
         return str([cell(v) for v in x])
