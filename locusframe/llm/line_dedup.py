@@ -20,6 +20,10 @@ from ._common import bounded_batches, stored
 LEAST_BYTES = 20
 #: Lines of one key are compared in squares of so many.
 SQUARE = 256
+#: Rows of one key that a task holds before it lets the key pass.
+HELD = 1 << 20
+#: So many line hashes (8 bytes each) may go to every task.
+WANTED = 1 << 20
 _TABLES = np.random.default_rng(424242).integers(1, 2**63, (2, 256), dtype=np.uint64)
 _SEEN = 1 << 20
 
@@ -116,7 +120,7 @@ def _postings(edits: int):
 def _shared_keys(batches):
     """From postings sorted by key and line: the rows of keys that an own segment shares with another line."""
     key, line, own = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    names = ["key", "line", "own"]
+    names, going = ["key", "line", "own"], None
 
     def useful(key, line, own):
         if not len(key):
@@ -138,6 +142,12 @@ def _shared_keys(batches):
         fresh[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1]) | (own[1:] != own[:-1])
         key, line, own = key[fresh], line[fresh], own[fresh]
         stop = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if len(key) - stop > HELD:  # a key of very many lines goes on unseen; it is compared in squares
+            going = key[-1]
+        if going is not None and len(key) and (open_ := key == going).any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[open_]), pa.array(line[open_]), pa.array(own[open_])], names=names)
+            key, line, own = key[~open_], line[~open_], own[~open_]
+            stop = int(np.searchsorted(key, key[-1])) if len(key) else 0
         if (out := useful(key[:stop], line[:stop], own[:stop])) is not None:
             yield out
         key, line, own = key[stop:], line[stop:], own[stop:]
@@ -145,23 +155,34 @@ def _shared_keys(batches):
         yield out
 
 
-def _texts(batches):
-    """line, its bytes and the counts of 32 classes of bytes, once a task for each line."""
-    seen: set[int] = set()
-    for b in batches:
-        x = Lines(b.column(0))
-        line = x.hashed(x.start, x.end).view(np.int64)
-        ids, rows, counts = [], [], []
-        raw = x.data.tobytes()
-        for i in np.flatnonzero(x.length >= LEAST_BYTES).tolist():
-            if (h := int(line[i])) not in seen:
-                seen.add(h)
-                ids.append(h)
-                rows.append(raw[x.start[i] : x.end[i]])
-                counts.append(np.bincount(x.data[x.start[i] : x.end[i]] & 31, minlength=32).astype(np.uint8).tobytes())
-        if len(seen) > _SEEN:
-            seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary()), pa.array(counts, pa.binary())], names=["line", "bytes", "counts"])
+def _texts(wanted: np.ndarray | None):
+    """line, its bytes and the counts of 32 classes of bytes, of the wanted lines, once a task for each.
+
+    wanted is sorted; None takes all lines.
+    """
+
+    def run(batches):
+        seen: set[int] = set()
+        for b in batches:
+            x = Lines(b.column(0))
+            line = x.hashed(x.start, x.end).view(np.int64)
+            on = x.length >= LEAST_BYTES
+            if wanted is not None:
+                at = np.minimum(np.searchsorted(wanted, line), max(0, len(wanted) - 1))
+                on &= (wanted[at] == line) if len(wanted) else False
+            ids, rows, counts = [], [], []
+            raw = x.data.tobytes()
+            for i in np.flatnonzero(on).tolist():
+                if (h := int(line[i])) not in seen:
+                    seen.add(h)
+                    ids.append(h)
+                    rows.append(raw[x.start[i] : x.end[i]])
+                    counts.append(np.bincount(x.data[x.start[i] : x.end[i]] & 31, minlength=32).astype(np.uint8).tobytes())
+            if len(seen) > _SEEN:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary()), pa.array(counts, pa.binary())], names=["line", "bytes", "counts"])
+
+    return run
 
 
 def _square_pairs(edits: int):
@@ -264,7 +285,11 @@ def near_lines(texts: DataFrame, edits: int) -> DataFrame:
     found = texts.mapInArrow(_postings(edits), "key long, line long, own boolean")
     keys = stored(found.repartition("key").sortWithinPartitions("key", "line", "own").mapInArrow(_shared_keys, "key long, line long, own boolean"))
     wanted = keys.select("line").distinct()
-    known = texts.mapInArrow(_texts, "line long, bytes binary, counts binary").join(wanted, "line", "left_semi")
+    some = wanted.limit(WANTED + 1).toArrow().column(0).to_numpy()
+    few = np.sort(some) if len(some) <= WANTED else None  # sent to the tasks only if it is small; the join does without
+    known = texts.mapInArrow(_texts(few), "line long, bytes binary, counts binary")
+    if few is None:
+        known = known.join(wanted, "line", "left_semi")
     lines = stored(known.groupBy("line").agg(F.min("bytes").alias("bytes"), F.min("counts").alias("counts")))
     # keys of many lines are compared in squares: block i of the own segments with block j of the probes
     sizes = keys.groupBy("key").agg(F.ceil(F.sum(F.col("own").cast("long")) / SQUARE).cast("int").alias("rows"), F.ceil(F.sum((~F.col("own")).cast("long")) / SQUARE).cast("int").alias("cols"), F.ceil(F.count("*") / SQUARE).cast("int").alias("all"))
