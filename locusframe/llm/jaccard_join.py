@@ -415,13 +415,15 @@ def similarity_components(docs: DataFrame, share: int = 75, k: int = 5, id_col:
     least = first.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).filter("a < z").select("key", "a")
     maybe = components(first.join(least, "key").select("a", F.col("sig").alias("b")))
     member = maybe.unionByName(maybe.select(F.col("root").alias("node"), "root").distinct())
-    grouped = stored(able.join(member.withColumnRenamed("node", "sig"), "sig"))
-    sums = grouped.groupBy("root").agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("w"))
+    # who is compared with whom is settled without the sets, which are joined to it last
+    weights = able.select("sig", "n", F.size("shingles").alias("size"))
+    grouped = stored(weights.join(member.withColumnRenamed("node", "sig"), "sig"))
+    sums = grouped.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("w"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES))
     sums = sums.withColumn("blocks", blocks)
 
     # groups of several blocks: most sets link with one of a few pivots and need no comparing among themselves
-    large = grouped.join(sums.filter("blocks > 1"), "root")
+    large = grouped.join(sums.filter("blocks > 1"), "root").select("sig", "root", "m").join(able, "sig")
     picked = large.filter(F.pmod(F.xxhash64("sig"), F.ceil(F.col("m") / PIVOTS)) == 0)
     pivots = picked.groupBy("root").agg(F.collect_list(F.struct("sig", "n", "shingles")).alias("pivots"))
     met = stored(large.join(pivots, "root").select("sig", "n", "shingles", "pivots").mapInArrow(_meet_pivots(share), "a long, b long"))
@@ -443,7 +445,8 @@ def similarity_components(docs: DataFrame, share: int = 75, k: int = 5, id_col:
     with_core = F.transform(up_to(F.col("gc")), lambda i: name("c", i, F.col("at")))
     among = F.transform(up_to(F.col("gn")), lambda j: name("n", F.least(j, F.col("at")), F.greatest(j, F.col("at"))))
     of_core = F.transform(up_to(F.col("gn")), lambda j: name("c", F.col("at"), j))
-    parts = placed.select(F.explode(F.when(F.col("core"), of_core).otherwise(F.concat(with_core, among))).alias("part"), "sig", "n", "shingles", "core")
+    parts = placed.select(F.explode(F.when(F.col("core"), of_core).otherwise(F.concat(with_core, among))).alias("part"), "sig", "core")
+    parts = parts.join(able, "sig").select("part", "sig", "n", "shingles", "core")
     links = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_walk_blocks(share), "a long, b long")
 
     joined = components(met.unionByName(links))
