@@ -19,9 +19,23 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def pieces(seq: Column, size: int = 256, overlap=0) -> Column:
+    """The sequence cut every size letters, each piece reaching overlap letters into the next.
+
+    Looking up a letter costs as much as its place, so long sequences are cut before they are looked into.
+    """
+    overlap = F.lit(overlap) if isinstance(overlap, int) else overlap
+    return F.transform(steps(0, F.ceil(F.length(seq) / size).cast("int") - 1), lambda i: F.substring(seq, i * size + 1, overlap + size))
+
+
+def cuts_of(seq: Column, k: int) -> Column:
+    """All substrings of length k, in order."""
+    return F.flatten(F.transform(pieces(seq, overlap=k - 1), lambda p: F.transform(steps(1, F.length(p) - (k - 1)), lambda i: F.substring(p, i, F.lit(k)))))
+
+
 def bases(seq: Column) -> Column:
     """Array of single bases."""
-    return F.transform(steps(1, F.length(seq)), lambda i: F.substring(seq, i, F.lit(1)))
+    return cuts_of(seq, 1)
 
 
 def one_hot(seq: Column) -> Column:
@@ -83,7 +97,7 @@ def footprint(signal: Column) -> Column:
 
 def kmers(seq: Column, k: int) -> Column:
     """All substrings of length k that hold A, C, G and T only."""
-    return F.filter(F.transform(steps(1, F.length(seq) - (k - 1)), lambda i: F.substring(seq, i, F.lit(k))), lambda s: ~s.rlike("[^ACGT]"))
+    return F.filter(cuts_of(seq, k), lambda s: ~s.rlike("[^ACGT]"))
 
 
 def kmer_index(kmer: Column, k: int) -> Column:

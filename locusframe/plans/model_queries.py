@@ -33,36 +33,36 @@ def _four(df):
 
 
 @query("random_features", sql(_KERNEL, "sequences"))
-def random_features(spark, d):
+def random_features(spark, d, view=V.sequences):
     from ..functions.sequence import one_hot
 
-    seq = V.sequences(spark, d).filter("length(sequence) >= 3").withColumn("hot", one_hot(F.col("sequence")))
+    seq = view(spark, d).filter("length(sequence) >= 3").withColumn("hot", one_hot(F.col("sequence")))
     return _four(X.random_features(seq, "hot", _filters()))
 
 
 @query("featurize_sequence", sql(_KERNEL, "sequences"))
-def featurize_sequence(spark, d):
-    return _four(X.featurize_sequence(V.sequences(spark, d).filter("length(sequence) >= 3"), _filters()))
+def featurize_sequence(spark, d, view=V.sequences):
+    return _four(X.featurize_sequence(view(spark, d).filter("length(sequence) >= 3"), _filters()))
 
 
 def _stats(df):
-    """Number of values and, rounded, the length of each feature vector."""
-    return df.select("id", F.size("features").alias("size"), F.round(F.sqrt(dot(F.col("features"), F.col("features"))), 3).alias("norm"))
+    """Number of values and, rounded, the length of each window's feature vector."""
+    return df.select("id", "window", F.size("features").alias("size"), F.round(F.sqrt(dot(F.col("features"), F.col("features"))), 3).alias("norm"))
 
 
 def _windows(spark, d):
     signal = F.transform(F.sequence(F.lit(0), F.lit(399)), lambda i: F.when((i + F.col("id")) % 40 == 0, 1.0).otherwise(0.0))
-    return V.sequences(spark, d).withColumn("dnase", signal)
+    return V.sequence_windows(spark, d).withColumn("dnase", signal)
 
 
 @query("random_features_fast")
 def random_features_fast(spark, d):
-    return _stats(X.featurize_sequence_phase(V.sequences(spark, d), 64, 8))
+    return _stats(X.featurize_sequence_phase(V.sequence_windows(spark, d), 64, 8))
 
 
 @query("featurize_sequence_phase")
 def featurize_sequence_phase(spark, d):
-    return _stats(X.featurize_sequence_phase(V.sequences(spark, d), 32, 6, seed=1))
+    return _stats(X.featurize_sequence_phase(V.sequence_windows(spark, d), 32, 6, seed=1))
 
 
 @query("featurize_multiscale_signal")
@@ -199,7 +199,7 @@ def job_cv_signal_only(spark, d):
 
 @query("job_cv_kernel")
 def job_cv_kernel(spark, d):
-    return _cv(spark, d, X.featurize_sequence(V.sequences(spark, d), X.gaussian_filters(32, 32)).select("id", "features"))
+    return _cv(spark, d, X.featurize_sequence(V.sequence_windows(spark, d), X.gaussian_filters(32, 32)).select("id", "features"))
 
 
 @query("job_cv_onehot")
@@ -214,7 +214,7 @@ def job_cv_onehot(spark, d):
 def job_cv_ngrams(spark, d):
     from ..operators.sequences import ngram_features
 
-    places = ngram_features(V.sequences(spark, d), (3,), 32)
+    places = ngram_features(V.whole_sequences(spark, d), (3,), 32)
     dense = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.array_contains("places", i).cast("double"))
     return _cv(spark, d, places.select("id", dense.alias("features")))
 
@@ -231,7 +231,7 @@ def job_seq_benchmark(spark, d):
     from .source_queries import _sequence_file
     from ..sources.readers import scan_sequences
 
-    path = _sequence_file(spark, d, "EGR1_K562_AC.seq")
+    path = _sequence_file(spark, d, "EGR1_K562_AC.seq", view=V.whole_sequences)
     f = X.featurize_sequence(scan_sequences(spark, path), X.gaussian_filters(16, 32)).select("id", "label", "features")
     test = X.featurize_sequence(scan_sequences(spark, path, first=300), X.gaussian_filters(16, 32)).select("id", "label", "features")
     scored = O.logistic_predict(test, O.logistic_fit(f, 5, 0.1)).withColumn("score", F.round("score", 6))

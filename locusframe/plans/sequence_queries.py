@@ -14,35 +14,35 @@ _ADD = lambda a: F.aggregate(a, F.lit(0.0), lambda x, v: x + v)
 _MOMENT = lambda a: _ADD(F.transform(a, lambda v, i: v * (i + 1)))
 
 
-def _ready(spark, d, expr):
+def _ready(spark, d, expr, view=V.sequences):
     """id, sequence and v: an array expression, computed once a row."""
-    return V.sequences(spark, d).select("id", "sequence", S.once(expr).alias("v"))
+    return view(spark, d).select("id", "sequence", S.once(expr).alias("v"))
 
 
 _BASES = "b AS (SELECT id, i, substr(seq, i, 1) AS b FROM (SELECT id, seq, unnest(range(1, length(seq) + 1)) AS i FROM sequences))"
 
 
 @query("one_hot_sequence", sql(f", {_BASES} SELECT id, (max(i) * 4)::INT AS size, count(*) FILTER (b <> 'N')::DOUBLE AS ones, coalesce(sum(CASE b WHEN 'A' THEN 4 * i - 3 WHEN 'T' THEN 4 * i - 2 WHEN 'C' THEN 4 * i - 1 WHEN 'G' THEN 4 * i END), 0)::DOUBLE AS moment FROM b GROUP BY id", "sequences"))
-def one_hot_sequence(spark, d):
-    return _ready(spark, d, S.one_hot(F.col("sequence"))).filter("size(v) > 0").select("id", F.size("v").alias("size"), _ADD(F.col("v")).alias("ones"), _MOMENT(F.col("v")).alias("moment"))
+def one_hot_sequence(spark, d, view=V.sequences):
+    return _ready(spark, d, S.one_hot(F.col("sequence")), view).filter("size(v) > 0").select("id", F.size("v").alias("size"), _ADD(F.col("v")).alias("ones"), _MOMENT(F.col("v")).alias("moment"))
 
 
 @query("one_hot_decode", sql("SELECT id, seq AS sequence FROM sequences", "sequences"))
-def one_hot_decode(spark, d):
-    return _ready(spark, d, S.one_hot(F.col("sequence"))).select("id", S.one_hot_text(F.col("v")).alias("sequence"))
+def one_hot_decode(spark, d, view=V.sequences):
+    return _ready(spark, d, S.one_hot(F.col("sequence")), view).select("id", S.one_hot_text(F.col("v")).alias("sequence"))
 
 
 @query("one_hot_with_signal", sql(f", {_BASES} SELECT id, round(sum(CASE WHEN b = 'N' THEN 0 ELSE 1 + (i - 1) % 3 END), 6)::DOUBLE AS total FROM b GROUP BY id", "sequences"))
-def one_hot_with_signal(spark, d):
+def one_hot_with_signal(spark, d, view=V.sequences):
     signal = F.transform(S.bases(F.col("sequence")), lambda b, i: (i % 3).cast("double"))
-    ready = V.sequences(spark, d).select("id", "sequence", S.once(signal).alias("signal"))
+    ready = view(spark, d).select("id", "sequence", S.once(signal).alias("signal"))
     ready = ready.select("id", S.once(S.one_hot_signal(F.col("sequence"), F.col("signal"))).alias("v"))
     return ready.filter("size(v) > 0").select("id", _ADD(F.col("v")).alias("total"))
 
 
 @query("ngram_matrix", sql("SELECT id, greatest(length(seq) - 7, 0)::INT AS grams FROM sequences", "sequences"))
-def ngram_matrix(spark, d):
-    ready = _ready(spark, d, S.one_hot(F.col("sequence"))).select("id", S.once(S.ngrams(F.col("v"), 8)).alias("g"))
+def ngram_matrix(spark, d, view=V.sequences):
+    ready = _ready(spark, d, S.one_hot(F.col("sequence")), view).select("id", S.once(S.ngrams(F.col("v"), 8)).alias("g"))
     return ready.select("id", F.size("g").alias("grams"))
 
 
@@ -55,8 +55,8 @@ SELECT n.id, round(sqrt(coalesce(sum(k * k), 0)), 6)::DOUBLE AS norm FROM n LEFT
         "sequences",
     ),
 )
-def conv_norm(spark, d):
-    ready = _ready(spark, d, S.one_hot(F.col("sequence"))).filter("size(v) >= 12").select("id", S.once(S.ngrams(F.col("v"), 3)).alias("g"))
+def conv_norm(spark, d, view=V.sequences):
+    ready = _ready(spark, d, S.one_hot(F.col("sequence")), view).filter("size(v) >= 12").select("id", S.once(S.ngrams(F.col("v"), 3)).alias("g"))
     return ready.select("id", F.round(S.conv_norm(F.col("g")), 6).alias("norm"))
 
 
@@ -71,13 +71,13 @@ _KMERS = "k AS (SELECT id, substr(seq, i, 4) AS kmer FROM (SELECT id, seq, unnes
 
 
 @query("kmer_count", sql(f", {_KMERS} SELECT id, kmer, count(*) AS n FROM k GROUP BY ALL", "sequences"))
-def kmer_count(spark, d):
-    return Q.kmer_counts(V.sequences(spark, d), 4)
+def kmer_count(spark, d, view=V.sequences):
+    return Q.kmer_counts(view(spark, d), 4)
 
 
 @query("kmer_extract", sql(f", {_KMERS} SELECT kmer, count(DISTINCT id) AS sequences, count(*) AS n FROM k GROUP BY kmer", "sequences"))
-def kmer_extract(spark, d):
-    return Q.kmer_counts(V.sequences(spark, d), 4).groupBy("kmer").agg(F.count("*").alias("sequences"), F.sum("n").alias("n"))
+def kmer_extract(spark, d, view=V.sequences):
+    return Q.kmer_counts(view(spark, d), 4).groupBy("kmer").agg(F.count("*").alias("sequences"), F.sum("n").alias("n"))
 
 
 @query(
@@ -88,8 +88,8 @@ SELECT id, count(*) AS n FROM c WHERE greatest(a - 2, 0) + greatest(c - 1, 0) +
         "sequences",
     ),
 )
-def kmer_count_approx(spark, d):
-    return Q.kmer_count_near(V.sequences(spark, d), 4, 1, "AACT")
+def kmer_count_approx(spark, d, view=V.sequences):
+    return Q.kmer_count_near(view(spark, d), 4, 1, "AACT")
 
 
 @query(
@@ -101,8 +101,8 @@ SELECT id, count(*)::INT AS size, sum(place)::BIGINT AS places FROM g JOIN v USI
         "sequences",
     ),
 )
-def ngram_vocab_features(spark, d):
-    out = Q.ngram_features(V.sequences(spark, d))
+def ngram_vocab_features(spark, d, view=V.sequences):
+    out = Q.ngram_features(view(spark, d))
     return out.select("id", F.size("places").alias("size"), F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x).alias("places"))
 
 
@@ -137,11 +137,11 @@ h AS (SELECT id, i, motif_id, CASE WHEN contains(substr(seq, i, 3), 'N') THEN 0
 
 
 @query("pwm_score", sql(f", {_HITS} SELECT id, motif_id, round(sum(p), 6)::DOUBLE AS total FROM h GROUP BY ALL", "sequences"))
-def pwm_score(spark, d):
+def pwm_score(spark, d, view=V.sequences):
     motifs = Q.motif_arrays(Q.valid_pwms(_pwms(spark, d)))
-    seq = V.sequences(spark, d)
-    at = seq.select("id", "sequence", F.explode(S.steps(1, F.length("sequence") - 2)).alias("i")).crossJoin(F.broadcast(motifs))  # a few motifs
-    piece = F.substring("sequence", F.col("i"), F.lit(3))
+    seq = view(spark, d)
+    at = seq.select("id", F.explode(S.cuts_of(F.col("sequence"), 3)).alias("piece")).crossJoin(F.broadcast(motifs))  # a few motifs
+    piece = F.col("piece")
     p = F.when(piece.rlike("N"), 0.0).otherwise(Q.pwm_score(piece, F.col("probs")))
     return at.groupBy("id", "motif_id").agg(F.round(F.sum(p), 6).alias("total"))
 
@@ -150,9 +150,9 @@ def pwm_score(spark, d):
     "best_motif_center",
     sql(f", {_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(p, 12) DESC, i, motif_id) AS n FROM h) SELECT s.id, coalesce(i - 1 + 1, length(seq) // 2)::BIGINT AS center, round(coalesce(p, 0), 6)::DOUBLE AS prob FROM sequences s LEFT JOIN (SELECT * FROM r WHERE n = 1) r ON r.id = s.id", "sequences"),
 )
-def best_motif_center(spark, d):
+def best_motif_center(spark, d, view=V.sequences):
     motifs = Q.motif_arrays(Q.valid_pwms(_pwms(spark, d)))
-    return Q.best_motif_center(V.sequences(spark, d).withColumn("tf", F.lit("c1")), motifs).withColumn("prob", F.round("prob", 6))
+    return Q.best_motif_center(view(spark, d).withColumn("tf", F.lit("c1")), motifs).withColumn("prob", F.round("prob", 6))
 
 
 _REGION = ", rg AS (SELECT contig, length(seq) // 3 AS s, length(seq) // 3 + 150 AS e, seq FROM reference)"
@@ -188,10 +188,10 @@ def write_region_sequences(spark, d):
 
 
 @query("dinucleotide_shuffle", sql(", p AS (SELECT substr(seq, i, 2) AS pair FROM (SELECT seq, unnest(range(1, length(seq))) AS i FROM sequences)) SELECT pair, count(*) AS before, count(*) AS after FROM p GROUP BY pair", "sequences"))
-def dinucleotide_shuffle(spark, d):
+def dinucleotide_shuffle(spark, d, view=V.sequences):
     """Letter pairs before and after, by first letter: the two counts are equal."""
-    seq = V.sequences(spark, d)
-    pairs = lambda df, name: df.select(F.explode(S.steps(1, F.length("sequence") - 1)).alias("i"), "sequence").select(F.substring("sequence", F.col("i"), F.lit(2)).alias("pair")).groupBy("pair").agg(F.count("*").alias(name))
+    seq = view(spark, d)
+    pairs = lambda df, name: df.select(F.explode(S.cuts_of(F.col("sequence"), 2)).alias("pair")).groupBy("pair").agg(F.count("*").alias(name))
     return pairs(seq, "before").join(pairs(Q.dinucleotide_shuffle(seq), "after"), "pair", "full")
 
 

@@ -168,14 +168,14 @@ def scan_reads(spark, d):
 
 
 @query("scan_regions", sql("SELECT id::VARCHAR AS contig, 0 AS start, seq AS sequence FROM sequences WHERE length(seq) > 0", "sequences"))
-def scan_regions(spark, d):
-    rows = V.sequences(spark, d).filter("length(sequence) > 0").select(F.col("id").cast("string"), F.lit(0), F.length("sequence"), "sequence")
+def scan_regions(spark, d, view=V.sequences):
+    rows = view(spark, d).filter("length(sequence) > 0").select(F.col("id").cast("string"), F.lit(0), F.length("sequence"), "sequence")
     return R.scan_regions(spark, _tsv(rows, "regions.bed")).select("contig", "start", "sequence")
 
 
-def _windows(spark, d):
+def _windows(spark, d, view=V.sequences):
     """Labelled windows of the sequences with a signal of three numbers, a peak and an expression record."""
-    s = V.sequences(spark, d).withColumn("start", F.col("id") * 50)
+    s = view(spark, d).withColumn("start", F.col("id") * 50)
     peak = F.struct(F.lit("chr1").alias("contig"), F.col("start"), (F.col("start") + 9).alias("end"), F.lit(5).alias("score"), F.lit(1.5).alias("signalValue"), F.lit(-1.0).alias("pValue"), F.lit(-1.0).alias("qValue"), F.lit(-1.0).alias("peak"))
     return s.select(
         (F.col("id") % 2).cast("int").alias("label"), F.lit("EGR1").alias("tf"), F.lit("K562").alias("cell_type"), F.lit("chr1").alias("contig"), "start", (F.col("start") + 200).alias("end"), "sequence",
@@ -193,16 +193,16 @@ def _shown(df):
 
 
 @query("scan_windows", sql(_WIN, "sequences"))
-def scan_windows(spark, d):
+def scan_windows(spark, d, view=V.sequences):
     path = shared_path(spark, "windows")
-    W.write_windows(_windows(spark, d), path, text=True)
+    W.write_windows(_windows(spark, d, view), path, text=True)
     return _shown(R.scan_windows(spark, path))
 
 
 @query("write_windows", sql(_WIN, "sequences"))
-def write_windows(spark, d):
+def write_windows(spark, d, view=V.sequences):
     path = shared_path(spark, "windows")
-    W.write_windows(_windows(spark, d), path)
+    W.write_windows(_windows(spark, d, view), path)
     return _shown(spark.read.parquet(path))
 
 
@@ -231,8 +231,8 @@ def record_csv(spark, d):
     return text.select("id", "r.contig", "r.start", "r.end", F.round("r.signalValue", 6).alias("signal"))
 
 
-def _sequence_file(spark, d, name, sep="\t"):
-    rows = V.sequences(spark, d).select(F.lit("A").alias("FoldID"), F.lpad(F.col("id").cast("string"), 9, "0").alias("EventID"), F.col("sequence").alias("seq"), (F.col("id") % 2).alias("Bound"))
+def _sequence_file(spark, d, name, sep="\t", view=V.sequences):
+    rows = view(spark, d).select(F.lit("A").alias("FoldID"), F.lpad(F.col("id").cast("string"), 9, "0").alias("EventID"), F.col("sequence").alias("seq"), (F.col("id") % 2).alias("Bound"))
     return _tsv(rows.filter("length(seq) > 0"), name, header=True, sep=sep)
 
 
@@ -240,19 +240,19 @@ _SEQ = "SELECT 'EGR1' AS tf, 'K562' AS cell_type, lpad(id::VARCHAR, 9, '0') AS i
 
 
 @query("scan_seq_train", sql(_SEQ, "sequences"))
-def scan_seq_train(spark, d):
-    return R.scan_sequences(spark, _sequence_file(spark, d, "EGR1_K562_AC.seq"))
+def scan_seq_train(spark, d, view=V.sequences):
+    return R.scan_sequences(spark, _sequence_file(spark, d, "EGR1_K562_AC.seq", view=view))
 
 
 @query("scan_seq_test", sql(f"{_SEQ} ORDER BY lpad(id::VARCHAR, 9, '0') LIMIT 200", "sequences"))
-def scan_seq_test(spark, d):
-    return R.scan_sequences(spark, _sequence_file(spark, d, "EGR1_K562_B.seq"), first=200)
+def scan_seq_test(spark, d, view=V.sequences):
+    return R.scan_sequences(spark, _sequence_file(spark, d, "EGR1_K562_B.seq", view=view), first=200)
 
 
 @query("scan_seq_concord", sql(f"{_SEQ} UNION ALL {_SEQ}", "sequences"))
-def scan_seq_concord(spark, d):
-    train = R.scan_sequences(spark, _sequence_file(spark, d, "EGR1_K562_AC.seq", " "), " ")
-    return train.unionByName(R.scan_sequences(spark, _sequence_file(spark, d, "EGR1_K562_B.seq")))
+def scan_seq_concord(spark, d, view=V.sequences):
+    train = R.scan_sequences(spark, _sequence_file(spark, d, "EGR1_K562_AC.seq", " ", view=view), " ")
+    return train.unionByName(R.scan_sequences(spark, _sequence_file(spark, d, "EGR1_K562_B.seq", view=view)))
 
 
 @query("job_seq_counts", sql("SELECT 'AC' AS part, count(*) AS n FROM sequences WHERE length(seq) > 0 UNION ALL SELECT 'B', count(*) FROM sequences WHERE length(seq) > 0", "sequences"))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.sequence import pieces
+
 #: Fixed grid of the views: contigs are event types of 43,200 minutes (30 days).
 CONTIG_LENGTH, CHUNK = 43_200, 64
 
@@ -44,11 +46,26 @@ def windows(spark: SparkSession, d: str) -> DataFrame:
     return lengths(spark, d).select("contig", start.alias("start")).withColumn("end", F.col("start") + 200)
 
 
-def sequences(spark: SparkSession, d: str, letters: int = 200) -> DataFrame:
-    folded = F.translate(F.lower(F.substring("text", 1, letters)), "abcdefghijklmnopqrstuvwxyz", "ATCGATCGATCGATCGATCGATCGAT")
+def _folded(spark: SparkSession, d: str, text) -> DataFrame:
+    folded = F.translate(F.lower(text), "abcdefghijklmnopqrstuvwxyz", "ATCGATCGATCGATCGATCGATCGAT")
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace(folded, "[^ATCG]", "N").alias("sequence"))
 
 
+def sequences(spark: SparkSession, d: str, letters: int = 200) -> DataFrame:
+    """id and sequence: the first letters of each document only, as the SQL of this view has it."""
+    return _folded(spark, d, F.substring("text", 1, letters))
+
+
+def whole_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """id and sequence: folded letters of whole documents."""
+    return _folded(spark, d, F.col("text"))
+
+
+def sequence_windows(spark: SparkSession, d: str, letters: int = 200) -> DataFrame:
+    """id, window and sequence: whole documents in consecutive windows, the last of a document as long as what is left."""
+    return whole_sequences(spark, d).select("id", F.posexplode(pieces(F.col("sequence"), letters)).alias("window", "sequence"))
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
     score = F.round(F.col("n_chars") / (F.col("n_chars") + 1000.0), 6)
@@ -87,7 +104,7 @@ def expression(spark: SparkSession, d: str) -> DataFrame:
 
 def reference(spark: SparkSession, d: str) -> DataFrame:
     """contig and seq: folded letters of whole documents."""
-    return sequences(spark, d, 2_000_000).select(F.col("id").cast("string").alias("contig"), F.col("sequence").alias("seq"))
+    return whole_sequences(spark, d).select(F.col("id").cast("string").alias("contig"), F.col("sequence").alias("seq"))
 
 
 def wide_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +121,7 @@ CTE = {
     "peaks": f"""peaks AS (SELECT event_id AS id, event_type AS contig, {_MINUTE} AS s, {_MINUTE} + 1 + floor(value)::BIGINT AS e, 'c' || (user_id % 3) AS cell_type, value AS signal FROM events)""",
     "windows": "windows AS (SELECT contig, s, s + 200 AS e FROM (SELECT DISTINCT event_type AS contig FROM events), (SELECT unnest(range(0, 43001, 50)) AS s))",
     "sequences": """sequences AS (SELECT doc_id AS id, regexp_replace(translate(lower(substr(text, 1, 200)), 'abcdefghijklmnopqrstuvwxyz', 'ATCGATCGATCGATCGATCGATCGAT'), '[^ATCG]', 'N', 'g') AS seq FROM documents)""",
+    "whole_sequences": """sequences AS (SELECT doc_id AS id, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ATCGATCGATCGATCGATCGATCGAT'), '[^ATCG]', 'N', 'g') AS seq FROM documents)""",
     "reference": """reference AS (SELECT doc_id::VARCHAR AS contig, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ATCGATCGATCGATCGATCGATCGAT'), '[^ATCG]', 'N', 'g') AS seq FROM documents)""",
     "scored": "scored AS (SELECT doc_id AS id, quality AS label, toxic, round(n_chars / (n_chars + 1000.0::DOUBLE), 6) AS score FROM labels JOIN documents USING (doc_id))",
     "features": "features AS (SELECT vec_id AS id, (label = 0)::INT AS label, list_transform(embedding, lambda v: v::DOUBLE) AS features, 'chr' || (vec_id % 5 + 1) AS contig, 'c' || (vec_id % 3) AS cell_type FROM embeddings)",
