@@ -35,6 +35,12 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         more = min(int(counts[i] - taken[i]), (rest - KNAPSACK_WORDS // 2) // int(sizes[i])) if sizes[i] else 0
         taken[i] += max(0, more)
         rest -= max(0, more) * int(sizes[i])
+    if rest > KNAPSACK_WORDS:  # every size with documents left is over half the rest now, so one more fits at most
+        fits = np.flatnonzero((counts > taken) & (sizes <= rest) & (sizes > 0))
+        if len(fits):
+            best = fits[np.argmax(sizes[fits])]
+            taken[best] += 1
+            rest -= int(sizes[best])
     return taken + _knapsack(sizes, counts - taken, rest)
 
 

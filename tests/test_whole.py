@@ -1,10 +1,12 @@
 """Whole inputs: nothing after a prefix or outside a fixed range is left out."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from locusframe import catalog
 from locusframe.functions import sequence as S
+from locusframe.llm import mixing
 from locusframe.plans import views as V
 
 
@@ -36,3 +38,17 @@ def test_cuts_across_pieces(spark, n):
     text = "".join("ACGT"[i * i % 7 % 4] for i in range(n))
     got = spark.createDataFrame([(text,)], "s string").select(S.cuts_of(F.col("s"), 4).alias("c"), S.bases(F.col("s")).alias("b")).first()
     assert got.c == [text[i : i + 4] for i in range(n - 3)] and got.b == list(text)
+
+
+def test_mix_of_long_documents():
+    assert mixing.fit_counts(np.array([100_000, 101_000]), np.array([1, 1]), 130_000).tolist() == [0, 1]
+    rng = np.random.default_rng(3)
+    for low in (1, 20_000, 40_000, 65_000, 70_000):
+        for _ in range(20):
+            sizes = np.unique(rng.integers(low, 400_000, 6))
+            counts = rng.integers(1, 4, len(sizes))
+            budget = int((sizes * counts).sum() * rng.random())
+            taken = mixing.fit_counts(sizes, counts, budget)
+            miss = budget - int((sizes * taken).sum())
+            assert (taken >= 0).all() and (taken <= counts).all() and 0 <= miss
+            assert not (taken < counts).any() or miss < sizes[taken < counts].min()
