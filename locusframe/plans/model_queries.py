@@ -281,6 +281,37 @@ def job_dataset_test(spark, d):
     return V.windows(spark, d).filter("start < 2000").select("contig", "start", F.lit(UNLABELED).alias("label"), F.explode(F.array(F.lit("c0"), F.lit("c1"))).alias("cell_type"))
 
 
+_TF_WHOLE = """, r AS (SELECT w.contig, w.s, count(m.id) AS reads, count(*) FILTER (m.cell_type = 'c0') AS c0, count(*) FILTER (m.cell_type = 'c1') AS c1, count(*) FILTER (m.cell_type = 'c2') AS c2
+  FROM windows w LEFT JOIN reads m ON m.contig = w.contig AND m.s < w.e AND w.s < m.e AND m.s < m.e GROUP BY ALL),
+p AS (SELECT w.contig, w.s, count(*) AS n FROM windows w JOIN peaks m ON m.contig = w.contig AND m.s < w.e AND w.s < m.e AND m.s < m.e GROUP BY ALL)
+SELECT r.contig, r.s AS start, reads, c0, c1, c2, coalesce(n, 0) AS peaks FROM r LEFT JOIN p USING (contig, s)"""
+
+
+@query("job_dataset_tf_whole", sql(_TF_WHOLE, "reads", "peaks", "windows"))
+def job_dataset_tf_whole(spark, d):
+    """All windows of the grid with their reads, the reads of each cell type and their peaks, saved and read again."""
+    from ..files import materialised
+    from ..operators.intervals import overlap_join
+
+    w = V.windows(spark, d)
+    reads = overlap_join(w, V.reads(spark, d).select("contig", "start", "end", "id", "cell_type"), how="left").groupBy("contig", "start")
+    reads = reads.agg(F.count("r_id").alias("reads"), *[F.count_if(F.col("r_cell_type") == c).alias(c) for c in ("c0", "c1", "c2")])
+    peaks = overlap_join(w, V.peaks(spark, d).select("contig", "start", "end")).groupBy("contig", "start").agg(F.count("*").alias("peaks"))
+    return materialised(reads.join(peaks, ["contig", "start"], "left").withColumn("peaks", F.coalesce("peaks", F.lit(0).cast("long"))))
+
+
+@query("job_dataset_all_tf_whole", sql(_TF_WHOLE.replace("SELECT r.contig,", "SELECT unnest(['EGR1', 'ATF2']) AS tf, r.contig,"), "reads", "peaks", "windows"))
+def job_dataset_all_tf_whole(spark, d):
+    return job_dataset_tf_whole(spark, d).select(F.explode(F.array(F.lit("EGR1"), F.lit("ATF2"))).alias("tf"), "*")
+
+
+@query("job_dataset_test_whole", sql(" SELECT contig, s AS start, -10 AS label, c.cell_type FROM windows, (SELECT unnest(['c0', 'c1']) AS cell_type) c", "windows"))
+def job_dataset_test_whole(spark, d):
+    from ..functions.labels import UNLABELED
+
+    return V.windows(spark, d).select("contig", "start", F.lit(UNLABELED).alias("label"), F.explode(F.array(F.lit("c0"), F.lit("c1"))).alias("cell_type"))
+
+
 @query("job_score", ORACLES["classification_report"])
 def job_score(spark, d):
     """A submission checked against the truth and reported on."""

@@ -52,3 +52,14 @@ def test_mix_of_long_documents():
             miss = budget - int((sizes * taken).sum())
             assert (taken >= 0).all() and (taken <= counts).all() and 0 <= miss
             assert not (taken < counts).any() or miss < sizes[taken < counts].min()
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_datasets_have_all_windows(spark):
+    every = V.windows(spark, DATA).count()
+    out = catalog.QUERIES["job_dataset_tf_whole"](spark, DATA).cache()
+    assert out.count() == every == catalog.QUERIES["job_dataset_test_whole"](spark, DATA).count() / 2
+    late = out.filter("start >= 2000").agg(F.sum("reads").alias("reads"), F.sum(F.col("c0") + F.col("c1") + F.col("c2")).alias("by_type")).first()
+    assert late.reads == late.by_type > 0
