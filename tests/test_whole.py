@@ -63,3 +63,10 @@ def test_datasets_have_all_windows(spark):
     assert out.count() == every == catalog.QUERIES["job_dataset_test_whole"](spark, DATA).count() / 2
     late = out.filter("start >= 2000").agg(F.sum("reads").alias("reads"), F.sum(F.col("c0") + F.col("c1") + F.col("c2")).alias("by_type")).first()
     assert late.reads == late.by_type > 0
+
+
+def test_motifs_of_the_whole_table(spark, documents):
+    d = documents([" " * 5 + "acdbac", "a"])
+    spark.createDataFrame([(i, 900.0 + i * i % 37) for i in range(12 * 5 + 7)], "p_partkey long, p_retailprice double").write.parquet(f"{d}/part.parquet")
+    assert {r.motif_id for r in catalog.QUERIES["scan_pwms_whole"](spark, d).collect()} == {0, 1, 3, 4}
+    assert {(r.id, r.motif_id) for r in catalog.QUERIES["pwm_score_all"](spark, d).collect()} == {(0, m) for m in (0, 1, 3, 4)}
