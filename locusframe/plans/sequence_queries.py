@@ -92,6 +92,20 @@ def kmer_count_approx(spark, d, view=V.sequences):
     return Q.kmer_count_near(view(spark, d), 4, 1, "AACT")
 
 
+@query(
+    "kmer_counts_near",
+    sql(
+        f""", {_KMERS}, c AS (SELECT id, 4 - length(replace(kmer, 'A', '')) AS a, 4 - length(replace(kmer, 'C', '')) AS c, 4 - length(replace(kmer, 'G', '')) AS g, 4 - length(replace(kmer, 'T', '')) AS t, count(*) AS n FROM k GROUP BY ALL),
+q AS (SELECT a, c, g, 4 - a - c - g AS t FROM (SELECT unnest(range(0, 5)) AS a), (SELECT unnest(range(0, 5)) AS c), (SELECT unnest(range(0, 5)) AS g) WHERE a + c + g <= 4)
+SELECT id, q.a, q.c, q.g, q.t, sum(n)::BIGINT AS n FROM c JOIN q ON greatest(c.a - q.a, 0) + greatest(c.c - q.c, 0) + greatest(c.g - q.g, 0) + greatest(c.t - q.t, 0) <= 1 GROUP BY ALL""",
+        "whole_sequences",
+    ),
+)
+def kmer_counts_near(spark, d):
+    """The near 4-mers of all compositions, in whole documents."""
+    return Q.kmer_counts_near(V.whole_sequences(spark, d), 4, 1)
+
+
 @query(
     "ngram_vocab_features",
     sql(

@@ -1,5 +1,8 @@
 """Whole inputs: nothing after a prefix or outside a fixed range is left out."""
 
+import itertools
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +73,17 @@ def test_motifs_of_the_whole_table(spark, documents):
     spark.createDataFrame([(i, 900.0 + i * i % 37) for i in range(12 * 5 + 7)], "p_partkey long, p_retailprice double").write.parquet(f"{d}/part.parquet")
     assert {r.motif_id for r in catalog.QUERIES["scan_pwms_whole"](spark, d).collect()} == {0, 1, 3, 4}
     assert {(r.id, r.motif_id) for r in catalog.QUERIES["pwm_score_all"](spark, d).collect()} == {(0, m) for m in (0, 1, 3, 4)}
+
+
+def test_near_kmers_of_all_compositions(spark, documents):
+    text = "acdbbdca acddb" * 30
+    folded = text.translate(str.maketrans("abcd ", "ATCGN"))
+    kmers = [k for i in range(len(text) - 3) if "N" not in (k := folded[i : i + 4])]
+    want = {}
+    for a, c, g in itertools.product(range(5), repeat=3):
+        if a + c + g <= 4:
+            other = Counter(dict(zip("ACGT", (a, c, g, 4 - a - c - g), strict=True)))
+            if n := sum((Counter(k) - other).total() <= 1 for k in kmers):
+                want[a, c, g, 4 - a - c - g] = n
+    got = catalog.QUERIES["kmer_counts_near"](spark, documents([text])).collect()
+    assert {(r.a, r.c, r.g, r.t): r.n for r in got} == want
