@@ -103,6 +103,13 @@ def ridge_fit(spark, d):
     return one.agg(F.count("*").alias("n")).select(F.lit(round(1000 * float(w[0]), 4) if len(w) else 0.0).alias("w"))
 
 
+@query("ridge_fit_whole")
+def ridge_fit_whole(spark, d):
+    """The weights of all features together: place and w."""
+    w = O.ridge_fit(V.features(spark, d), 0.5)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "place int, w double")
+
+
 def _fit_and_score(spark, d, weights, predict):
     return predict(V.features(spark, d), weights).select("id", "label", F.round("score", 6).alias("score"))
 
@@ -206,7 +213,8 @@ def job_cv_kernel(spark, d):
 def job_cv_onehot(spark, d):
     from ..functions.sequence import one_hot
 
-    hot = V.sequences(spark, d).filter("length(sequence) = 200").select("id", F.slice(one_hot(F.col("sequence")), 1, 80).alias("features"))
+    # the last window of a document is padded with letters whose code is zeros
+    hot = V.sequence_windows(spark, d).select("id", one_hot(F.rpad("sequence", 200, "N")).alias("features"))
     return _cv(spark, d, hot)
 
 

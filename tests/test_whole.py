@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from locusframe import catalog
 from locusframe.functions import sequence as S
 from locusframe.llm import mixing
-from locusframe.plans import views as V
+from locusframe.plans import model_queries, views as V
 
 
 @pytest.fixture()
@@ -87,3 +87,20 @@ def test_near_kmers_of_all_compositions(spark, documents):
                 want[a, c, g, 4 - a - c - g] = n
     got = catalog.QUERIES["kmer_counts_near"](spark, documents([text])).collect()
     assert {(r.a, r.c, r.g, r.t): r.n for r in got} == want
+
+
+def test_ridge_of_all_features(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x, label = rng.normal(size=(150, 64)), rng.integers(0, 3, 150)
+    rows = [(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(x, label, strict=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["ridge_fit_whole"](spark, f"file://{tmp_path}").orderBy("place").toPandas()["w"]
+    assert np.allclose(got, np.linalg.solve(x.T @ x + 0.5 * np.eye(64), x.T @ (label == 0)))
+
+
+def test_onehot_job_uses_every_window(spark, documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(model_queries, "_cv", lambda spark, d, features: seen.append(features))
+    catalog.QUERIES["job_cv_onehot"](spark, documents(["ac" * 225, "acgt"]))
+    rows = seen[0].select("id", F.size("features").alias("size"), F.aggregate("features", F.lit(0.0), lambda a, v: a + v).alias("ones")).collect()
+    assert sorted(map(tuple, rows)) == [(0, 800, 50.0), (0, 800, 200.0), (0, 800, 200.0), (1, 800, 4.0)]
