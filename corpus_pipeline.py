@@ -6,7 +6,7 @@ read again as the next stage's docs.  All but the last return the columns of doc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from locusframe.llm import decontamination, jaccard_join, line_dedup, mixing, toxicity
 from locusframe.llm._common import stored, table
@@ -27,15 +27,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    groups = jaccard_join.similarity_components(docs)
-    return docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies, that with the smallest id (null ids last); of rows equal in id and text
+    one is kept.  Texts without words are in no group and all stay."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    groups = stored(jaccard_join.similarity_components(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), "n_shingles", "component_id").distinct())
+    named = groups.filter("n_shingles > 0").join(keyed.select("__key", "doc_id").distinct(), "__key")
+    least = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("m")).select("m.__key", F.lit(True).alias("__one"))
+    kept = least.unionByName(groups.filter("n_shingles = 0").select("__key", F.lit(False).alias("__one")))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    place = F.row_number().over(W.partitionBy("__key").orderBy("__key", *others))
+    return keyed.join(kept, "__key").withColumn("__place", place).filter("__place = 1 or not __one").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not hold too much of the benchmark."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text does not hold too much of the benchmark, whatever their id."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = decontamination.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="__key")
+    return keyed.join(found.filter("contaminated").select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
