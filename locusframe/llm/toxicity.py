@@ -22,14 +22,16 @@ from ._shingles import buffers
 #: Bytes of text from which the words of one window start.
 WINDOW = 64
 #: The model is fitted on at most so many rows of each class, and so many characters of each.
-FIT_ROWS, FIT_CHARS = {1: 2500, 0: 7500}, 10_000
+FIT_ROWS, FIT_CHARS = {1: 2000, 0: 5000}, 10_000
 #: Bytes of the dictionary of either class, and of the segments that the toxic one is made of.
 ORDINARY_BYTES, TOXIC_BYTES, SEGMENT = 32_768, 8192, 16
+#: The ordinary dictionary is trained on about so many bytes of the ordinary rows.
+TRAIN_BYTES = 4 << 20
 #: Folds of the calibration.
 FOLDS = 4
 #: Beginnings of words, in bytes, that are compared between the classes; hash bits that tell them apart; occurrences
 #: that count in one text; how many times as frequent, and with how much evidence, they must be in toxic text.
-LEAST, LONGEST, KEY_BITS, REPEATS, RATIO, EVIDENCE = 4, 12, 22, 4, 3.0, 10.0
+LEAST, LONGEST, KEY_BITS, REPEATS, RATIO, EVIDENCE = 4, 10, 21, 4, 3.0, 10.0
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: What the bytes of a word are mixed with, by place; later places are alike.
@@ -133,26 +135,25 @@ class _Words:
 
     def __init__(self, texts: list[bytes]):
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        space = _SPACE[data]
-        word = ~space
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
+        self.space = _SPACE[data]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], self.space]).astype(np.int8))).astype(np.int32)
         self.start, self.end = edge[::2], edge[1::2]
         begun = np.zeros(len(data), bool)
         begun[self.start] = True
-        self.raw = _placed(data, begun, space)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        self.owner = np.searchsorted(ends, self.start, side="right")
+        self.raw = np.frombuffer(_placed(data, begun, self.space), np.uint8)
+        self.ends = np.cumsum([len(t) + 1 for t in texts])
+        self.owner = np.searchsorted(self.ends, self.start, side="right").astype(np.int32)
         self.length = np.bincount(self.owner, minlength=len(texts))
         h = np.full(len(self.start), 0x9E3779B97F4A7C15, np.uint64)
-        self.begun: list[tuple[np.ndarray, ...]] = []  # for each length: words, their keys; texts, keys and counts
+        self.begun: list[tuple[np.ndarray, ...]] = []  # for each length: keys of the words; texts, keys and counts
         for n in range(LONGEST):
             live = np.flatnonzero(self.start + n < self.end)
             h[live] = (h[live] ^ data[self.start[live] + n]) * np.uint64(0xD6E8FEB86659FD93)
             h[live] ^= h[live] >> np.uint64(32)
             if n + 1 >= LEAST:
-                key = (h[live] >> np.uint64(64 - KEY_BITS)).astype(np.int64)
-                pair, times = np.unique(self.owner[live] << KEY_BITS | key, return_counts=True)
-                self.begun.append((live, key, pair >> KEY_BITS, pair & (1 << KEY_BITS) - 1, np.minimum(times, REPEATS).astype(float)))
+                key = (h[live] >> np.uint64(64 - KEY_BITS)).astype(np.int32)
+                pair, times = np.unique(self.owner[live].astype(np.int64) << KEY_BITS | key, return_counts=True)
+                self.begun.append((key, (pair >> KEY_BITS).astype(np.int32), (pair & (1 << KEY_BITS) - 1).astype(np.int32), np.minimum(times, REPEATS).astype(np.uint8)))
 
     def toxic(self, y: np.ndarray, used: np.ndarray) -> np.ndarray:
         """For each word the length of its beginning that is most over-represented in toxic ones of the used texts, or 0.
@@ -165,10 +166,11 @@ class _Words:
         if not min(words):
             return out
         p = words[1] / sum(words)
-        for n, (live, key, doc, pair, times) in enumerate(self.begun, LEAST):
+        for n, (key, doc, pair, times) in enumerate(self.begun, LEAST):
+            live = np.flatnonzero(self.start + (n - 1) < self.end)
             count = lambda w: np.bincount(pair, w, 1 << KEY_BITS)  # noqa: E731, B023
             toxic, any_ = (used & (y == 1))[doc], used[doc]
-            k1, k, square = count(times * toxic), count(times * any_), count(times * times * any_)
+            k1, k, square = count(times * toxic), count(times * any_), count(times.astype(float) ** 2 * any_)
             seen = np.flatnonzero((count(toxic) >= 3) & (k1 * (1 - p) >= RATIO * p * np.maximum(k - k1, 0.5)))
             a, b = k1[seen], (k - k1)[seen]
             ratio = a * np.log(a / ((a + b) * p)) + b * np.log(np.maximum(b, 1e-9) / ((a + b) * (1 - p)))
@@ -179,19 +181,33 @@ class _Words:
             out[live[more]], best[live[more]] = n, of[more]
         return out
 
-    def joined(self, chosen: np.ndarray, length: np.ndarray | None = None) -> list[bytes]:
-        """For each text its chosen words, or so many of their bytes, each with a space before it.
+    def spoken(self, chosen: np.ndarray, length: np.ndarray) -> list[bytes]:
+        """For each text so many bytes of its chosen words, each with a space before it.
 
-        Between parts of words lie bytes that no text has, so that no window matches across them.
+        Between them lie bytes that no text has, so that no window matches across them.
         """
-        at = np.flatnonzero(chosen)
-        end = self.end[at] if length is None else self.start[at] + length[at]
         parts: dict[int, list[bytes]] = {}
-        for o, s, e in zip(self.owner[at].tolist(), self.start[at].tolist(), end.tolist(), strict=True):
-            parts.setdefault(o, []).append(self.raw[s:e])
-        between = b" " if length is None else b"\0\0\0\0 "
+        for i in np.flatnonzero(chosen).tolist():
+            parts.setdefault(self.owner[i], []).append(self.raw[self.start[i] : self.start[i] + length[i]].tobytes())
+        between = b"\0\0\0\0 "
         return [between + between.join(w) for w in parts.values()]
 
+    def plain(self, texts: np.ndarray, without: np.ndarray) -> list[bytes]:
+        """Pieces of the chosen texts without some words, at most TRAIN_BYTES in all."""
+        out, size = [], 0
+        drop = np.zeros(len(self.raw) + 1, np.int8)
+        np.add.at(drop, self.start[without], 1)
+        np.add.at(drop, self.end[without], -1)
+        keep = np.cumsum(drop[:-1]) == 0
+        for i in np.flatnonzero(texts).tolist():
+            if size > TRAIN_BYTES:
+                break
+            a, z = (int(self.ends[i - 1]) if i else 0), int(self.ends[i])
+            text = self.raw[a:z][keep[a:z]].tobytes()
+            out += [text[j : j + 4 * WINDOW] for j in range(0, len(text), 4 * WINDOW)]
+            size += len(text)
+        return out
+
 
 def _without_copies(texts: list[bytes]) -> np.ndarray:
     """Marks the texts to keep so that copies and near copies of one text do not pose as evidence.
@@ -220,10 +236,8 @@ def dictionaries(words: _Words, y: np.ndarray, used: np.ndarray) -> tuple[bytes,
     in them, trains the toxic dictionary, the other words of ordinary texts the ordinary one.
     """
     length = words.toxic(y, used)
-    of = lambda c: (used & (y == c))[words.owner]
-    spoken = words.joined((length > 0) & of(1), length)
-    plain = words.joined((length == 0) & of(0))
-    base = _trained(ORDINARY_BYTES, [t[i : i + 4 * WINDOW] for t in plain for i in range(0, len(t), 4 * WINDOW)], 4 * SEGMENT)
+    spoken = words.spoken((length > 0) & (used & (y == 1))[words.owner], length)
+    base = _trained(ORDINARY_BYTES, words.plain(used & (y == 0), length > 0), 4 * SEGMENT)
     extra = _trained(min(TOXIC_BYTES, max(512, sum(map(len, spoken)))), spoken, SEGMENT) if spoken else b""
     # both hold the ordinary part at equal distance, so lengths differ by what the toxic training set adds
     pad = b"\n" * 8
@@ -245,8 +259,9 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         return model
     saved = []
     for f in range(FOLDS):
-        held = pa.array([t.decode() for t, k in zip(low, fold == f, strict=True) if k], pa.string())
-        saved.append(Model(*dictionaries(words, y, fold != f), 1, model.weights).savings(held))
+        other, held = Model(*dictionaries(words, y, fold != f), 1, model.weights), np.flatnonzero(fold == f)
+        for some in np.array_split(held, len(held) // 256 + 1):
+            saved.append(other.savings(pa.array([low[i].decode() for i in some.tolist()], pa.string())))
     target = np.concatenate([y[fold == f] for f in range(FOLDS)]).astype(float)
     # half way between the rows as they are and classes of equal weight: a missed toxic text costs more than a false alarm
     weight = np.where(target == 1, np.sqrt((target == 0).sum() / (target == 1).sum()), 1.0)
