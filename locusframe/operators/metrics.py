@@ -1,8 +1,8 @@
 """Classification metrics by cumulative windows; equal scores are one threshold.
 
 Rows are first summed by score, so a window runs over distinct scores.  To keep even those
-out of one task, scores are cut into ranges: each range is cumulated on its own and the
-sums of the ranges above are added.
+out of one task, scores are cut into ranges of about equally many: each range is cumulated on its own
+and the sums of the ranges above are added.
 """
 
 from __future__ import annotations
@@ -10,6 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 RANGES = 64
+
+
+def in_ranges(df: DataFrame, column: str) -> DataFrame:
+    """Add part: which of RANGES ranges of about equally many rows a value lies in."""
+    cuts = df.agg(F.percentile_approx(column, [i / RANGES for i in range(1, RANGES)], 1000).alias("__cuts"))
+    return df.crossJoin(F.broadcast(cuts)).withColumn("part", F.size(F.filter("__cuts", lambda c: c < F.col(column)))).drop("__cuts")  # one row
 #: Keeps shares of empty classes finite.
 _GUARD = 1e-6
 
@@ -18,9 +24,7 @@ def thresholds(df: DataFrame, keys: list[str] | None = None, label: str = "label
     """keys, score, tp and fp (at or above the score), p and n (of the whole key)."""
     keys = keys or []
     per = df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.count("*").alias("all"))
-    bounds = df.agg(F.min(score).alias("low"), F.max(score).alias("high"))
-    part = F.least(F.floor((F.col("score") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * RANGES), F.lit(RANGES - 1)).cast("int")
-    per = per.crossJoin(F.broadcast(bounds)).withColumn("part", part).drop("low", "high")  # one row
+    per = in_ranges(per, "score")
     sums = per.groupBy(*keys, "part").agg(F.sum("pos").alias("part_pos"), F.sum("all").alias("part_all"))
     above = W.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
@@ -101,11 +105,22 @@ def classification_report(df: DataFrame, keys: list[str] | None = None, cuts: tu
     )
 
 
+def ids_dealt(df: DataFrame, folds: int) -> DataFrame:
+    """Add fold: the place of a row among those of its label in order of id, modulo folds.
+
+    Places are counted within ranges of ids, to which the rows of the ranges before are added.
+    """
+    df = in_ranges(df, "id")
+    before = F.coalesce(F.sum("n").over(W.partitionBy("label").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = df.groupBy("label", "part").agg(F.count("*").alias("n")).select("label", "part", before.alias("before"))
+    place = F.row_number().over(W.partitionBy("label", "part").orderBy("id")) - 1 + F.col("before")
+    return df.join(F.broadcast(start), ["label", "part"]).withColumn("fold", place % folds).drop("part", "before")  # labels by ranges
+
+
 def bootstrap_metrics(df: DataFrame, folds: int = 10, id_col: str = "id") -> DataFrame:
     """Average precision and auROC of each stratified fold: rows of a label are dealt out in order of id."""
     ids = df.select("label", F.col(id_col).alias("id"), "score")
-    place = F.row_number().over(W.partitionBy("label").orderBy("id")) - 1
-    return _agg(curves(ids.withColumn("fold", place % folds), ["fold"]), ["fold"], average_precision().alias("ap"), au_roc().alias("auroc"))
+    return _agg(curves(ids_dealt(ids, folds), ["fold"]), ["fold"], average_precision().alias("ap"), au_roc().alias("auroc"))
 
 
 def class_counts(df: DataFrame) -> DataFrame:

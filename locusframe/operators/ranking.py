@@ -38,7 +38,8 @@ def global_ranking(df: DataFrame, metrics: list[str]) -> DataFrame:
     boards = df.select(*board).distinct().groupBy("bootstrap").agg(F.count("*").alias("boards"))
     # an absent user's 0.5 is added for each board of the bootstrap that the user has no score on
     have = scores.groupBy("user", "bootstrap").agg(F.sum("s").alias("s"), F.count("*").alias("k"))
-    every = df.select("user").distinct().join(boards)  # users by bootstraps: the size of the result
+    listed = boards.agg(F.collect_list(F.struct("bootstrap", "boards")).alias("b"))  # one row, as long as there are bootstraps
+    every = df.select("user").distinct().crossJoin(F.broadcast(listed)).select("user", F.explode("b").alias("b")).select("user", "b.*")
     total = every.join(have, ["user", "bootstrap"], "left").select("user", "bootstrap", F.round(F.coalesce("s", F.lit(0.0)) + 0.5 * (F.col("boards") - F.coalesce("k", F.lit(0))), 9).alias("total"))
     placed = total.withColumn("rank", average_rank(F.col("total"), ["bootstrap"], descending=False))
     second = F.element_at(F.sort_array(F.collect_list("rank")), F.least(F.lit(2), F.count(F.lit(1)).cast("int")))

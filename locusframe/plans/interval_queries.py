@@ -75,16 +75,16 @@ def motif_hit_join(spark, d):
     return out.select("contig", F.col("start").alias("win_start"), F.coalesce(F.size("values"), F.lit(0)).cast("long").alias("hits"), ids.alias("ids"))
 
 
-@query("overlap_join_inner", sql("SELECT p.id, r.id AS r_id FROM peaks p JOIN reads r ON p.contig = r.contig AND p.cell_type = r.cell_type AND p.s < r.e AND r.s < p.e WHERE p.signal > 100", "peaks", "reads"))
+@query("overlap_join_inner", sql("SELECT p.id, r.id AS r_id FROM peaks p JOIN reads r ON p.contig = r.contig AND p.cell_type = r.cell_type AND p.s < r.e AND r.s < p.e AND p.s < p.e AND r.s < r.e", "peaks", "reads"))
 def overlap_join_inner(spark, d):
     reads = V.reads(spark, d).select("id", "contig", "cell_type", "start", "end")
-    return I.overlap_join(V.peaks(spark, d).filter("signal > 100"), reads, ["cell_type"]).select("id", "r_id")
+    return I.overlap_join(V.peaks(spark, d), reads, ["cell_type"]).select("id", "r_id")
 
 
-@query("overlap_join_left", sql("SELECT p.id, r.id AS r_id FROM peaks p LEFT JOIN (SELECT * FROM reads WHERE strand = '-' AND file = 'f3') r ON p.contig = r.contig AND p.cell_type = r.cell_type AND p.s < r.e AND r.s < p.e WHERE p.signal > 100", "peaks", "reads"))
+@query("overlap_join_left", sql("SELECT p.id, r.id AS r_id FROM peaks p LEFT JOIN reads r ON p.contig = r.contig AND p.cell_type = r.cell_type AND p.s < r.e AND r.s < p.e AND p.s < p.e AND r.s < r.e", "peaks", "reads"))
 def overlap_join_left(spark, d):
-    reads = V.reads(spark, d).filter("strand = '-' and file = 'f3'").select("id", "contig", "cell_type", "start", "end")
-    return I.overlap_join(V.peaks(spark, d).filter("signal > 100"), reads, ["cell_type"], "left").select("id", "r_id")
+    reads = V.reads(spark, d).select("id", "contig", "cell_type", "start", "end")
+    return I.overlap_join(V.peaks(spark, d), reads, ["cell_type"], "left").select("id", "r_id")
 
 
 @query(
@@ -230,18 +230,17 @@ def cross_product(spark, d):
     "job_coverage",
     sql(
         f""", {_CUTWIN}, t AS (SELECT a.contig, a.s, count(b.w) FILTER (strand = '+') AS plus, count(b.w) FILTER (strand = '-') AS minus FROM windows a LEFT JOIN cutwin b ON a.contig = b.contig AND a.s = b.w GROUP BY ALL)
-SELECT contig, s AS win_start, plus, minus, round((plus + minus) / (SELECT count(DISTINCT file) FROM cuts)::DOUBLE, 6) AS coverage FROM t ORDER BY coverage DESC, contig, win_start LIMIT 100""",
+SELECT contig, s AS win_start, plus, minus, round((plus + minus) / (SELECT count(DISTINCT file) FROM cuts)::DOUBLE, 6) AS coverage FROM t""",
         "windows", "reads", "cuts",
     ),
 )
 def job_coverage(spark, d):
-    """Reads to cuts to coverage; the hundred windows with most of it."""
+    """Reads to cuts to the coverage of every window of the grid."""
     cut = C.cuts(V.reads(spark, d))
     sums = C.cut_windows(cut).groupBy("contig", F.col("win_start").alias("start")).agg(F.count_if(F.col("strand") == "+").alias("plus"), F.count_if(F.col("strand") == "-").alias("minus"))
     out = V.windows(spark, d).join(sums, ["contig", "start"], "left").crossJoin(F.broadcast(cut.agg(F.count_distinct("file").alias("files"))))  # one row
     plus, minus = F.coalesce("plus", F.lit(0)), F.coalesce("minus", F.lit(0))
-    scored = out.select("contig", F.col("start").alias("win_start"), plus.alias("plus"), minus.alias("minus"), F.round((plus + minus) / F.col("files"), 6).alias("coverage"))
-    return scored.orderBy(F.desc("coverage"), "contig", "win_start").limit(100)
+    return out.select("contig", F.col("start").alias("win_start"), plus.alias("plus"), minus.alias("minus"), F.round((plus + minus) / F.col("files"), 6).alias("coverage"))
 
 
 @query("job_cuts", sql("SELECT cell_type, contig, strand, count(*) AS n, min(s) AS first, max(s) AS last FROM cuts GROUP BY ALL", "reads", "cuts"))

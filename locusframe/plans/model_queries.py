@@ -257,14 +257,14 @@ def job_features_seq(spark, d):
     return _stats(X.featurize_sequence_phase(_windows(spark, d), 16, 8, seed=4))
 
 
-_TF = """, m AS (SELECT contig, s, e, strand, id FROM reads), w AS (SELECT contig, s, e FROM windows WHERE s < 2000)
+_TF = """, m AS (SELECT contig, s, e, strand, id FROM reads), w AS (SELECT contig, s, e FROM windows)
 SELECT w.contig, w.s AS start, count(m.id) AS reads FROM w LEFT JOIN m ON m.contig = w.contig AND m.s < w.e AND w.s < m.e GROUP BY ALL"""
 
 
 def _dataset(spark, d):
     from ..operators.intervals import overlap_join
 
-    w = V.windows(spark, d).filter("start < 2000")
+    w = V.windows(spark, d)
     pairs = overlap_join(w, V.reads(spark, d).select("contig", "start", "end", "id"), how="left")
     return pairs.groupBy("contig", "start").agg(F.count("r_id").alias("reads"))
 
@@ -281,12 +281,12 @@ def job_dataset_all_tf(spark, d):
     return out.select(F.explode(F.array(F.lit("EGR1"), F.lit("ATF2"))).alias("tf"), "*")
 
 
-@query("job_dataset_test", sql(", w AS (SELECT contig, s FROM windows WHERE s < 2000) SELECT contig, s AS start, -10 AS label, c.cell_type FROM w, (SELECT unnest(['c0', 'c1']) AS cell_type) c", "windows"))
+@query("job_dataset_test", sql(", w AS (SELECT contig, s FROM windows) SELECT contig, s AS start, -10 AS label, c.cell_type FROM w, (SELECT unnest(['c0', 'c1']) AS cell_type) c", "windows"))
 def job_dataset_test(spark, d):
     """Unlabelled regions for each requested cell type."""
     from ..functions.labels import UNLABELED
 
-    return V.windows(spark, d).filter("start < 2000").select("contig", "start", F.lit(UNLABELED).alias("label"), F.explode(F.array(F.lit("c0"), F.lit("c1"))).alias("cell_type"))
+    return V.windows(spark, d).select("contig", "start", F.lit(UNLABELED).alias("label"), F.explode(F.array(F.lit("c0"), F.lit("c1"))).alias("cell_type"))
 
 
 _TF_WHOLE = """, r AS (SELECT w.contig, w.s, count(m.id) AS reads, count(*) FILTER (m.cell_type = 'c0') AS c0, count(*) FILTER (m.cell_type = 'c1') AS c1, count(*) FILTER (m.cell_type = 'c2') AS c2

@@ -60,11 +60,23 @@ def conv_norm(spark, d, view=V.sequences):
     return ready.select("id", F.round(S.conv_norm(F.col("g")), 6).alias("norm"))
 
 
-@query("kmer_enumerate", """SELECT i AS kmer_index, substr('ATGC', (i // 16 % 4 + 1)::INT, 1) || substr('ATGC', (i // 4 % 4 + 1)::INT, 1) || substr('ATGC', (i % 4 + 1)::INT, 1) AS kmer FROM (SELECT unnest(range(0, 64)) AS i), (SELECT count(*) AS n FROM documents) WHERE n > 0""")
-def kmer_enumerate(spark, d):
-    """The 3-mers, where there are documents to count them in."""
-    some = V.table(spark, d, "documents").limit(1).select(F.lit(1).alias("one"))
-    return Q.kmer_table(3, spark).join(F.broadcast(some), F.lit(True), "left_semi")
+_ALL_KMERS = "t AS (SELECT i AS kmer_index, substr('ATGC', (i // 16 % 4 + 1)::INT, 1) || substr('ATGC', (i // 4 % 4 + 1)::INT, 1) || substr('ATGC', (i % 4 + 1)::INT, 1) AS kmer FROM (SELECT unnest(range(0, 64)) AS i))"
+
+
+@query(
+    "kmer_enumerate",
+    sql(
+        f""", {_ALL_KMERS}, k AS (SELECT id, substr(seq, i, 3) AS kmer FROM (SELECT id, seq, unnest(range(1, length(seq) - 1)) AS i FROM sequences)),
+c AS (SELECT id, kmer_index, count(*) AS n FROM k JOIN t USING (kmer) GROUP BY ALL)
+SELECT kmer_index, kmer, count(c.id) AS sequences, coalesce(sum(n), 0)::BIGINT AS n FROM t LEFT JOIN c USING (kmer_index) GROUP BY ALL""",
+        "sequences",
+    ),
+)
+def kmer_enumerate(spark, d, view=V.sequences):
+    """Every 3-mer with its index, and how many sequences hold it how often."""
+    held = Q.kmer_counts(view(spark, d), 3).groupBy("kmer").agg(F.count("*").alias("sequences"), F.sum("n").alias("n"))
+    zero = F.lit(0).cast("long")
+    return Q.kmer_table(3, spark).join(held, "kmer", "left").select("kmer_index", "kmer", F.coalesce("sequences", zero).alias("sequences"), F.coalesce("n", zero).alias("n"))
 
 
 _KMERS = "k AS (SELECT id, substr(seq, i, 4) AS kmer FROM (SELECT id, seq, unnest(range(1, length(seq) - 2)) AS i FROM sequences) WHERE NOT contains(substr(seq, i, 4), 'N'))"
@@ -121,16 +133,17 @@ def ngram_vocab_features(spark, d, view=V.sequences):
 
 
 def _pwms(spark, d):
-    """Three motifs of three positions, their numbers from part prices; motif 2 is not valid."""
-    rows = V.table(spark, d, "part").filter("p_partkey < 36").select("p_partkey", F.floor("p_retailprice").alias("w"))
-    rows = rows.select((F.floor(F.col("p_partkey") / 12)).cast("int").alias("motif_id"), (F.floor(F.col("p_partkey") / 4) % 3).cast("int").alias("pos"), (F.col("p_partkey") % 4).alias("b"), "w")
+    """Three motifs of three positions, their numbers summed from the prices of all parts; motif 2 is not valid."""
+    rows = V.table(spark, d, "part").select("p_partkey", F.floor("p_retailprice").alias("w"))
+    rows = rows.select((F.floor(F.col("p_partkey") / 12) % 3).cast("int").alias("motif_id"), (F.floor(F.col("p_partkey") / 4) % 3).cast("int").alias("pos"), (F.col("p_partkey") % 4).alias("b"), "w")
+    rows = rows.groupBy("motif_id", "pos", "b").agg(F.sum("w").alias("w"))
     total = rows.groupBy("motif_id", "pos").agg(F.sum("w").alias("total"))
     p = F.when(F.col("motif_id") == 2, 2.0).otherwise(F.col("w") / F.col("total"))
     base = F.substring(F.lit(S.PWM_BASES), (F.col("b") + 1).cast("int"), F.lit(1))
     return rows.join(total, ["motif_id", "pos"]).select("motif_id", F.lit("c1").alias("tf"), "pos", base.alias("base"), p.alias("p"))
 
 
-_PWM = """pw AS (SELECT (p_partkey // 12)::INT AS motif_id, (p_partkey // 4 % 3)::INT AS pos, substr('ACGT', (p_partkey % 4 + 1)::INT, 1) AS base, floor(p_retailprice) AS w FROM part WHERE p_partkey < 36),
+_PWM = """pw AS (SELECT (p_partkey // 12 % 3)::INT AS motif_id, (p_partkey // 4 % 3)::INT AS pos, substr('ACGT', (p_partkey % 4 + 1)::INT, 1) AS base, sum(floor(p_retailprice)) AS w FROM part GROUP BY ALL),
 pn AS (SELECT motif_id, pos, base, w / sum(w) OVER (PARTITION BY motif_id, pos) AS p FROM pw WHERE motif_id < 2)"""
 
 

@@ -232,11 +232,11 @@ def record_csv(spark, d):
 
 
 def _sequence_file(spark, d, name, sep="\t", view=V.sequences):
-    rows = view(spark, d).select(F.lit("A").alias("FoldID"), F.lpad(F.col("id").cast("string"), 9, "0").alias("EventID"), F.col("sequence").alias("seq"), (F.col("id") % 2).alias("Bound"))
+    rows = view(spark, d).select(F.lit("A").alias("FoldID"), F.lpad(F.col("id").cast("string"), 15, "0").alias("EventID"), F.col("sequence").alias("seq"), (F.col("id") % 2).alias("Bound"))
     return _tsv(rows.filter("length(seq) > 0"), name, header=True, sep=sep)
 
 
-_SEQ = "SELECT 'EGR1' AS tf, 'K562' AS cell_type, lpad(id::VARCHAR, 9, '0') AS id, seq AS sequence, (id % 2)::INT AS label FROM sequences WHERE length(seq) > 0"
+_SEQ = "SELECT 'EGR1' AS tf, 'K562' AS cell_type, lpad(id::VARCHAR, 15, '0') AS id, seq AS sequence, (id % 2)::INT AS label FROM sequences WHERE length(seq) > 0"
 
 
 @query("scan_seq_train", sql(_SEQ, "sequences"))
@@ -244,7 +244,7 @@ def scan_seq_train(spark, d, view=V.sequences):
     return R.scan_sequences(spark, _sequence_file(spark, d, "EGR1_K562_AC.seq", view=view))
 
 
-@query("scan_seq_test", sql(f"{_SEQ} ORDER BY lpad(id::VARCHAR, 9, '0') LIMIT 200", "sequences"))
+@query("scan_seq_test", sql(f"{_SEQ} ORDER BY lpad(id::VARCHAR, 15, '0') LIMIT 200", "sequences"))
 def scan_seq_test(spark, d, view=V.sequences):
     return R.scan_sequences(spark, _sequence_file(spark, d, "EGR1_K562_B.seq", view=view), first=200)
 

@@ -51,11 +51,6 @@ def _folded(spark: SparkSession, d: str, text) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace(folded, "[^ATCG]", "N").alias("sequence"))
 
 
-def sequences(spark: SparkSession, d: str, letters: int = 200) -> DataFrame:
-    """id and sequence: the first letters of each document only, as the SQL of this view has it."""
-    return _folded(spark, d, F.substring("text", 1, letters))
-
-
 def whole_sequences(spark: SparkSession, d: str) -> DataFrame:
     """id and sequence: folded letters of whole documents."""
     return _folded(spark, d, F.col("text"))
@@ -66,6 +61,11 @@ def sequence_windows(spark: SparkSession, d: str, letters: int = 200) -> DataFra
     return whole_sequences(spark, d).select("id", F.posexplode(pieces(F.col("sequence"), letters)).alias("window", "sequence"))
 
 
+def sequences(spark: SparkSession, d: str) -> DataFrame:
+    """id and sequence: every window of 200 letters of every document; the id is that of the document times a million, plus the window's place."""
+    return sequence_windows(spark, d).select((F.col("id") * 1_000_000 + F.col("window")).alias("id"), "sequence")
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
     score = F.round(F.col("n_chars") / (F.col("n_chars") + 1000.0), 6)
@@ -97,7 +97,7 @@ def genes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expression(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").filter("l_linenumber = 1").select(
+    return table(spark, d, "lineitem").select(
         F.col("l_partkey").cast("string").alias("gene_id"), F.lit("t").alias("transcripts"), F.col("l_quantity").alias("length"), F.col("l_tax").alias("effective_length"), F.col("l_extendedprice").alias("expected_count"), F.col("l_discount").alias("TPM"), F.col("l_quantity").alias("FPKM"),
     )
 
@@ -120,7 +120,8 @@ CTE = {
     "cuts": """cuts AS (SELECT id, contig, strand, file, cell_type, unnest([s, e]) - CASE WHEN strand = '-' THEN 1 ELSE 0 END AS s FROM reads WHERE s >= 0)""",
     "peaks": f"""peaks AS (SELECT event_id AS id, event_type AS contig, {_MINUTE} AS s, {_MINUTE} + 1 + floor(value)::BIGINT AS e, 'c' || (user_id % 3) AS cell_type, value AS signal FROM events)""",
     "windows": "windows AS (SELECT contig, s, s + 200 AS e FROM (SELECT DISTINCT event_type AS contig FROM events), (SELECT unnest(range(0, 43001, 50)) AS s))",
-    "sequences": """sequences AS (SELECT doc_id AS id, regexp_replace(translate(lower(substr(text, 1, 200)), 'abcdefghijklmnopqrstuvwxyz', 'ATCGATCGATCGATCGATCGATCGAT'), '[^ATCG]', 'N', 'g') AS seq FROM documents)""",
+    "sequences": """folded AS (SELECT doc_id AS id, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ATCGATCGATCGATCGATCGATCGAT'), '[^ATCG]', 'N', 'g') AS seq FROM documents),
+sequences AS (SELECT id * 1000000 + i // 200 AS id, substr(seq, i + 1, 200) AS seq FROM (SELECT id, seq, unnest(range(0, length(seq), 200)) AS i FROM folded))""",
     "whole_sequences": """sequences AS (SELECT doc_id AS id, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ATCGATCGATCGATCGATCGATCGAT'), '[^ATCG]', 'N', 'g') AS seq FROM documents)""",
     "reference": """reference AS (SELECT doc_id::VARCHAR AS contig, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ATCGATCGATCGATCGATCGATCGAT'), '[^ATCG]', 'N', 'g') AS seq FROM documents)""",
     "scored": "scored AS (SELECT doc_id AS id, quality AS label, toxic, round(n_chars / (n_chars + 1000.0::DOUBLE), 6) AS score FROM labels JOIN documents USING (doc_id))",
@@ -128,7 +129,7 @@ CTE = {
     "submissions": """submissions AS (SELECT o_orderkey AS id, o_orderpriority AS tf, o_orderstatus AS sample, o_custkey % 8 AS "user", o_orderdate AS date, o_orderkey % 3 AS bootstrap,
   round(o_totalprice * 100)::BIGINT % 97 AS m0, round(o_totalprice * 100)::BIGINT % 89 AS m1, round(o_totalprice * 100)::BIGINT % 83 AS m2, round(o_totalprice * 100)::BIGINT % 79 AS m3 FROM orders)""",
     "genes": "genes AS (SELECT p_partkey::VARCHAR AS gene_id, 't' AS transcript_id, p_brand AS contig, p_partkey * 100 AS s, p_partkey * 100 + p_size AS e FROM part)",
-    "expression": "expression AS (SELECT l_partkey::VARCHAR AS gene_id, l_quantity AS length, l_tax AS effective_length, l_extendedprice AS expected_count, l_discount AS TPM, l_quantity AS FPKM FROM lineitem WHERE l_linenumber = 1)",
+    "expression": "expression AS (SELECT l_partkey::VARCHAR AS gene_id, l_quantity AS length, l_tax AS effective_length, l_extendedprice AS expected_count, l_discount AS TPM, l_quantity AS FPKM FROM lineitem)",
     "wide": """wide AS (SELECT 'chr' || (doc_id % 3 + 1) AS contig, doc_id * 50 AS s, doc_id * 50 + 200 AS e,
   CASE WHEN quality = 1 THEN 1 WHEN doc_id % 7 = 0 THEN -1 ELSE 0 END AS q, CASE WHEN toxic = 1 THEN 1 WHEN doc_id % 7 = 0 THEN -1 ELSE 0 END AS t FROM labels)""",
 }
