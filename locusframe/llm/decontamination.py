@@ -4,20 +4,30 @@ Texts are compared by spans of consecutive words.  A fingerprint is the least ha
 short word groups within a sliding window; two texts that share a whole span share its
 fingerprint, so joining fingerprints misses none.  Hits are then extended: the spans
 around each shared fingerprint are compared word by word with those of the items.
+All texts are read once; only documents that share a fingerprint are read again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._common import stored
 from .url_filter import LOWER, UPPER
 
 #: Words are runs of ASCII letters and digits and of all characters beyond ASCII.
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: Stands in the list of fingerprints for the document itself.
+_ITSELF = -1
+
+
+def _low(text: Column) -> Column:
+    """A-Z lowered; the built-in lower() does it for pure ASCII, and fast."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.coalesce(F.transform(words, _low), F.array().cast("array<string>"))
 
 
 def _once(value: Column) -> Column:
@@ -30,19 +40,25 @@ def _up_to(n: Column) -> Column:
     return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
-def _grams(words: str, k: int) -> Column:
+def _grams(hashes: str, k: int) -> Column:
     """Hash of every group of k consecutive words, by position; the length is part of it."""
-    return F.transform(_up_to(F.size(words) - (k - 1)), lambda i: F.xxhash64(F.lit(k), F.slice(F.col(words), i, k)))
+    at = lambda i: [F.get(F.col(hashes), i + (j - 1)) for j in range(k)]
+    return F.transform(_up_to(F.size(hashes) - (k - 1)), lambda i: F.xxhash64(F.lit(k), *at(i)))
+
 
+def _with_hashes(df: DataFrame) -> DataFrame:
+    """Add h, the hash of every word of w."""
+    return df.select(*df.columns, _once(F.transform("w", lambda v: F.xxhash64(v))).alias("h"))
 
-def _with_fingerprints(df: DataFrame, span: int, group: int, short: list[int]) -> DataFrame:
-    """One row for each distinct fingerprint f of w (words); for short lengths every word group is one."""
+
+def _with_fingerprints(df: DataFrame, span: int, group: int, short: list[int], more: list[Column]) -> DataFrame:
+    """One row for each distinct fingerprint f of w (words), and for more; for short lengths every word group is one."""
     width = span - group + 1
     keys = [c for c in df.columns if c != "w"]
-    df = df.select(*keys, "w", _once(_grams("w", group)).alias("g"))
+    df = _with_hashes(df).select(*keys, "h", _once(_grams("h", group)).alias("g"))
     least = F.transform(_up_to(F.size("g") - (width - 1)), lambda i: F.array_min(F.slice(F.col("g"), i, width)))
-    parts = [least] + [_grams("w", n) for n in short]
-    return df.select(*keys, F.explode(F.array_distinct(F.concat(*parts) if short else least)).alias("f"))
+    parts = [*more, least, *[_grams("h", n) for n in short]]
+    return df.select(*keys, F.explode(F.array_distinct(F.concat(*parts))).alias("f"))
 
 
 def contamination(
@@ -60,7 +76,7 @@ def contamination(
     Empty tables are fine on either side.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-    base = base.select("doc_id", F.xxhash64("t").alias("x"), F.coalesce("t", F.lit("")).alias("t"))
+    base = base.select("doc_id", F.xxhash64("t").alias("x"), "t")
     items = (
         benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), _once(words_of(F.col(item_text_col))).alias("w"))
         .withColumn("n", F.least(F.size("w"), F.lit(span)))
@@ -73,12 +89,17 @@ def contamination(
         .groupBy("n", "window")
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
-    item_prints = _with_fingerprints(items.select("w"), span, group, short).distinct()
-    doc_prints = _with_fingerprints(base.select("doc_id", "x", _once(words_of(F.col("t"))).alias("w")), span, group, short)
-    seeds = doc_prints.join(item_prints, "f").groupBy("doc_id", "x").agg(F.collect_set("f").alias("seeds"))
-
-    near = base.join(seeds.withColumnRenamed("x", "sx").withColumnRenamed("doc_id", "sid"), F.expr("doc_id <=> sid and x = sx")).select("doc_id", "x", "seeds", _once(words_of(F.col("t"))).alias("w"))
-    near = near.select("*", _once(_grams("w", group)).alias("g"))
+    itself = F.array(F.lit(_ITSELF).cast("long"))
+    # tables whose size is known are broadcast by the planner where they are small, and joined by a shuffle where not
+    one = docs.sparkSession.range(1).select(F.lit(_ITSELF).cast("long").alias("f"))
+    item_prints = stored(_with_fingerprints(items.select("w"), span, group, short, []).unionByName(one).distinct())
+    # the one pass over all texts: a row for each document, and one for each fingerprint that an item has too
+    read = base.select("doc_id", "x", _once(words_of(F.col("t"))).alias("w")).select("doc_id", "x", F.size("w").cast("long").alias("n_words"), "w")
+    marks = stored(_with_fingerprints(read, span, group, short, [itself]).join(item_prints, "f"))
+    seeds = stored(marks.filter(F.col("f") != _ITSELF).groupBy(F.col("doc_id").alias("sid"), F.col("x").alias("sx")).agg(F.collect_set("f").alias("seeds")))
+
+    near = base.join(seeds, F.expr("doc_id <=> sid and x = sx")).select("doc_id", "x", "seeds", _once(words_of(F.col("t"))).alias("w"))
+    near = _with_hashes(near).select("*", _once(_grams("h", group)).alias("g"))
     total = F.size("w")
 
     def starts(grams: Column, before: int, n: int) -> Column:
@@ -89,7 +110,7 @@ def contamination(
 
     spans = starts(F.col("g"), span - group, span)
     if short:
-        spans = F.concat(spans, *[starts(_grams("w", n), 0, n) for n in short])
+        spans = F.concat(spans, *[starts(_grams("h", n), 0, n) for n in short])
     spans = near.select("doc_id", "x", "w", F.explode(spans).alias("s")).select("doc_id", "x", F.col("s.at").alias("at"), F.col("s.n").alias("n"), F.array_join(F.slice("w", F.col("s.at"), F.col("s.n")), " ").alias("window"))
     hits = (
         spans.join(windows, ["n", "window"])
@@ -102,7 +123,7 @@ def contamination(
             F.sort_array("items").alias("items"),
         )
     )
-    counted = base.select("doc_id", "x", F.size(words_of(F.col("t"))).cast("long").alias("n_words"))
+    counted = marks.filter(F.col("f") == _ITSELF).select("doc_id", "x", "n_words")
     out = counted.join(hits, F.expr("doc_id <=> hit_id and x = hit_x"), "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
     found = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return out.select(
