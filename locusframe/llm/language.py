@@ -19,8 +19,9 @@ from ._common import add_columns
 from ._shingles import buffers
 
 BUCKETS, WIDTH, GROUPS = 1 << 15, 16, (2, 3, 4)
-#: About so many rows of each language are fitted on, of up to so many characters, and of so many languages.
-FIT_ROWS, FIT_CHARS, FIT_LANGS = 1200, 6000, 200
+#: About so many rows of each language are fitted on, fewer if there are so many languages that the total would exceed
+#: FIT_TOTAL (but one at least), and so many characters of each.
+FIT_ROWS, FIT_TOTAL, FIT_CHARS = 1200, 9600, 6000
 #: Training pieces have up to so many bytes; texts are scored in slices of so many.
 PIECE, SLICE = 256, 1 << 20
 #: Of the texts kept back, so large a share may be rejected.
@@ -131,15 +132,23 @@ def fit(texts: list[str], langs: list[str], seed: int = 3, epochs: int = 4, rate
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on a sample of about FIT_ROWS rows of each language, drawn by a hash of id and text."""
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
-    rows = rows.filter("t is not null and l is not null").filter(F.length("t").between(1, FIT_CHARS))
-    counts = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(FIT_LANGS).collect()
-    if not counts:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, FIT_ROWS / r["n"]))])
+    """Fit on a bounded sample of each language, drawn by a hash of id and text; see FIT_ROWS.
+
+    Every language of the rows is learned.  Of a text longer than FIT_CHARS a slice of that length is used, whose
+    place a hash gives.  Rows without text or language teach nothing; with fewer than two languages there is
+    nothing to tell apart, and without any the model knows none.
+    """
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).filter("t is not null and l is not null and t <> ''")
+    counts = rows.groupBy("l").agg(F.count("*").alias("n"))
+    langs = counts.agg(F.count("*").alias("k"))
+    share = F.greatest(F.lit(1.0), F.least(F.lit(float(FIT_ROWS)), FIT_TOTAL / F.col("k"))) / F.col("n")
+    shares = counts.crossJoin(F.broadcast(langs)).select("l", share.alias("share"))  # one row
     draw = F.pmod(F.xxhash64("i", "t"), F.lit(1_000_003)) / 1_000_003.0
-    some = rows.filter(draw < F.coalesce(F.try_element_at(share, "l"), F.lit(0.0))).collect()
+    room = F.greatest(F.length("t") - FIT_CHARS, F.lit(0))
+    piece = F.substr("t", 1 + F.pmod(F.xxhash64("i", F.lit(1)), room + 1).cast("int"), F.lit(FIT_CHARS))
+    some = rows.join(shares, "l").filter(draw < F.col("share")).select("i", piece.alias("t"), "l").collect()
+    if not some:
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     some.sort(key=lambda r: (str(r["i"])[::-1], r["t"]))
     return fit([r["t"] for r in some], [r["l"] for r in some])
 
