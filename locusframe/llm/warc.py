@@ -7,17 +7,20 @@ last name the second in WARC-Concurrent-To.  Reading joins them again by that na
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ._common import bounded_batches, shared_dir
+from ._common import bounded_batches, shared_dir, stored
 
 #: Payloads from this size on are stored once; further captures of them are revisits.
 REVISIT_BYTES = 1000
-#: Records of one archive file; each file is read whole by one task.
-FILE_RECORDS = 6000
+#: An archive file holds captures of about so many bytes before compression, or one larger capture.
+FILE_BYTES = 64 << 20
+#: Payloads are written by classes of size, in powers of this, so that a number of records bounds a file's bytes.
+SIZE_STEP = 16
 #: Fixed values of the format.
 EOL, END, VERSION = "\r\n", "\r\n\r\n", "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -47,14 +50,16 @@ def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         F.sha1(html.cast("binary")).alias("digest"),
         F.octet_length(html).cast("long").alias("bytes"),
     )
+    big = F.col("bytes") >= REVISIT_BYTES
     first = (
-        base.filter(F.col("bytes") >= REVISIT_BYTES)
+        base.filter(big)
         .groupBy("digest", "bytes")
         .agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
         .filter("n > 1 and keeper is not null")
         .select("digest", "bytes", "keeper")
     )
-    rows = base.join(first, ["digest", "bytes"], "left")
+    # a stored table of known size: joined without moving the payloads where it is small; smaller payloads never meet it
+    rows = base.filter(big).join(stored(first), ["digest", "bytes"], "left").unionByName(base.filter(~big).withColumn("keeper", F.lit(None).cast("long")))
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     rows = rows.select(
         "*",
@@ -62,7 +67,11 @@ def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("kind"),
         F.when(revisit, F.col("keeper")).alias("refers"),
     )
-    name = lambda part: F.concat(F.lit(f"<urn:capture:{part}:"), F.col("seq"), F.lit(">"))
+
+    def name(part: str) -> Column:
+        digest = F.md5(F.concat(F.lit(f"{path}/{part}/"), F.col("seq")).cast("binary"))
+        return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">"))
+
     shared = [("WARC-Target-URI", F.col("url")), ("WARC-Date", F.lit(date))]
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
@@ -77,7 +86,6 @@ def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
             *shared,
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
             ("WARC-Profile", F.when(F.col("kind") == "revisit", F.lit(REVISIT_PROFILE))),
-            ("WARC-Refers-To-Page", F.col("refers").cast("string")),
             ("Content-Type", F.lit("application/http; msgtype=response")),
         ],
         http,
@@ -85,42 +93,68 @@ def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     ask = F.concat(F.lit("GET "), F.coalesce(F.col("url"), F.lit("-")), F.lit(" HTTP/1.1" + END))
     tied = ("WARC-Concurrent-To", name("response"))
     request = _record("request", [("WARC-Record-ID", name("request")), *shared, tied, ("Content-Type", F.lit("application/http; msgtype=request"))], ask)
-    notes = F.concat_ws(EOL, F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.concat(F.lit("payload-bytes: "), F.col("bytes").cast("string")))
+    note = lambda n: F.concat(F.lit(f"{n.replace('_', '-')}: "), F.col(n).cast("string"))
+    notes = F.concat_ws(EOL, note("page_id"), note("bytes"), note("refers"))
     metadata = _record("metadata", [("WARC-Record-ID", name("metadata")), *shared, tied, ("Content-Type", F.lit("application/warc-fields"))], notes)
-    (
-        rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-        .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS)
-        .mode("overwrite").text(path)
-    )
+    rows = rows.select("bytes", F.array(request, response, metadata).alias("records"))
+    room, captures = 1 << 16, []  # bytes of a capture of the class, with its headers
+    most = base.agg(F.max("bytes")).first()[0]
+    while most is not None and (not captures or captures[-1][1] < most):
+        captures.append((captures[-1][1] + 1 if captures else 0, room - 4096, max(1, FILE_BYTES // room)))
+        room *= SIZE_STEP
+    for least, largest, count in captures or [(0, 0, 1)]:
+        of_class = rows.filter(F.col("bytes").between(least, largest)) if len(captures) > 1 else rows
+        (
+            of_class.select(F.explode("records").alias("value"))
+            .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * count)
+            .mode("append").text(path)
+        )
 
 
 RECORD = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("type", "record_id", "concurrent_to", "target_uri", "date", "payload_digest", "refers_to_page")]
+    [T.StructField(n, T.StringType()) for n in ("type", "record_id", "concurrent_to", "target_uri", "date", "payload_digest")]
     + [T.StructField(n, T.BinaryType()) for n in ("http_head", "body")]
     + [T.StructField("body_sha1", T.StringType())]
 )
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of every record, by Content-Length."""
-    at, head_end = 0, END.encode()
-    while at < len(data):
-        stop = data.index(head_end, at)
-        lines = data[at:stop].decode("utf-8").split(EOL)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a record at byte {at}")
-        fields = dict(x.partition(":")[::2] for x in lines[1:])
-        fields = {k.strip().lower(): v.strip() for k, v in fields.items()}
-        begin = stop + len(head_end)
-        end = begin + int(fields["content-length"])
-        yield fields | {"type": fields["warc-type"]}, data[begin:end]
-        at = end + len(head_end)
+def parse(archive: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-case names) and block of every record of a stream, by Content-Length, one at a time.
+
+    An empty stream has no records.  ValueError if a record does not begin with a version line, has no
+    type or length, or is cut off.
+    """
+    while True:
+        line = archive.readline()
+        while line in (b"\r\n", b"\n"):  # the two line ends behind a record
+            line = archive.readline()
+        if not line:
+            return
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"not a record: {line[:40]!r}")
+        fields: dict[str, str] = {}
+        while (line := archive.readline()) not in (b"\r\n", b"\n"):
+            if not line:
+                raise ValueError("a record's headers are cut off")
+            key, _, value = line.decode("utf-8").partition(":")
+            fields[key.strip().lower()] = value.strip()
+        if "warc-type" not in fields or not fields.get("content-length", "").isdigit():
+            raise ValueError("a record without type or length")
+        block = archive.read(int(fields["content-length"]))
+        if len(block) < int(fields["content-length"]):
+            raise ValueError("a record's block is cut off")
+        yield fields | {"type": fields["warc-type"]}, block
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives below path; the body of a response is its payload."""
+    """One row per record of the archives below path; the body of a response is its payload.
+
+    Header fields that a record lacks are null; other fields, and records of other types, are kept as they are
+    read.  Archives without records give no rows; one that is cut off or no archive fails the query.
+    A task holds one compressed file and a few records at a time.
+    """
     bounded_batches(spark)
-    names = {"record_id": "warc-record-id", "concurrent_to": "warc-concurrent-to", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to_page": "warc-refers-to-page"}
+    names = {"record_id": "warc-record-id", "concurrent_to": "warc-concurrent-to", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest"}
 
     def run(batches):
         import hashlib
@@ -131,7 +165,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 rows, size = [], 0
-                for h, block in parse(gzip.decompress(content.as_py())):
+                for h, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())), 1 << 20)):
                     head, _, body = block.partition(END.encode()) if h["type"] in ("response", "revisit") else (b"", b"", block)
                     rows.append((h["type"], *(h.get(n) for n in names.values()), head, body, hashlib.sha1(body).hexdigest()))
                     size += len(block)
@@ -149,10 +183,11 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, request, response, metadata.
 
     Records meet through the response's id, which requests and metadata name as concurrent.
-    A part that the archive lacks is null; of several alike parts the largest record id stays.
+    A part that the archive lacks is null; of several alike parts the largest record id stays.  Records
+    without a response to belong to are put together under a null capture_id; no records, no rows.
     """
     own = F.col("type").isin("response", "revisit")
-    part = F.struct("record_id", "type", "target_uri", "date", "payload_digest", "refers_to_page", "http_head", "body", "body_sha1")
+    part = F.struct("record_id", "type", "target_uri", "date", "payload_digest", "http_head", "body", "body_sha1")
     return (
         records.withColumn("capture_id", F.when(own, F.col("record_id")).otherwise(F.col("concurrent_to")))
         .groupBy("capture_id")
@@ -172,13 +207,17 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
 
 def digests(captures: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of every capture."""
-    note = lambda name: F.regexp_extract(F.col("metadata.body").cast("string"), rf"(?:^|\n){name}: (-?\d+)", 1)
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every capture.
+
+    What a revisit leaves out is read from its metadata; a capture without metadata has a null page_id.
+    """
+    text = F.col("metadata.body").cast("string")
+    note = lambda name: F.regexp_extract(text, rf"(?:^|\n){name}: (-?\d+)", 1).try_cast("long")
     full = F.col("response.type") == "response"
     return captures.select(
-        F.expr("try_cast(nullif({}, '') as long)".format("regexp_extract(cast(metadata.body as string), '(?:^|\\\\n)page-id: (-?\\\\d+)', 1)")).alias("page_id"),
-        F.when(full, F.octet_length("response.body").cast("long")).otherwise(note("payload-bytes").cast("long")).alias("payload_bytes"),
+        note("page-id").alias("page_id"),
+        F.when(full, F.octet_length("response.body").cast("long")).otherwise(note("bytes")).alias("payload_bytes"),
         F.when(full, F.col("response.body_sha1")).otherwise(F.substring_index("response.payload_digest", ":", -1)).alias("payload_digest"),
         F.col("response.type").alias("record_type"),
-        F.col("response.refers_to_page").cast("long").alias("refers_to"),
+        note("refers").alias("refers_to"),
     )
