@@ -1,10 +1,12 @@
 """N-gram Jaccard join with tries over globally ordered shingle sets.
 
 1. Every text becomes a set of hashed word shingles; equal sets are one class.
-2. Shingles are counted over all classes.  With shingles ordered rare first, a class
-   can only have partners if enough of its shingles are not its own alone, and partners
-   share a shingle among the first few: those shared ones group the classes.
-3. Each group's sets are stored in a trie.  One walk of the trie carries the overlaps of
+2. Shingles are counted over all classes.  Shingles that exactly the same texts hold are one
+   run, with their number as its weight: a set is a short list of weighted runs.
+3. With runs ordered rare first, a class can only have partners if enough of its shingles
+   are not its own alone, and partners share a run among the first few, the prefix.
+   Classes are grouped by prefix run, or, where that copies less, by chains of such runs.
+4. Each group's sets are stored in a trie.  One walk of the trie carries the overlaps of
    all sets of the group with the path so far, and leaves a subtree when what remains of
    either side cannot reach the overlap that the threshold needs.
 Groups of any size are met: large ones are cut into blocks, of which every pair that
@@ -23,7 +25,7 @@ from ._common import bounded_batches, stored
 from ._components import components
 from ._shingles import buffers, mix, shingle_sets
 
-#: Sets and shingles of one block; pivots drawn from a group that needs several blocks.
+#: Sets and runs of shingles of one block; pivots drawn from a group that needs several blocks.
 BLOCK_SETS, BLOCK_SHINGLES, PIVOTS = 256, 1 << 19, 12
 #: A shingle is hot if a 256th of all texts hold it: at most 256 times the mean set size are.
 HOT_SHARE = 256
@@ -160,10 +162,10 @@ def _postings(k: int, hot: np.ndarray, parts: int):
 
 
 def _shared(batches):
-    """From postings sorted by part: (ref, count, value) of shingles that several texts hold, and of all fixed values."""
+    """From postings sorted by part: (ref, count, value, weight) of the runs of shingles that several texts hold, and of all fixed values."""
 
-    def out(ref, count, value):
-        return pa.RecordBatch.from_arrays([pa.array(ref), pa.array(count.astype(np.int32)), pa.array(value)], names=["ref", "count", "value"])
+    def out(ref, count, value, weight):
+        return pa.RecordBatch.from_arrays([pa.array(ref), pa.array(count.astype(np.int32)), pa.array(value), pa.array(weight.astype(np.int32))], names=["ref", "count", "value", "weight"])
 
     def shared(held):
         shingle, ref = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
@@ -171,10 +173,13 @@ def _shared(batches):
         shingle, ref = shingle[order], ref[order]
         starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
         count = np.diff(np.append(starts, len(shingle)))
+        holders = mix(np.add.reduceat(mix(ref.view(np.uint64)), starts)) if len(starts) else shingle  # of the texts that hold the shingle
         keep = np.repeat(count > 1, count)
-        ref, count, shingle = ref[keep], np.repeat(count, count)[keep], shingle[keep]
-        order = np.argsort(ref, kind="stable")  # equal references side by side take less room in the shuffle
-        return out(ref[order], count[order], shingle[order].view(np.int64))
+        ref, run, count = ref[keep], np.repeat(holders, count)[keep].view(np.int64), np.repeat(count, count)[keep]
+        order = np.lexsort((run, ref))  # equal references side by side take less room in the shuffle
+        ref, run, count = ref[order], run[order], count[order]
+        first = np.flatnonzero(np.concatenate([[True], (ref[1:] != ref[:-1]) | (run[1:] != run[:-1])])) if len(ref) else np.zeros(0, np.int64)
+        return out(ref[first], count[first], run[first], np.diff(np.append(first, len(ref))))
 
     name, held = None, []
     for b in batches:
@@ -183,7 +188,7 @@ def _shared(batches):
             if part < 0:
                 n = int(np.frombuffer(raw, np.int64, 1)[0])
                 owner, count, value = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n)
-                yield out(base + owner, count, value)
+                yield out(base + owner, count, value, np.ones(n))
                 continue
             if part != name:
                 if held:
@@ -196,20 +201,34 @@ def _shared(batches):
 
 
 def _ordered(share: int):
-    """From rows sorted by ref: sig, n and the shared shingles of each text, rare first, if they are enough to link."""
+    """From rows sorted by ref: sig, n and the shared runs of each text with their weights, rare first, if they are enough to link.
 
-    def sets(ref, count, value):
+    prefix tells how many runs hold the first shingles of which partners share one.
+    """
+
+    def sets(ref, count, value, weight):
+        order = np.lexsort((value, count, ref))
+        ref, count, value, weight = ref[order], count[order], value[order], weight[order]
+        new = np.flatnonzero(np.concatenate([[True], (ref[1:] != ref[:-1]) | (count[1:] != count[:-1]) | (value[1:] != value[:-1])]))
+        ref, value, weight = ref[new], value[new], np.add.reduceat(weight.astype(np.int64), new)  # parts of one run
         first = np.flatnonzero(np.concatenate([[True], ref[1:] != ref[:-1]]))
-        size = np.diff(np.append(first, len(ref)))
-        order = np.lexsort((value, count, np.repeat(np.arange(len(size)), size)))
-        value = value[order]
+        last = np.append(first[1:], len(ref))
         n, sig = value[first], value[first + 1]
-        good = np.flatnonzero(size - 2 >= _needed(n, share))
-        lists = [value[first[i] + 2 : first[i] + size[i]] for i in good]
-        return pa.RecordBatch.from_arrays([pa.array(sig[good]), pa.array(n[good]), pa.array(lists, pa.list_(pa.int64()))], names=["sig", "n", "shingles"])
+        before = np.concatenate([[0], np.cumsum(weight)])
+        total = before[last] - before[first + 2]
+        need = _needed(n, share)
+        good = np.flatnonzero(total >= need)
+        inside = before[:-1] - np.repeat(before[first + 2], last - first) <= np.repeat(total - need, last - first)
+        inside = np.concatenate([[0], np.cumsum(inside)])
+        runs = [value[first[i] + 2 : last[i]] for i in good]
+        weights = [weight[first[i] + 2 : last[i]] for i in good]
+        prefix = inside[last[good]] - inside[first[good] + 2]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(sig[good]), pa.array(n[good]), pa.array(prefix.astype(np.int32)), pa.array(runs, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int64()))], names=["sig", "n", "prefix", "runs", "weights"]
+        )
 
     def run(batches):
-        rest = [np.zeros(0, np.int64)] * 3
+        rest = [np.zeros(0, np.int64)] * 4
         for b in batches:
             held = [np.concatenate([r, b.column(i).to_numpy()]) for i, r in enumerate(rest)]
             stop = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
@@ -225,11 +244,14 @@ def _ordered(share: int):
 # --- the trie --------------------------------------------------------------------------
 
 
-def trie_links(sets: list[np.ndarray], sizes: np.ndarray, share: int = 75, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+def trie_links(
+    sets: list[np.ndarray], sizes: np.ndarray, share: int = 75, labels: np.ndarray | None = None, weights: list[np.ndarray] | None = None
+) -> list[tuple[int, int]]:
     """Links (i, j) that join all sets of similarity share % or more into their components.
 
-    sets hold integers (equal ones are equal shingles), sizes the full set sizes.  Sets of
-    one label count as joined already, and links that join nothing new are left out.
+    sets hold integers (equal ones are equal runs of shingles), weights the shingles of each (1 if not
+    given; equal runs weigh the same), sizes the full set sizes.  Sets of one label count as joined
+    already, and links that join nothing new are left out.
     """
     n = len(sets)
     parent = list(range(n))
@@ -251,6 +273,9 @@ def trie_links(sets: list[np.ndarray], sizes: np.ndarray, share: int = 75, label
     shared = often > 1
     order = np.empty(len(values), np.int64)  # most common first, so that alike sets share long paths
     order[np.lexsort((values, -often))] = np.arange(len(values))
+    weight = np.ones(len(values), np.int64)
+    if weights is not None and n:
+        weight[order[local]] = np.concatenate(weights)
     keep = shared[local]
     local, owner = order[local[keep]], owner[keep]
     width = int(shared.sum())
@@ -258,7 +283,8 @@ def trie_links(sets: list[np.ndarray], sizes: np.ndarray, share: int = 75, label
     local, owner = local[by], owner[by]
     bounds = np.searchsorted(owner, np.arange(n + 1))
     paths = [local[bounds[i] : bounds[i + 1]] for i in range(n)]
-    lengths = np.diff(bounds)
+    summed = np.concatenate([[0], np.cumsum(weight[local])])
+    lengths = summed[bounds[1:]] - summed[bounds[:-1]]
     able = [i for i in range(n) if lengths[i] and lengths[i] >= _needed(int(sizes[i]), share)]
     if len(able) < 2:
         return []
@@ -271,7 +297,7 @@ def trie_links(sets: list[np.ndarray], sizes: np.ndarray, share: int = 75, label
         member = np.zeros((len(ask), width), bool)
         for r, i in enumerate(ask.tolist()):
             member[r, paths[i]] = True
-        for r, j in _walk(able, common, paths, sizes, lengths, ask, member, share):
+        for r, j in _walk(able, common, paths, sizes, lengths, weight[:width], ask, member, share):
             for i in ask[r].tolist():
                 a, b = root(i), root(j)
                 if a != b:
@@ -286,12 +312,12 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else m
 
 
-def _walk(able, common, paths, sizes, lengths, ask, member, share):
+def _walk(able, common, paths, sizes, lengths, weight, ask, member, share):
     """Walk the trie once for all asking sets; yields (rows of asking sets, set) that are similar.
 
     Nodes are ranges of neighbours in trie order that share a path of some depth.
     """
-    total = member.sum(axis=1)
+    total = member @ weight
     own = sizes[ask]
     everyone = np.arange(len(ask))
     stack = [(0, len(able), 0, everyone, np.zeros(len(ask), np.int64), np.zeros(len(ask), np.int64))]
@@ -303,10 +329,10 @@ def _walk(able, common, paths, sizes, lengths, ask, member, share):
             to = min(common[a : z - 1])
         piece = paths[able[a]][depth:to]
         if len(piece):
-            overlap = overlap + member[np.ix_(rows, piece)].sum(axis=1)
-            passed = member[rows, : piece[-1] + 1].sum(axis=1)  # shingles of the asking set up to here in the order
+            overlap = overlap + member[np.ix_(rows, piece)] @ weight[piece]
+            passed = member[rows, : piece[-1] + 1] @ weight[: piece[-1] + 1]  # shingles of the asking set up to here in the order
         inside = able[a:z]
-        least, left = int(sizes[inside].min()), int(lengths[inside].max()) - to
+        least, left = int(sizes[inside].min()), int(lengths[inside].max()) - int(weight[paths[able[a]][:to]].sum())
         bound = overlap + np.minimum(total[rows] - passed, left)
         need = -(-share * (own[rows] + least) // (100 + share))
         on = bound >= need
@@ -340,19 +366,19 @@ def _walk_blocks(share: int):
 
         def links():
             sig = np.array([h[0] for h in held])
-            found = trie_links([h[2] for h in held], np.array([h[1] for h in held], np.int64), share, np.array([h[3] for h in held], object))
+            found = trie_links([h[2] for h in held], np.array([h[1] for h in held], np.int64), share, np.array([h[4] for h in held], object), [h[3] for h in held])
             if found:
                 i, j = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(sig[i]), pa.array(sig[j])], names=["a", "b"])
 
         for b in batches:
-            part, sig, n, core = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist()
-            for i, shingles in enumerate(b.column(3)):
+            part, sig, n, core = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(5).to_pylist()
+            for i, (runs, weights) in enumerate(zip(b.column(3), b.column(4), strict=True)):
                 if part[i] != name:
                     if len(held) > 1:
                         yield from links()
                     name, held = part[i], []
-                held.append((sig[i], n[i], np.asarray(shingles.values), 1 if core[i] else None))
+                held.append((sig[i], n[i], np.asarray(runs.values), np.asarray(weights.values), 1 if core[i] else None))
         if len(held) > 1:
             yield from links()
 
@@ -365,12 +391,12 @@ def _meet_pivots(share: int):
     def run(batches):
         for b in batches:
             a, c = [], []
-            for sig, n, shingles, pivots in zip(*(b.column(i) for i in range(4)), strict=True):
-                own, own_n = np.sort(np.asarray(shingles.values)), n.as_py()
+            for sig, n, runs, pivots in zip(*(b.column(i) for i in range(4)), strict=True):
+                own, own_n = np.sort(np.asarray(runs.values)), n.as_py()
                 for p in pivots:
-                    other, other_n = np.asarray(p["shingles"].values), p["n"].as_py()
+                    other, other_n = np.asarray(p["runs"].values), p["n"].as_py()
                     at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                    both = int((own[at] == other).sum())
+                    both = int(np.asarray(p["weights"].values)[own[at] == other].sum())
                     if 100 * both >= share * (own_n + other_n - both):
                         a.append(sig.as_py())
                         c.append(p["sig"].as_py())
@@ -406,47 +432,58 @@ def similarity_components(docs: DataFrame, share: int = 75, k: int = 5, id_col:
     total = texts.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_SHINGLES + 1)
     postings = base.select("t").mapInArrow(_postings(k, hot, parts), "part int, base long, data binary")
-    shared = postings.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shared, "ref long, count int, value long")
-    sets = shared.repartition("ref").sortWithinPartitions("ref").mapInArrow(_ordered(share), "sig long, n long, shingles array<long>")
-    able = stored(sets.groupBy("sig").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
-    need = F.ceil(F.col("n") * share / F.lit(100.0)).cast("int")
-
-    first = able.select("sig", F.explode(F.slice("shingles", F.lit(1), F.size("shingles") - need + 1)).alias("key"))
-    least = first.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).filter("a < z").select("key", "a")
-    maybe = components(first.join(least, "key").select("a", F.col("sig").alias("b")))
-    member = maybe.unionByName(maybe.select(F.col("root").alias("node"), "root").distinct())
+    shared = postings.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shared, "ref long, count int, value long, weight int")
+    form = "sig long, n long, prefix int, runs array<long>, weights array<long>"
+    sets = shared.repartition("ref").sortWithinPartitions("ref").mapInArrow(_ordered(share), form)
+    able = stored(sets.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "runs", "weights")]))
+
     # who is compared with whom is settled without the sets, which are joined to it last
-    weights = able.select("sig", "n", F.size("shingles").alias("size"))
-    grouped = stored(weights.join(member.withColumnRenamed("node", "sig"), "sig"))
-    sums = grouped.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("w"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES))
-    sums = sums.withColumn("blocks", blocks)
+    first = able.select("sig", F.explode(F.slice("runs", F.lit(1), F.col("prefix"))).alias("key"))
+    keys = first.groupBy("key").agg(F.count("*").alias("m"), F.min("sig").alias("a")).filter("m > 1")
+    first = stored(first.join(keys, "key"))
+    maybe = components(first.select("a", F.col("sig").alias("b")))
+    member = maybe.unionByName(maybe.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "sig")
+    grouped = stored(able.select("sig", F.size("runs").alias("size")).join(member, "sig"))
+    keyed = first.join(member, "sig")
+    blocks = lambda m, w: F.greatest(F.ceil(m / BLOCK_SETS), F.ceil(w / BLOCK_SHINGLES))
+    # a chain of classes is one group, or as many as it has keys, whichever copies fewer sets
+    chain = grouped.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("w")).withColumn("by_chain", F.col("m") * blocks(F.col("m"), F.col("w")))
+    by_key = keyed.groupBy("root").agg(F.sum(F.ceil(F.col("m") / BLOCK_SETS)).alias("by_key"))
+    chain = chain.join(by_key, "root").select("root", (F.col("by_key") < F.col("by_chain")).alias("split"))
+    whole = grouped.join(chain.filter("not split"), "root").select("sig", "size", F.xxhash64(F.lit("chain"), "root").alias("group"))
+    split = keyed.join(chain.filter("split"), "root").select("sig", F.xxhash64(F.lit("key"), "key").alias("group"))
+    grouped = stored(whole.unionByName(split.join(grouped.select("sig", "size"), "sig").select("sig", "size", "group")))
+    sums = grouped.groupBy("group").agg(F.count("*").alias("m"), F.sum("size").alias("w")).filter("m > 1")
+    sums = stored(sums.select("group", "m", blocks(F.col("m"), F.col("w")).alias("blocks")))
 
     # groups of several blocks: most sets link with one of a few pivots and need no comparing among themselves
-    large = grouped.join(sums.filter("blocks > 1"), "root").select("sig", "root", "m").join(able, "sig")
+    large = grouped.join(sums.filter("blocks > 1"), "group").groupBy("sig").agg(F.max(F.struct("m", "group")).alias("g")).select("sig", "g.*")
+    salts = F.ceil(F.col("m") / (4 * BLOCK_SETS))
+    large = large.select("sig", "group", "m", F.pmod(F.xxhash64("sig", F.lit(2)), salts).alias("salt")).join(able, "sig")
     picked = large.filter(F.pmod(F.xxhash64("sig"), F.ceil(F.col("m") / PIVOTS)) == 0)
-    pivots = picked.groupBy("root").agg(F.collect_list(F.struct("sig", "n", "shingles")).alias("pivots"))
-    met = stored(large.join(pivots, "root").select("sig", "n", "shingles", "pivots").mapInArrow(_meet_pivots(share), "a long, b long"))
+    pivots = picked.groupBy("group").agg(F.first("m").alias("m"), F.collect_list(F.struct("sig", "n", "runs", "weights")).alias("pivots"))
+    pivots = pivots.select("group", "pivots", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    met = stored(large.join(pivots, ["group", "salt"]).select("sig", "n", "runs", "pivots").mapInArrow(_meet_pivots(share), "a long, b long"))
     met_root = components(met)
     met_all = met_root.unionByName(met_root.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("sig"), F.col("root").alias("near"))
-    sided = grouped.select("sig", "root").join(met_all, "sig")
-    main = sided.groupBy("root", "near").agg(F.count("*").alias("c")).groupBy("root").agg(F.max(F.struct("c", "near")).alias("x")).select("root", F.col("x.near").alias("main"))
-    core = sided.join(main, "root").filter("near = main").select("sig", F.lit(True).alias("core"))
-    split = grouped.join(core, "sig", "left").withColumn("core", F.coalesce("core", F.lit(False)))
-    split = split.join(sums.select("root", "m", "blocks"), "root")
-    sides = split.groupBy("root").agg(F.first("blocks").alias("all"), F.first("m").alias("m"), F.sum(F.col("core").cast("long")).alias("c"))
+    sided = grouped.join(sums.filter("blocks > 1").select("group"), "group").select("sig", "group").join(met_all, "sig")
+    main = sided.groupBy("group", "near").agg(F.count("*").alias("c")).groupBy("group").agg(F.max(F.struct("c", "near")).alias("x")).select("group", F.col("x.near").alias("main"))
+    core = sided.join(main, "group").filter("near = main").select("sig", "group", F.lit(True).alias("core"))
+    split = grouped.join(core, ["sig", "group"], "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    split = split.join(sums, "group")
+    sides = split.groupBy("group").agg(F.first("blocks").alias("all"), F.first("m").alias("m"), F.sum(F.col("core").cast("long")).alias("c"))
     part = lambda x: F.ceil(F.col("all") * x / F.col("m")).cast("int")
-    sides = sides.select("root", part(F.col("c")).alias("gc"), part(F.col("m") - F.col("c")).alias("gn"))
-    placed = split.drop("m", "blocks").join(sides, "root").filter("gn > 0")
+    sides = sides.select("group", part(F.col("c")).alias("gc"), part(F.col("m") - F.col("c")).alias("gn"))
+    placed = split.drop("m", "blocks").join(sides, "group").filter("gn > 0")
     at = F.pmod(F.xxhash64("sig", F.lit(1)), F.when(F.col("core"), F.greatest("gc", F.lit(1))).otherwise(F.col("gn"))).cast("int")
     placed = placed.withColumn("at", at)
     up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    name = lambda kind, i, j: F.concat_ws(":", F.col("root").cast("string"), F.lit(kind), i.cast("string"), j.cast("string"))
+    name = lambda kind, i, j: F.concat_ws(":", F.col("group").cast("string"), F.lit(kind), i.cast("string"), j.cast("string"))
     with_core = F.transform(up_to(F.col("gc")), lambda i: name("c", i, F.col("at")))
     among = F.transform(up_to(F.col("gn")), lambda j: name("n", F.least(j, F.col("at")), F.greatest(j, F.col("at"))))
     of_core = F.transform(up_to(F.col("gn")), lambda j: name("c", F.col("at"), j))
     parts = placed.select(F.explode(F.when(F.col("core"), of_core).otherwise(F.concat(with_core, among))).alias("part"), "sig", "core")
-    parts = parts.join(able, "sig").select("part", "sig", "n", "shingles", "core")
+    parts = parts.join(able, "sig").select("part", "sig", "n", "runs", "weights", "core")
     links = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_walk_blocks(share), "a long, b long")
 
     joined = components(met.unionByName(links))
