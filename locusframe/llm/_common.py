@@ -26,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that all executors share, for tables between two jobs."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file:///tmp/checkpoints"  # local runs and tests only: a cluster names the folder itself
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set, and the executors share no other folder")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/locusframe-{uuid.uuid4().hex}"
 
 
@@ -37,21 +39,32 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many more underscores in front as it takes for no column to be called so."""
+    own = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in own:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def add_columns(
     df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]
 ) -> DataFrame:
     """Append columns computed from one column, batch by batch.
 
     ``make`` runs once a task and returns the function from an Arrow array to one
-    array per field.  A column of the same name as a new one is replaced.
+    array per field.  A column of the same name as a new one is replaced, whatever the case of its letters.
     """
     bounded_batches(df.sparkSession)
-    names = {f.name for f in fields}
-    keep = [c for c in df.columns if c not in names or c == column]
-    hidden = column in names
+    names = {f.name.lower() for f in fields}
+    keep = [c for c in df.columns if c.lower() not in names or c.lower() == column.lower()]
+    hidden = column.lower() in names
     source = df.select(*[df[c] for c in keep])
-    schema = T.StructType([f for f in source.schema.fields if f.name not in names] + fields)
-    at = keep.index(column)
+    schema = T.StructType([f for f in source.schema.fields if f.name.lower() not in names] + fields)
+    at = [c.lower() for c in keep].index(column.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _shingles as S
-from ._common import bounded_batches, stored
+from ._common import bounded_batches, stored, unused
 
 #: Lines of fewer bytes say too little and always stay.
 LEAST_BYTES = 20
@@ -286,13 +286,13 @@ def near_lines(texts: DataFrame, edits: int) -> DataFrame:
     keys = stored(found.repartition("key").sortWithinPartitions("key", "line", "own").mapInArrow(_shared_keys, "key long, line long, own boolean"))
     wanted = keys.select("line").distinct()
     some = wanted.limit(WANTED + 1).toArrow().column(0).to_numpy()
-    few = np.sort(some) if len(some) <= WANTED else None  # sent to the tasks only if it is small; the join does without
+    few = np.sort(some) if len(some) <= WANTED else None  # a broadcast of checked size: sent to the tasks only if it is small; the join does without
     known = texts.mapInArrow(_texts(few), "line long, bytes binary, counts binary")
     if few is None:
         known = known.join(wanted, "line", "left_semi")
     lines = stored(known.groupBy("line").agg(F.min("bytes").alias("bytes"), F.min("counts").alias("counts")))
     # keys of many lines are compared in squares: block i of the own segments with block j of the probes
-    sizes = keys.groupBy("key").agg(F.ceil(F.sum(F.col("own").cast("long")) / SQUARE).cast("int").alias("rows"), F.ceil(F.sum((~F.col("own")).cast("long")) / SQUARE).cast("int").alias("cols"), F.ceil(F.count("*") / SQUARE).cast("int").alias("all"))
+    sizes = keys.groupBy("key").agg(F.ceil(F.count("*") / SQUARE).cast("int").alias("all"))
     dealt = keys.join(lines.select("line", "counts"), "line").join(sizes, "key")
     block = F.pmod(F.xxhash64("line", F.lit(3)), F.col("all")).cast("int")
     upto = F.sequence(F.lit(0), F.col("all") - 1)
@@ -334,17 +334,18 @@ def without_repeated_lines(docs: DataFrame, edits: int = 2, id_col: str = "doc_i
     Documents are never dropped here, also if no line is left (their text is empty then);
     null texts stay null with no lines.  Null ids come last; rows of one id count as one
     document's, so equal rows keep equal lines.  An empty table gives an empty result;
-    columns called n_lines or n_dropped are replaced.  Lines are told apart by 128-bit
-    hashes, near ones compared by their bytes.
+    columns called n_lines or n_dropped are replaced.  Equal lines are told by 128-bit hashes; near
+    ones are named by 64-bit hashes and compared by their bytes.
     """
-    found = repeated_lines(docs, edits, id_col, text_col).select(F.col("id").alias("__id"), F.col("x").alias("__x"), F.col("drop").alias("__drop"))
-    kept = docs.drop("n_lines", "n_dropped").withColumn("__own", F.xxhash64(text_col))
-    both = kept.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__x")), "left")
+    own_id, own_x, drop, own = unused(docs, "__id", "__x", "__drop", "__own")
+    found = repeated_lines(docs, edits, id_col, text_col).select(F.col("id").alias(own_id), F.col("x").alias(own_x), F.col("drop").alias(drop))
+    kept = docs.drop("n_lines", "n_dropped").withColumn(own, F.xxhash64(text_col))
+    both = kept.join(found, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(own) == F.col(own_x)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    new = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda s, i: ~F.array_contains("__drop", (i + 1).cast("long"))), "\n"))
-    counts = [F.coalesce(F.size(lines), F.lit(0)).cast("long"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long")]
-    counts = [F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(counts[0]), F.when(F.col("__drop").isNull(), F.lit(0).cast("long")).otherwise(counts[1])]
-    columns = [new.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    new = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda s, i: ~F.array_contains(drop, (i + 1).cast("long"))), "\n"))
+    counts = [F.coalesce(F.size(lines), F.lit(0)).cast("long"), F.coalesce(F.size(drop), F.lit(0)).cast("long")]
+    counts = [F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(counts[0]), F.when(F.col(drop).isNull(), F.lit(0).cast("long")).otherwise(counts[1])]
+    columns = [new.alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     return both.select(*columns, counts[0].alias("n_lines"), counts[1].alias("n_dropped"))
 
 
