@@ -1,8 +1,10 @@
 """Exact top-k by inner product with a vector-approximation file.
 
-Each block of candidates keeps its vectors twice: as small quantised cells and as
-exact integers.  A query scans the cells, which bound every score from both sides,
-then reads exact vectors in order of their upper bound until the k-th is certain.
+The file keeps every candidate as a few bits a dimension, its cell, in blocks; the exact
+vectors lie in a table of their own.  Queries scan the cells, which bound every score from
+both sides.  Candidates that can still be among the best are then read exactly, those
+of the highest bounds first, and of the rest only those that the k-th exact score
+leaves open: what is not read then cannot be a result.
 """
 
 from __future__ import annotations
@@ -12,75 +14,97 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ._common import bounded_batches
+from ._common import bounded_batches, stored
 
 #: Rows of a candidate block and of a query block; bits of a cell in each dimension.
 BLOCK, QUERY_BLOCK, CELL_BITS = 4096, 512, 5
-_NULL_ID = np.int64(2**63 - 1)  # a null vec_id sorts last
-_EXACT = 2.0**52
+#: So many times k exact vectors are read first for each query.
+FIRST = 4
+_NULL_ID = np.int64(2**63 - 1)  # a null id sorts last
+_LARGEST = 2.0**61  # components stop there
+_EXACT = 2.0**52  # sums of integers below are exact as floats
 
 
 def scaled(values: np.ndarray, scale: float) -> np.ndarray:
-    """floor(scale * x) as integers; beyond 2**62 they stop there."""
-    return np.clip(np.floor(scale * values.astype(np.float64)), -(2.0**62), 2.0**62).astype(np.int64)
+    """floor(scale * x) as integers; beyond 2**61 they stop there."""
+    return np.clip(np.floor(scale * values.astype(np.float64)), -_LARGEST, _LARGEST).astype(np.int64)
 
 
-def pack(ids: np.ndarray, lists: list[np.ndarray], scale: float) -> bytes:
-    """Ids, exact integers and cells of one block; shorter vectors are padded with zeros."""
-    dim = max((len(x) for x in lists), default=0)
-    exact = np.zeros((len(lists), dim), np.int64)
+def _matrix(lists: list[np.ndarray]) -> np.ndarray:
+    """Rows of integers; shorter ones are padded with zeros."""
+    out = np.zeros((len(lists), max((len(x) for x in lists), default=0)), np.int64)
     for i, x in enumerate(lists):
-        exact[i, : len(x)] = scaled(x, scale)
-    low = exact.min(axis=0) if len(lists) else np.zeros(dim, np.int64)
-    high = exact.max(axis=0) if len(lists) else low
+        out[i, : len(x)] = x
+    return out
+
+
+def cells_of(exact: np.ndarray) -> dict[str, np.ndarray]:
+    """The cells of the rows of a block, with the place and width of the cells in each dimension."""
+    low = exact.min(axis=0) if len(exact) else np.zeros(exact.shape[1], np.int64)
+    high = exact.max(axis=0) if len(exact) else low
     width = np.maximum(1, -((low - high - 1) // 2**CELL_BITS))
-    cells = ((exact - low) // width).astype(np.uint8)
-    kind = next(k for k in (np.int16, np.int32, np.int64) if not len(exact) or (np.abs(low).max(initial=0) <= np.iinfo(k).max and np.abs(high).max(initial=0) <= np.iinfo(k).max))
+    return {"low": low, "width": width, "cells": ((exact - low) // width).astype(np.uint8)}
+
+
+def _pack(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.savez(out, ids=ids, exact=exact.astype(kind), low=low, width=width, cells=cells)
+    np.savez(out, **arrays)
     return out.getvalue()
 
 
-def unpack(data: bytes) -> dict[str, np.ndarray]:
+def _unpack(data: bytes) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(data)) as z:
         return {k: z[k] for k in z.files}
 
 
-def _padded(x: np.ndarray, dim: int) -> np.ndarray:
-    return x if x.shape[-1] == dim else np.concatenate([x, np.zeros((*x.shape[:-1], dim - x.shape[-1]), x.dtype)], axis=-1)
-
-
-def search(queries: dict, block: dict, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Index of a query, and ids and scores of its best k of the block (not its own id)."""
-    dim = max(queries["exact"].shape[1], block["exact"].shape[1])
-    q = _padded(queries["exact"].astype(np.int64), dim)
-    low, width = _padded(block["low"], dim), np.concatenate([block["width"], np.ones(dim - len(block["width"]), np.int64)])
-    cells, exact, ids = _padded(block["cells"], dim), _padded(block["exact"].astype(np.int64), dim), block["ids"]
-    reach = np.abs(q).max(initial=0) * float(np.abs(exact).max(initial=0) + width.max(initial=0) * 2**CELL_BITS) * max(dim, 1)
-    number = np.float64 if reach < _EXACT else np.int64  # floats are exact up to there, and much faster
-    base = (q.astype(number) * width.astype(number)) @ cells.astype(number).T + (q.astype(number) @ low.astype(number))[:, None]
-    slack = (width - 1).astype(number)
-    above = np.maximum(q, 0).astype(number) @ slack
-    below = np.minimum(q, 0).astype(number) @ slack
-    for i in range(len(q)):
-        others = np.flatnonzero(ids != queries["ids"][i])
+def _padded(x: np.ndarray, dim: int, fill: int = 0) -> np.ndarray:
+    return np.concatenate([x, np.full((*x.shape[:-1], dim - x.shape[-1]), fill, x.dtype)], axis=-1)
+
+
+def bounds(queries: np.ndarray, block: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the scores of all queries (rows of integers) with all vectors of a block of cells."""
+    dim = max(queries.shape[1], len(block["low"]))
+    q, low, width = (x.astype(np.float64) for x in (_padded(queries, dim), _padded(block["low"], dim), _padded(block["width"], dim, 1)))
+    cells = _padded(block["cells"], dim).astype(np.float64)
+    base = (q * width) @ cells.T + (q @ low)[:, None]
+    slack = width - 1
+    below, above = np.minimum(q, 0) @ slack, np.maximum(q, 0) @ slack
+    reach = float(np.abs(q).max(initial=0)) * float((np.abs(low) + width * 2**CELL_BITS).max(initial=0)) * max(dim, 1)
+    loss = 0.0 if reach < _EXACT else reach * max(dim, 1) * 2.0**-50  # what rounding can take
+    return base + (below - loss)[:, None], base + (above + loss)[:, None]
+
+
+def survivors(queries: np.ndarray, query_ids: np.ndarray, block: dict[str, np.ndarray], ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query that has others in the block: its number, the k highest lower bounds, and the places and upper
+    bounds of all vectors that these bounds leave open."""
+    lower, upper = bounds(queries, block)
+    for i in range(len(queries)):
+        others = np.flatnonzero(ids != query_ids[i])
         if not len(others):
             continue
-        upper, n = base[i, others] + above[i], min(k, len(others))
-        certain = np.partition(base[i, others], len(others) - n)[len(others) - n] + below[i]
-        near = np.flatnonzero(upper >= certain)
-        near = near[np.argsort(-upper[near], kind="stable")]
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, step = 0, 4 * k
-        while at < len(near) and (len(best) < n or upper[near[at]] >= best[n - 1]):
-            take = others[near[at : at + step]]
-            best_ids, best = np.concatenate([best_ids, ids[take]]), np.concatenate([best, exact[take] @ q[i]])
-            order = np.lexsort((best_ids, -best))[:n]
-            best_ids, best = best_ids[order], best[order]
-            at, step = at + step, step * 2
-        yield i, best_ids, best
+        own, n = lower[i, others], min(k, len(others))
+        best = np.partition(own, len(own) - n)[len(own) - n :]
+        open_ = others[upper[i, others] >= best.min()]
+        yield i, best, open_, upper[i, open_]
+
+
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Row by row inner products of integers; those that a long cannot hold stop at its ends."""
+    size = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * max(left.shape[1], 1)
+    if size < 2.0**62:
+        return np.einsum("ij,ij->i", left, right)
+    exact = (left.astype(object) * right.astype(object)).sum(axis=1)
+    return np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in exact], np.int64)
+
+
+def _exact_scores(batches):
+    """From query, rank key, candidate and both vectors: query, id and score."""
+    for b in batches:
+        left, right = (_matrix([np.asarray(v.values, np.int64) for v in b.column(i)]) for i in (3, 4))
+        dim = max(left.shape[1], right.shape[1])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(products(_padded(left, dim), _padded(right, dim)))], names=["ask", "query_id", "vec_id", "score"])
 
 
 def top_k(
@@ -88,15 +112,15 @@ def top_k(
 ) -> DataFrame:
     """Each query's k best rows: query_id, rank (from 1), vec_id, score.
 
-    Components count as floor(scale * x); the score is the integer inner product.  A
-    query is compared with every row but those of its own id; ties go to the smaller id.
-    With fewer than k other rows all are returned; a query without any has no row.
+    Components count as floor(scale * x), between -2**61 and 2**61; the score is the integer inner product,
+    which stops at the ends of a long.  A query is compared with every row but those of its own id; ties
+    go to the smaller id.  With fewer than k other rows all are returned; a query without any has no row.
     Vectors that are null or hold null or non-finite components take no part, on either
     side; shorter vectors are padded with zeros.  A null id can be found, after all other
     ids of its score, and cannot ask.  A repeated query row is answered each time, a
     repeated vector found each time.  Empty tables give an empty result; only the two
     named columns are read.  Query blocks meet candidate blocks through a numbered
-    partition of the candidates, so no task holds more than two blocks at once.
+    partition of the candidates, so no task holds more than two blocks of cells at once.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -107,53 +131,98 @@ def top_k(
         fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(x.isNotNull() & fine)
 
-    def packed(size: int, emit_queries: bool):
-        def run(batches):
-            import random
-            import uuid
-
-            ids, lists = [], []
+    def numbered(batches):
+        """Rows of integers, each with the name of its block and its place there."""
+        import uuid
 
-            def block():
-                n = random.randrange(groups) if not emit_queries else 0
-                return pa.RecordBatch.from_arrays(
-                    [pa.array([n], pa.int32()), pa.array([uuid.uuid4().hex]), pa.array([pack(np.array(ids, np.int64), lists, scale)], pa.binary())], names=["g", "name", "data"]
-                )
+        name, at = uuid.uuid4().hex, 0
+        for b in batches:
+            ids, own = b.column(0), b.column(1)
+            places = [(name, at + i) for i in range(b.num_rows)]
+            if at + b.num_rows > BLOCK:
+                over = max(0, BLOCK - at)
+                rest = [uuid.uuid4().hex for _ in range(-(-(b.num_rows - over) // BLOCK))]
+                places = [(name, at + i) if i < over else (rest[(i - over) // BLOCK], (i - over) % BLOCK) for i in range(b.num_rows)]
+            name, at = places[-1][0], places[-1][1] + 1
+            ints = [scaled(np.asarray(v.values), scale) for v in own]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in places]), pa.array([p[1] for p in places], pa.int32()), ids, pa.array(ints, pa.list_(pa.int64()))], names=["block", "at", "id", "v"])
+
+    def approximated(batches):
+        """The cells of each block; rows of a block are neighbours."""
+        import random
+
+        held, name = [], None
+
+        def block():
+            ids = np.array([_NULL_ID if h[1] is None else h[1] for h in held], np.int64)
+            data = _pack(at=np.array([h[0] for h in held], np.int32), ids=ids, **cells_of(_matrix([h[2] for h in held])))
+            return pa.RecordBatch.from_arrays([pa.array([random.randrange(groups)], pa.int32()), pa.array([name]), pa.array([data], pa.binary())], names=["g", "block", "cells"])
 
-            for b in batches:
-                for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    ids.append(_NULL_ID if i is None else i)
-                    lists.append(np.asarray(v.values))
-                    if len(ids) >= size:
+        for b in batches:
+            for own, at, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if own != name:
+                    if held:
                         yield block()
-                        ids, lists = [], []
-            if ids:
-                yield block()
+                    held, name = [], own
+                held.append((at, i, np.asarray(v.values)))
+        if held:
+            yield block()
 
-        return run
+    def asking(batches):
+        """Queries in blocks, to go to every group of candidate blocks."""
+        held = []
 
-    from ._common import stored
+        def block():
+            data = _pack(ask=np.array([h[0] for h in held], np.int64), ids=np.array([h[1] for h in held], np.int64), exact=_matrix([h[2] for h in held]))
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["queries"])
 
-    shape = "g int, name string, data binary"
-    # stored, as the block names and places are drawn once
-    cands = stored(usable(vectors).mapInArrow(packed(BLOCK, False), shape))
-    asks = stored(usable(queries).filter("id is not null").mapInArrow(packed(QUERY_BLOCK, True), shape))
-    spread = asks.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.col("name").alias("q_name"), F.col("data").alias("q_data"))
-    paired = cands.select("g", "data").join(spread, "g").select("q_name", "q_data", "data")
-
-    def find(batches):
         for b in batches:
-            for name, q_data, data in zip(*(b.column(i) for i in range(3)), strict=True):
-                q, c = unpack(q_data.as_py()), unpack(data.as_py())
-                rows = [(np.full(len(s), i), np.full(len(s), q["ids"][i]), j, s) for i, j, s in search(q, c, k)]
-                if rows:
-                    at, own, ids, score = (np.concatenate([r[x] for r in rows]) for x in range(4))
+            for ask, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                held.append((ask, i, np.asarray(v.values)))
+                if len(held) == QUERY_BLOCK:
+                    yield block()
+                    held = []
+        if held:
+            yield block()
+
+    def scan(batches):
+        """For each query and block: the highest lower bounds, and the vectors they leave open with their upper bounds."""
+        for b in batches:
+            for name, cells, asks in zip(*(b.column(i) for i in range(3)), strict=True):
+                block, q = _unpack(cells.as_py()), _unpack(asks.as_py())
+                rows = [(q["ask"][i], low, block["at"][place], up) for i, low, place, up in survivors(q["exact"], q["ids"], block, block["ids"], k)]
+                for at in range(0, len(rows), 128):
+                    some = rows[at : at + 128]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name.as_py()] * len(at)), pa.array(at.astype(np.int32)), pa.array(own), pa.array(ids), pa.array(score)],
-                        names=["q_name", "at", "query_id", "vec_id", "score"],
+                        [pa.array([r[0] for r in some]), pa.array([name.as_py()] * len(some)), pa.array([r[1] for r in some], pa.list_(pa.float64())), pa.array([r[2] for r in some], pa.list_(pa.int32())), pa.array([r[3] for r in some], pa.list_(pa.float64()))],
+                        names=["ask", "block", "lower", "at", "upper"],
                     )
 
-    found = paired.mapInArrow(find, "q_name string, at int, query_id long, vec_id long, score long")
-    place = F.row_number().over(W.partitionBy("q_name", "at").orderBy(F.desc("score"), "vec_id"))
-    best = found.withColumn("rank", place).filter(F.col("rank") <= k)
+    # stored, as the names are drawn once: the exact vectors by block and place, and the cells
+    exact = stored(usable(vectors).mapInArrow(numbered, "block string, at int, id long, v array<long>"))
+    cells = stored(exact.repartition("block").sortWithinPartitions("block", "at").mapInArrow(approximated, "g int, block string, cells binary"))
+    own = usable(queries).filter("id is not null").mapInArrow(numbered, "block string, at int, id long, v array<long>")
+    asks = stored(own.select(F.xxhash64("block", "at").alias("ask"), "id", "v"))
+    blocks = asks.mapInArrow(asking, "queries binary").select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "queries")
+    found = stored(cells.join(blocks, "g").select("block", "cells", "queries").mapInArrow(scan, "ask long, block string, lower array<double>, at array<int>, upper array<double>"))
+
+    def kth(rows: DataFrame, value: str) -> DataFrame:
+        """The k-th highest value of each query that has so many."""
+        place = F.row_number().over(W.partitionBy("ask").orderBy(F.desc(value)))
+        return rows.withColumn("n", place).filter(F.col("n") <= k).groupBy("ask").agg(F.min(value).alias("least"), F.count("*").alias("there")).filter(F.col("there") == k).select("ask", "least")
+
+    certain = kth(found.select("ask", F.explode("lower").alias("low")), "low")
+    near = found.join(certain, "ask", "left").select("ask", "block", "least", F.explode(F.arrays_zip("at", "upper")).alias("c")).select("ask", "block", "c.at", "c.upper", "least")
+    near = near.filter("least is null or upper >= least").drop("least")
+    near = stored(near.withColumn("order", F.row_number().over(W.partitionBy("ask").orderBy(F.desc("upper"), "block", "at"))))
+
+    def read(some: DataFrame) -> DataFrame:
+        asked = some.join(asks.select("ask", F.col("id").alias("query_id"), F.col("v").alias("q")), "ask")
+        both = asked.join(exact, ["block", "at"]).select("ask", "query_id", F.coalesce("id", F.lit(int(_NULL_ID))).alias("vec_id"), "q", "v")
+        return both.mapInArrow(_exact_scores, "ask long, query_id long, vec_id long, score long")
+
+    first = stored(read(near.filter(F.col("order") <= FIRST * k)))
+    rest = near.filter(F.col("order") > FIRST * k).join(kth(first, "score"), "ask", "left").filter("least is null or upper >= least").drop("least")
+    place = F.row_number().over(W.partitionBy("ask").orderBy(F.desc("score"), "vec_id"))
+    best = first.unionByName(read(rest)).withColumn("rank", place).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", F.when(F.col("vec_id") != int(_NULL_ID), F.col("vec_id")).alias("vec_id"), "score")
