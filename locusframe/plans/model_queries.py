@@ -257,36 +257,60 @@ def job_features_seq(spark, d):
     return _stats(X.featurize_sequence_phase(_windows(spark, d), 16, 8, seed=4))
 
 
-_TF = """, m AS (SELECT contig, s, e, strand, id FROM reads), w AS (SELECT contig, s, e FROM windows)
-SELECT w.contig, w.s AS start, count(m.id) AS reads FROM w LEFT JOIN m ON m.contig = w.contig AND m.s < w.e AND w.s < m.e GROUP BY ALL"""
+_DATASET = """, c AS (SELECT g.contig, g.s, count(r.id) FILTER (r.cell_type = 'c0') AS c0, count(r.id) FILTER (r.cell_type = 'c1') AS c1, count(r.id) FILTER (r.cell_type = 'c2') AS c2
+  FROM regions g LEFT JOIN dreads r ON r.contig = g.contig AND r.s < g.e AND g.s < r.e GROUP BY ALL),
+p AS (SELECT g.contig, g.s, count(*) AS n FROM regions g JOIN dreads r ON r.contig = g.contig AND r.s < g.e AND g.s < r.pe AND r.s < r.pe GROUP BY ALL),
+x AS (SELECT g.contig, g.s AS start, quality, toxic, coalesce(substr(f.seq, g.s + 1, 200), '') AS sequence, c0, c1, c2, coalesce(n, 0) AS peaks
+  FROM regions g LEFT JOIN reference f USING (contig) JOIN c ON c.contig = g.contig AND c.s = g.s LEFT JOIN p ON p.contig = g.contig AND p.s = g.s)"""
+_PARTS = ("document_regions", "document_reads", "reference")
 
 
 def _dataset(spark, d):
+    """Labelled regions with their sequence, their peaks and the reads over them by cell type."""
     from ..operators.intervals import overlap_join
+    from ..operators.sequences import chunked, extract_sequences
 
-    w = V.windows(spark, d)
-    pairs = overlap_join(w, V.reads(spark, d).select("contig", "start", "end", "id"), how="left")
-    return pairs.groupBy("contig", "start").agg(F.count("r_id").alias("reads"))
+    regions, reads = V.document_regions(spark, d), V.document_reads(spark, d)
+    at = regions.select("contig", "start", "end")
+    over = overlap_join(at, reads.select("contig", "start", "end", "cell_type")).groupBy("contig", "start").agg(*[F.count_if(F.col("r_cell_type") == c).alias(c) for c in ("c0", "c1", "c2")])
+    peaks = overlap_join(at, reads.select("contig", "start", F.col("peak_end").alias("end"))).groupBy("contig", "start").agg(F.count("*").alias("peaks"))
+    whole = extract_sequences(regions, chunked(V.reference(spark, d))).join(over, ["contig", "start"], "left").join(peaks, ["contig", "start"], "left")
+    return whole.fillna(0, ["c0", "c1", "c2", "peaks"])
+
+
+def _saved(spark, windows):
+    """Written as windows by tf and read again."""
+    from ..files import shared_path
+    from ..sources.writers import write_windows
+
+    path = shared_path(spark, "dataset")
+    write_windows(windows, path)
+    return spark.read.parquet(path)
 
 
-@query("job_dataset_tf", sql(_TF, "reads", "windows"))
+@query("job_dataset_tf", sql(f"{_DATASET} SELECT contig, start, quality::INT AS label, sequence, peaks, c0, c1, c2 FROM x", *_PARTS))
 def job_dataset_tf(spark, d):
-    """Windows with the reads that lie over them, none dropped."""
-    return _dataset(spark, d)
+    """One tf: labels to sequences, peaks and coverage of each cell type, saved and read again."""
+    out = _dataset(spark, d).withColumn("tf", F.lit("EGR1")).withColumn("label", F.col("quality").cast("int"))
+    return _saved(spark, out).select("contig", "start", "label", "sequence", "peaks", "c0", "c1", "c2")
 
 
-@query("job_dataset_all_tf", sql(_TF.replace("SELECT w.contig,", "SELECT t.tf, w.contig,").replace("FROM w LEFT", "FROM w CROSS JOIN (SELECT unnest(['EGR1', 'ATF2']) AS tf) t LEFT"), "reads", "windows"))
+@query("job_dataset_all_tf", sql(f"{_DATASET} SELECT 'EGR1' AS tf, contig, start, quality::INT AS label, sequence, peaks, c0, c1, c2 FROM x UNION ALL SELECT 'ATF2', contig, start, toxic::INT, sequence, peaks, c0, c1, c2 FROM x", *_PARTS))
 def job_dataset_all_tf(spark, d):
-    out = _dataset(spark, d)
-    return out.select(F.explode(F.array(F.lit("EGR1"), F.lit("ATF2"))).alias("tf"), "*")
+    """Two tfs with labels of their own; sequences, peaks and coverage are loaded once for both."""
+    labels = F.explode(F.array(F.struct(F.lit("EGR1").alias("tf"), F.col("quality").cast("int").alias("label")), F.struct(F.lit("ATF2").alias("tf"), F.col("toxic").cast("int").alias("label"))))
+    out = _dataset(spark, d).withColumn("l", labels).select("*", "l.*").drop("l")
+    return _saved(spark, out).select("tf", "contig", "start", "label", "sequence", "peaks", "c0", "c1", "c2")
 
 
-@query("job_dataset_test", sql(", w AS (SELECT contig, s FROM windows) SELECT contig, s AS start, -10 AS label, c.cell_type FROM w, (SELECT unnest(['c0', 'c1']) AS cell_type) c", "windows"))
+@query("job_dataset_test", sql(f"{_DATASET} SELECT contig, start, -10 AS label, cell_type, sequence, CASE cell_type WHEN 'c0' THEN c0 ELSE c1 END AS reads FROM x, (SELECT unnest(['c0', 'c1']) AS cell_type)", *_PARTS))
 def job_dataset_test(spark, d):
-    """Unlabelled regions for each requested cell type."""
+    """Unlabelled regions for each requested cell type, with their sequence and the reads of that type, saved and read again."""
     from ..functions.labels import UNLABELED
 
-    return V.windows(spark, d).select("contig", "start", F.lit(UNLABELED).alias("label"), F.explode(F.array(F.lit("c0"), F.lit("c1"))).alias("cell_type"))
+    asked = F.explode(F.array(*[F.struct(F.lit(c).alias("cell_type"), F.col(c).alias("reads")) for c in ("c0", "c1")]))
+    out = _dataset(spark, d).withColumn("a", asked).select("contig", "start", "end", "sequence", "a.*", F.lit("EGR1").alias("tf"), F.lit(UNLABELED).alias("label"))
+    return _saved(spark, out).select("contig", "start", "label", "cell_type", "sequence", "reads")
 
 
 _TF_WHOLE = """, r AS (SELECT w.contig, w.s, count(m.id) AS reads, count(*) FILTER (m.cell_type = 'c0') AS c0, count(*) FILTER (m.cell_type = 'c1') AS c1, count(*) FILTER (m.cell_type = 'c2') AS c2
@@ -320,12 +344,24 @@ def job_dataset_test_whole(spark, d):
     return V.windows(spark, d).select("contig", "start", F.lit(UNLABELED).alias("label"), F.explode(F.array(F.lit("c0"), F.lit("c1"))).alias("cell_type"))
 
 
-@query("job_score", ORACLES["classification_report"])
-def job_score(spark, d):
-    """A submission checked against the truth and reported on."""
-    from .metric_queries import classification_report
+_SUBMITTED = """, sub AS (SELECT 'chr' || (doc_id % 3 + 1) AS contig, doc_id * 50 AS s, round(n_chars / (n_chars + 1000.0::DOUBLE), 6) AS score FROM documents WHERE lang = 'en'),
+al AS (SELECT count(*) FILTER (sub.s IS NULL) AS only_truth, count(*) FILTER (w.s IS NULL) AS only_submission FROM wide w FULL JOIN sub ON sub.contig = w.contig AND sub.s = w.s),
+rows AS (SELECT 1 AS k, q AS label, coalesce(score, 0.0)::DOUBLE AS score FROM wide w LEFT JOIN sub ON sub.contig = w.contig AND sub.s = w.s WHERE q >= 0)"""
 
-    return classification_report(spark, d)
+
+@query("job_score", sql(f"{_SUBMITTED}{_metric_queries._CURVE} SELECT any_value(only_truth) AS only_truth, any_value(only_submission) AS only_submission, 0::BIGINT AS bad_scores, 0::BIGINT AS bad_labels, {_metric_queries._ROC} AS auroc, {_metric_queries._PRC} AS auprc, {_metric_queries._FDR(0.5)} AS recall_at_50_fdr, {_metric_queries._FDR(0.1)} AS recall_at_10_fdr FROM d, al", "wide"))
+def job_score(spark, d):
+    """A submission aligned with the labels, checked, filled with 0.0 where it has no score, and reported on without ambiguous regions."""
+    from ..functions.labels import label_encode
+    from ..operators import ranking as R
+
+    truth = V.wide_labels(spark, d).select(F.col("chr").alias("contig"), "start", F.col("stop").alias("end"), F.col("HepG2").alias("label"))
+    docs = V.table(spark, d, "documents").filter("lang = 'en'")
+    start = F.col("doc_id") * 50
+    submission = docs.select(F.concat(F.lit("chr"), (F.col("doc_id") % 3 + 1).cast("string")).alias("contig"), start.alias("start"), (start + 200).alias("end"), F.round(F.col("n_chars") / (F.col("n_chars") + 1000.0), 6).alias("score"))
+    filled = R.template_join(truth.withColumn("label", label_encode(F.col("label"))), submission)
+    report = M.classification_report(filled).select(*[F.round(c, 6).alias(c) for c in ("auroc", "auprc", "recall_at_50_fdr", "recall_at_10_fdr")])
+    return R.aligned_check(truth, submission).crossJoin(F.broadcast(report))  # one row each
 
 
 @query("job_rank", ORACLES["global_ranking"])
