@@ -130,7 +130,7 @@ def _postings(k: int, hot: np.ndarray, parts: int):
             order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
             shingle, owner, part = shingle[order], owner[order], part[order]
             starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-            for a, z in zip(starts, [*starts[1:], len(part)], strict=True):
+            for a, z in zip(starts, [*starts[1:], len(part)], strict=False):  # both may be empty but for the end
                 rows.append((int(part[a]), _packed(shingle[a:z], owner[a:z])))
             for at in range(0, len(rows), 64):
                 some = rows[at : at + 64]

@@ -2,7 +2,8 @@
 
 Every source gets a budget of words.  Whole rounds of the source come first; for what
 remains, documents are counted by exact length, most of the budget is dealt to the
-lengths in proportion, and a bounded-knapsack program fits the rest.  Documents are
+lengths in proportion, and a bounded-knapsack program fits the rest, or the whole budget
+where that is small and comes nearer.  Documents are
 then chosen by a seeded hash, as many of each length as the plan says.
 """
 
@@ -41,7 +42,12 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
             best = fits[np.argmax(sizes[fits])]
             taken[best] += 1
             rest -= int(sizes[best])
-    return taken + _knapsack(sizes, counts - taken, rest)
+    taken = taken + _knapsack(sizes, counts - taken, rest)
+    missed = budget - int((sizes * taken).sum())
+    if missed and budget <= KNAPSACK_WORDS:  # the lengths dealt first may stand in the way of an exact fit
+        exact = _knapsack(sizes, counts, budget)
+        taken = exact if int((sizes * exact).sum()) > budget - missed else taken
+    return taken
 
 
 def _knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:

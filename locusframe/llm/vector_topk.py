@@ -73,7 +73,8 @@ def bounds(queries: np.ndarray, block: dict[str, np.ndarray]) -> tuple[np.ndarra
     below, above = np.minimum(q, 0) @ slack, np.maximum(q, 0) @ slack
     reach = float(np.abs(q).max(initial=0)) * float((np.abs(low) + width * 2**CELL_BITS).max(initial=0)) * max(dim, 1)
     loss = 0.0 if reach < _EXACT else reach * max(dim, 1) * 2.0**-50  # what rounding can take
-    return base + (below - loss)[:, None], base + (above + loss)[:, None]
+    ends = (-(2.0**63), 2.0**63)  # scores stop there, and are ties then
+    return np.clip(base + (below - loss)[:, None], *ends), np.clip(base + (above + loss)[:, None], *ends)
 
 
 def survivors(queries: np.ndarray, query_ids: np.ndarray, block: dict[str, np.ndarray], ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
