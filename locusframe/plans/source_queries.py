@@ -306,20 +306,31 @@ def write_cuts(spark, d):
     return spark.read.parquet(path).groupBy("cell_type").agg(F.count("*").alias("n"))
 
 
-@query("save_model", sql(", m AS (SELECT unnest(range(0, 64))::INT AS row, unnest(f) AS w FROM (SELECT features AS f FROM features WHERE id = (SELECT min(id) FROM features))) SELECT row, round(w, 6) AS w FROM m", "features"))
-def save_model(spark, d):
-    """The first vector as weights, saved and read."""
+_MEANS = ", means AS (SELECT row, avg(v) AS w FROM (SELECT unnest(range(0, len(features)))::INT AS row, unnest(features) AS v FROM features) GROUP BY row)"
+
+
+def _means(spark, d):
+    """The mean feature vector, summed in the tasks, as a saved model."""
     import numpy as np
 
+    mean = V.features(spark, d).select(F.posexplode("features").alias("row", "v")).groupBy("row").agg(F.avg("v").alias("w"))
+    w = mean.orderBy("row").toPandas()["w"].to_numpy(np.float64)  # one number a feature
     path = shared_path(spark, "model")
-    O.save_model(spark, np.array(V.features(spark, d).orderBy("id").first()["features"]), path)
-    w = O.load_model(spark, path)
-    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(w)], "row int, w double")
+    O.save_model(spark, w, path)
+    return path
+
+
+@query("save_model", sql(f"{_MEANS} SELECT row, round(w, 6) AS w FROM means", "features"))
+def save_model(spark, d):
+    """The mean of all vectors as weights, saved; its rows as they lie there."""
+    return spark.read.parquet(_means(spark, d)).select("row", F.round("w", 6).alias("w"))
 
 
-@query("load_model", ORACLES["save_model"])
+@query("load_model", sql(f"{_MEANS}, m AS (SELECT list(w ORDER BY row) AS w FROM means) SELECT id, round(list_inner_product(features, w), 5) AS score FROM features, m", "features"))
 def load_model(spark, d):
-    return save_model(spark, d)
+    """Scores of all vectors under a model that was saved and loaded."""
+    w = O.load_model(spark, _means(spark, d))
+    return O.linear_predict(V.features(spark, d), w.reshape(-1)).select("id", F.round("score", 5).alias("score"))
 
 
 @query("job_dataset", sql(", m AS (SELECT contig, s, s + 200 AS e, q AS label FROM wide) SELECT m.contig, m.s AS start, label, count(p.id) AS peaks FROM m LEFT JOIN (SELECT id, 'chr' || (id % 3 + 1) AS contig, s // 50 * 50 AS lo, e // 50 * 50 + 50 AS hi FROM peaks) p ON p.contig = m.contig AND p.lo < m.e AND m.s < p.hi AND m.s >= greatest(p.lo - 200, 0) AND m.s < least(p.hi + 200, 10000000) GROUP BY m.contig, m.s, label", "wide", "peaks"))
