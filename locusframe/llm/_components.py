@@ -11,12 +11,20 @@ ROUNDS = 60
 HUB_EDGES, HUB_SHARE = 1000, 10_000
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Join on a key of which right has one row with the number of left's rows, of total.
+
+    The keys of hubs, at most HUB_SHARE of them, are broadcast, so that their rows are not shuffled to one task.
+    """
+    hub = F.col(count) > max(HUB_EDGES, total // HUB_SHARE)
+    hot = F.broadcast(right.filter(hub))
+    rest = left.join(F.broadcast(right.filter(hub).select(key)), key, "left_anti").join(right.filter(~hub), key)
+    return left.join(hot, key).unionByName(rest)
+
+
 def _lowest(edges: DataFrame, low: DataFrame, count: int) -> DataFrame:
-    """u, v and m, the least node next to u.  Hubs, at most HUB_SHARE of them, are broadcast and not shuffled to one task."""
-    hub = F.col("c") > max(HUB_EDGES, count // HUB_SHARE)
-    near = edges.join(F.broadcast(low.filter(hub).select("u", F.col("m").alias("h"))), "u", "left")
-    rest = near.filter("h is null").select("u", "v").join(low.filter(~hub).select("u", "m"), "u")
-    return near.filter("h is not null").select("u", "v", F.col("h").alias("m")).unionByName(rest)
+    """u, v and m, the least node next to u."""
+    return join_counted(edges, low, "u", "c", count)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import bounded_batches, stored
-from ._components import components
+from ._components import components, join_counted
 from ._shingles import buffers, mix, shingle_sets
 
 #: Sets and runs of shingles of one block; pivots drawn from a group that needs several blocks.
@@ -441,6 +441,7 @@ def similarity_components(docs: DataFrame, share: int = 75, k: int = 5, id_col:
     first = able.select("sig", F.explode(F.slice("runs", F.lit(1), F.col("prefix"))).alias("key"))
     keys = first.groupBy("key").agg(F.count("*").alias("m"), F.min("sig").alias("a")).filter("m > 1")
     first = stored(first.join(keys, "key"))
+    total = first.count()
     maybe = components(first.select("a", F.col("sig").alias("b")))
     member = maybe.unionByName(maybe.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "sig")
     grouped = stored(able.select("sig", F.size("runs").alias("size")).join(member, "sig"))
@@ -449,15 +450,16 @@ def similarity_components(docs: DataFrame, share: int = 75, k: int = 5, id_col:
     # a chain of classes is one group, or as many as it has keys, whichever copies fewer sets
     chain = grouped.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("w")).withColumn("by_chain", F.col("m") * blocks(F.col("m"), F.col("w")))
     by_key = keyed.groupBy("root").agg(F.sum(F.ceil(F.col("m") / BLOCK_SETS)).alias("by_key"))
-    chain = chain.join(by_key, "root").select("root", (F.col("by_key") < F.col("by_chain")).alias("split"))
-    whole = grouped.join(chain.filter("not split"), "root").select("sig", "size", F.xxhash64(F.lit("chain"), "root").alias("group"))
-    split = keyed.join(chain.filter("split"), "root").select("sig", F.xxhash64(F.lit("key"), "key").alias("group"))
+    chain = stored(chain.join(by_key, "root").select("root", F.col("m").alias("in_chain"), (F.col("by_key") < F.col("by_chain")).alias("split")))
+    whole = join_counted(grouped, chain.filter("not split"), "root", "in_chain", total).select("sig", "size", F.xxhash64(F.lit("chain"), "root").alias("group"))
+    split = join_counted(keyed, chain.filter("split"), "root", "in_chain", total).select("sig", F.xxhash64(F.lit("key"), "key").alias("group"))
     grouped = stored(whole.unionByName(split.join(grouped.select("sig", "size"), "sig").select("sig", "size", "group")))
     sums = grouped.groupBy("group").agg(F.count("*").alias("m"), F.sum("size").alias("w")).filter("m > 1")
     sums = stored(sums.select("group", "m", blocks(F.col("m"), F.col("w")).alias("blocks")))
 
     # groups of several blocks: most sets link with one of a few pivots and need no comparing among themselves
-    large = grouped.join(sums.filter("blocks > 1"), "group").groupBy("sig").agg(F.max(F.struct("m", "group")).alias("g")).select("sig", "g.*")
+    several = stored(join_counted(grouped, sums.filter("blocks > 1"), "group", "m", total))
+    large = several.groupBy("sig").agg(F.max(F.struct("m", "group")).alias("g")).select("sig", "g.*")
     salts = F.ceil(F.col("m") / (4 * BLOCK_SETS))
     large = large.select("sig", "group", "m", F.pmod(F.xxhash64("sig", F.lit(2)), salts).alias("salt")).join(able, "sig")
     picked = large.filter(F.pmod(F.xxhash64("sig"), F.ceil(F.col("m") / PIVOTS)) == 0)
@@ -466,15 +468,14 @@ def similarity_components(docs: DataFrame, share: int = 75, k: int = 5, id_col:
     met = stored(large.join(pivots, ["group", "salt"]).select("sig", "n", "runs", "pivots").mapInArrow(_meet_pivots(share), "a long, b long"))
     met_root = components(met)
     met_all = met_root.unionByName(met_root.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("sig"), F.col("root").alias("near"))
-    sided = grouped.join(sums.filter("blocks > 1").select("group"), "group").select("sig", "group").join(met_all, "sig")
-    main = sided.groupBy("group", "near").agg(F.count("*").alias("c")).groupBy("group").agg(F.max(F.struct("c", "near")).alias("x")).select("group", F.col("x.near").alias("main"))
-    core = sided.join(main, "group").filter("near = main").select("sig", "group", F.lit(True).alias("core"))
-    split = grouped.join(core, ["sig", "group"], "left").withColumn("core", F.coalesce("core", F.lit(False)))
-    split = split.join(sums, "group")
-    sides = split.groupBy("group").agg(F.first("blocks").alias("all"), F.first("m").alias("m"), F.sum(F.col("core").cast("long")).alias("c"))
-    part = lambda x: F.ceil(F.col("all") * x / F.col("m")).cast("int")
-    sides = sides.select("group", part(F.col("c")).alias("gc"), part(F.col("m") - F.col("c")).alias("gn"))
-    placed = split.drop("m", "blocks").join(sides, "group").filter("gn > 0")
+    sided = several.select("sig", "group").join(met_all, "sig")
+    main = sided.groupBy("group", "near").agg(F.count("*").alias("c")).groupBy("group").agg(F.max(F.struct("c", "near")).alias("x"), F.sum("c").alias("met"))
+    core = join_counted(sided, main.select("group", F.col("x.near").alias("main"), "met"), "group", "met", total).filter("near = main").select("sig", "group", F.lit(True).alias("core"))
+    split = stored(grouped.join(core, ["sig", "group"], "left").withColumn("core", F.coalesce("core", F.lit(False))))
+    sides = split.groupBy("group").agg(F.sum(F.col("core").cast("long")).alias("c")).join(sums, "group")
+    part = lambda x: F.ceil(F.col("blocks") * x / F.col("m")).cast("int")
+    sides = stored(sides.select("group", "m", part(F.col("c")).alias("gc"), part(F.col("m") - F.col("c")).alias("gn")).filter("gn > 0"))
+    placed = join_counted(split, sides, "group", "m", total)
     at = F.pmod(F.xxhash64("sig", F.lit(1)), F.when(F.col("core"), F.greatest("gc", F.lit(1))).otherwise(F.col("gn"))).cast("int")
     placed = placed.withColumn("at", at)
     up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
