@@ -14,8 +14,16 @@ from .metrics import tagged_metrics
 from .splits import keep_by_hash
 
 
+#: Numbers of one row of a packed matrix.
+PACK = 32_768
+
+
 def gram(df: DataFrame, features: str = "features", label: str = "label", intercept: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
-    """X'X, X'y and the number of rows: each task adds up its own, one row a task meets in the sum."""
+    """X'X, X'y and the number of rows.
+
+    Each task adds up its own upper triangle and packs it; equal pieces of all tasks meet in one task and are added
+    there, so the driver gets one triangle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -28,16 +36,28 @@ def gram(df: DataFrame, features: str = "features", label: str = "label", interc
             x = np.column_stack([x, b.column(1).to_numpy(zero_copy_only=False).astype(float), np.ones(len(x))])
             total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
-            i, j = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i", "j", "v"])
+            flat = total[np.triu_indices(len(total))]
+            for piece in range(0, len(flat), PACK):
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([flat[piece : piece + PACK].tobytes()], pa.binary())], names=["piece", "data"])
 
-    parts = df.select(features, label).filter(F.col(features).isNotNull() & F.col(label).isNotNull()).mapInArrow(run, "i long, j long, v double")
-    cells = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()  # features squared, not rows
-    if not len(cells):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for piece, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(data)
+                sums[piece] = sums[piece] + own if piece in sums else own
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["piece", "data"])
+
+    parts = df.select(features, label).filter(F.col(features).isNotNull() & F.col(label).isNotNull()).mapInArrow(run, "piece long, data binary")
+    pieces = parts.repartition("piece").mapInArrow(add, "piece long, data binary").collect()
+    if not pieces:
         return np.zeros((0, 0)), np.zeros(0), 0
-    d = int(cells["i"].max()) + 1
+    flat = np.concatenate([np.frombuffer(r["data"]) for r in sorted(pieces, key=lambda r: r["piece"])])
+    d = int((np.sqrt(8 * len(flat) + 1) - 1) / 2)
     m = np.zeros((d, d))
-    m[cells["i"], cells["j"]] = cells["v"]
+    m[np.triu_indices(d)] = flat
+    m = m + np.triu(m, 1).T
     return m[:-2, :-2], m[:-2, -2], int(round(m[-1, -1]))
 
 

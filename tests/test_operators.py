@@ -193,3 +193,31 @@ def test_contig_table_and_names(spark):
     df = spark.createDataFrame([("/a/DNASE.A549.x.narrowPeak/part-0.csv",), ("/a/L.TF.CELL.tab.gz",)], "p string")
     assert [r[0] for r in df.select(L.name_part(F.col("p"), 1)).collect()] == ["A549", "TF"]
     assert [r[0] and tuple(r[0]) for r in df.select(L.submission_name(F.col("p"))).collect()] == [None, ("L", "TF", "CELL")]
+
+
+def test_motif_centers_agree_by_array_and_by_join(spark, monkeypatch):
+    from locusframe.operators import sequences as Q
+
+    pwms = [(m, f"t{m % 2}", pos, b, p) for m in range(3) for pos in range(3 + m) for b, p in zip("ACGT", [(0.1, 0.2, 0.3, 0.4), (0.7, 0.1, 0.1, 0.1), (0.25, 0.25, 0.25, 0.25)][(m + pos) % 3], strict=True)]
+    motifs = Q.motif_arrays(spark.createDataFrame(pwms, "motif_id int, tf string, pos int, base string, p double"))
+    rows = [(i, f"t{i % 3}", s) for i, s in enumerate(["ACGTACGTTTAGACC", "NNNNNNN", "AC", "", None, "ACGNACGTAé", "TTTTTTTTTT", "T" * 600 + "ACGTA"])]
+    windows = spark.createDataFrame(rows, "id long, tf string, sequence string")
+    one = sorted(map(str, Q.best_motif_center(windows, motifs).collect()))
+    monkeypatch.setattr(Q, "MOTIFS", 0)
+    assert sorted(map(str, Q.best_motif_center(windows, motifs).collect())) == one
+    assert Q.best_motif_center(windows.limit(0), motifs).count() == 0
+
+
+def test_gram_in_several_pieces(spark, monkeypatch):
+    import numpy as np
+
+    from locusframe.operators import models as O
+
+    monkeypatch.setattr(O, "PACK", 7)
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(50, 6)), rng.normal(size=50)
+    df = spark.createDataFrame([(r.tolist(), float(v)) for r, v in zip(x, y, strict=True)] + [(None, 1.0)], "features array<double>, label double").repartition(4)
+    xx, xy, n = O.gram(df, intercept=True)
+    full = np.column_stack([x, np.ones(50)])
+    assert n == 50 and np.allclose(xx, full.T @ full) and np.allclose(xy, full.T @ y)
+    assert O.gram(df.limit(0))[2] == 0
