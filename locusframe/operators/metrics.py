@@ -55,7 +55,7 @@ def curves(df: DataFrame, keys: list[str] | None = None, **columns: str) -> Data
     )
 
 
-def _recall_at(cut: float) -> Column:
+def recall_at(cut: float) -> Column:
     return F.coalesce(F.max(F.when(1 - F.col("precision") <= cut, F.col("recall"))), F.lit(0.0))
 
 
@@ -82,11 +82,11 @@ def binary_metrics(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def recall_at_fdr(df: DataFrame, cuts: tuple[float, ...], keys: list[str] | None = None) -> DataFrame:
     """Largest recall among thresholds whose false discovery rate is at most the cut; 0 if there is none."""
-    return _agg(curves(df, keys), keys, *[_recall_at(c).alias(f"recall_at_{round(100 * c)}_fdr") for c in cuts])
+    return _agg(curves(df, keys), keys, *[recall_at(c).alias(f"recall_at_{round(100 * c)}_fdr") for c in cuts])
 
 
 def tagged_metrics(df: DataFrame, tag: str, cuts: tuple[float, ...] = (0.5, 0.25, 0.1, 0.05), keys: list[str] | None = None) -> DataFrame:
-    values = [average_precision().alias(f"{tag}_ap"), au_roc().alias(f"{tag}_auroc"), *[_recall_at(c).alias(f"{tag}_recall_at_{round(100 * c)}_fdr") for c in cuts]]
+    values = [average_precision().alias(f"{tag}_ap"), au_roc().alias(f"{tag}_auroc"), *[recall_at(c).alias(f"{tag}_recall_at_{round(100 * c)}_fdr") for c in cuts]]
     return _agg(curves(df, keys), keys, *values)
 
 
@@ -100,7 +100,7 @@ def classification_report(df: DataFrame, keys: list[str] | None = None, cuts: tu
     tn = n - (pred - tp)
     return _agg(
         c, keys, tp.alias("tp"), p.alias("p"), tn.alias("tn"), n.alias("n"), au_roc().alias("auroc"), au_prc().alias("auprc"), _ratio(2.0 * tp, pred + p).alias("f1"),
-        *[_recall_at(x).alias(f"recall_at_{round(100 * x)}_fdr") for x in cuts],
+        *[recall_at(x).alias(f"recall_at_{round(100 * x)}_fdr") for x in cuts],
         (tp / (p + _GUARD)).alias("positive_accuracy"), (tn / (n + _GUARD)).alias("negative_accuracy"), ((tp / (p + _GUARD) + tn / (n + _GUARD)) / 2).alias("balanced_accuracy"),
     )
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .metrics import in_ranges
+
 
 def average_rank(value: Column, keys: list[Column | str], descending: bool = True) -> Column:
     """Rank with ties averaged, over the keys."""
@@ -12,6 +14,25 @@ def average_rank(value: Column, keys: list[Column | str], descending: bool = Tru
     return first + (F.count(F.lit(1)).over(W.partitionBy(*keys, value)) - 1) / 2.0
 
 
+def average_ranks(df: DataFrame, value: str, keys: list[str], out: str = "rank", descending: bool = True) -> DataFrame:
+    """Add the same rank of a column without sorting a whole key in one task.
+
+    Equal values are counted first; places are counted within ranges of values, to which the rows of the ranges
+    before are added.  Null values rank last if descending, else first, as one value.
+    """
+    per = in_ranges(df.groupBy(*keys, value).agg(F.count("*").alias("__n")), value)
+    order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    past = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = per.groupBy(*keys, "part").agg(F.sum("__n").alias("__of_part"))
+    before = past(W.partitionBy(*keys).orderBy(order("part")), "__of_part").alias("__before")
+    sums = sums.select(*[F.col(c).alias(f"__s_{c}") for c in (*keys, "part")], before)
+    same = lambda columns, mark: [F.col(c).eqNullSafe(F.col(f"{mark}{c}")) for c in columns]
+    per = per.join(sums, same([*keys, "part"], "__s_")).select(*keys, value, "part", "__n", "__before")
+    inside = past(W.partitionBy(*keys, "part").orderBy(order(value)), "__n")
+    ranks = per.select(*[F.col(c).alias(f"__{c}") for c in (*keys, value)], (F.col("__before") + inside + 1 + (F.col("__n") - 1) / 2.0).alias(out))
+    return df.join(ranks, same([*keys, value], "__")).drop(*[f"__{c}" for c in (*keys, value)])
+
+
 def combined_rank(df: DataFrame, metrics: list[str], keys: list[str]) -> DataFrame:
     """rank_sum: sum over the metrics of ln(rank / (n + 1)); combined_rank: its rank, ties averaged."""
     n = F.count(F.lit(1)).over(W.partitionBy(*keys))

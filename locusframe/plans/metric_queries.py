@@ -204,7 +204,7 @@ _AVG = lambda col, keys, desc="DESC": f"(rank() OVER (PARTITION BY {keys} ORDER
 
 @query("avg_rank", sql(f"SELECT id, {_AVG('m0', 'tf, sample')} AS rank FROM submissions", "submissions"))
 def avg_rank(spark, d):
-    return V.submissions(spark, d).select("id", R.average_rank(F.col("m0"), ["tf", "sample"]).alias("rank"))
+    return R.average_ranks(V.submissions(spark, d).select("id", "tf", "sample", "m0"), "m0", ["tf", "sample"]).select("id", "rank")
 
 
 _BOARD = """, u AS (SELECT "user", tf, sample, bootstrap, m0, m1, m2, m3 FROM submissions QUALIFY row_number() OVER (PARTITION BY "user", tf, sample, bootstrap ORDER BY id DESC) = 1)"""

@@ -364,9 +364,25 @@ def job_score(spark, d):
     return R.aligned_check(truth, submission).crossJoin(F.broadcast(report))  # one row each
 
 
-@query("job_rank", ORACLES["global_ranking"])
-def job_rank(spark, d):
-    """Submissions to boards to the global ranking, best mean score first."""
-    from .metric_queries import global_ranking
+_Q = _metric_queries
+_SUBMISSIONS = f""", rated AS (SELECT unnest([0, 1, 2, 3]) AS "user", unnest([score, round(1 - score, 6), (id * 37 % 1000) / 1000.0::DOUBLE, round(abs(score - 0.5), 6)]) AS score, id, label, toxic FROM scored),
+rows AS (SELECT "user" * 100 + id % 3 AS k, label, score FROM rated UNION ALL SELECT "user" * 100 + 10 + id % 3, toxic, score FROM rated){_Q._CURVE},
+u AS (SELECT k // 100 AS "user", CASE WHEN k // 10 % 10 = 0 THEN 'quality' ELSE 'toxic' END AS tf, 'all' AS sample, k % 10 AS bootstrap, {_Q._PRC} AS m0, {_Q._ROC} AS m1, {_Q._FDR(0.1)} AS m2, {_Q._FDR(0.5)} AS m3 FROM d GROUP BY k)"""
+
 
-    return global_ranking(spark, d).orderBy("mean_score", "user")
+@query("job_rank", sql(_SUBMISSIONS + ORACLES["global_ranking"].split(_Q._BOARD)[1], "scored"))
+def job_rank(spark, d):
+    """Submissions of four users scored on every board and bootstrap, their metrics to combined ranks and the global ranking."""
+    from ..operators.ranking import global_ranking
+
+    s = V.scored(spark, d)
+    score = F.col("score")
+    users = [score, F.round(1 - score, 6), F.col("id") * 37 % 1000 / 1000.0, F.round(F.abs(score - 0.5), 6)]
+    rated = s.select("id", "label", "toxic", F.explode(F.array(*[F.struct(F.lit(i).alias("user"), x.alias("score")) for i, x in enumerate(users)])).alias("r")).select("id", "label", "toxic", "r.*")
+    boards = F.array(F.struct(F.lit("quality").alias("tf"), F.col("label").cast("int").alias("label")), F.struct(F.lit("toxic").alias("tf"), F.col("toxic").cast("int").alias("label")))
+    rows = rated.select("user", "score", (F.col("id") % 3).alias("bootstrap"), F.explode(boards).alias("b")).select("user", "score", "bootstrap", "b.*")
+    keys = ["user", "tf", "bootstrap"]
+    values = [M.au_prc(), M.au_roc(), M.recall_at(0.1), M.recall_at(0.5)]
+    metrics = M.curves(rows, keys).groupBy(*keys).agg(*[F.round(v, 6).alias(f"m{i}") for i, v in enumerate(values)]).withColumn("sample", F.lit("all"))
+    out = global_ranking(metrics, ["m0", "m1", "m2", "m3"])
+    return out.select("user", *[F.round(c, 6).alias(c) for c in ("min_score", "mean_score", "max_score")], "second_rank")
