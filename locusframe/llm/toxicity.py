@@ -299,12 +299,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     room = F.greatest(F.length("t") - FIT_CHARS, F.lit(0))
     text = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(F.length("t") >= 1)
     text = text.select("i", F.substr("t", 1 + F.pmod(F.xxhash64("i", F.lit(1)), room + 1).cast("int"), F.lit(FIT_CHARS)).alias("t"))
-    rows = []
+    sample = []
     for y in (0, 1):
         some = marks.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(FIT_ROWS[y])
-        rows += text.join(F.broadcast(some), "i").orderBy(F.xxhash64("i"), "i", "t").limit(FIT_ROWS[y]).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["i"]).encode()), r["t"]))
-    return fit([r["t"] for r in rows], np.array([r["y"] for r in rows], np.int64))
+        sample.append(text.join(F.broadcast(some), "i").orderBy(F.xxhash64("i"), "i", "t").limit(FIT_ROWS[y]).select(F.col("i").cast("string").alias("i"), "t", "y"))
+
+    def run(batches):
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        rows.sort(key=lambda r: (zlib.crc32(r[0].encode()), r[1]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64)))], pa.binary())], names=["model"])
+
+    # the sample is bounded, so one task fits it; the driver gets the dictionaries and weights alone
+    fitted = sample[0].unionByName(sample[1]).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(fitted[0][0]) if fitted else fit([], np.zeros(0, np.int64))
 
 
 def with_toxicity(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
