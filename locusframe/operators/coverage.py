@@ -51,6 +51,25 @@ def pileup(hits: DataFrame, keys: list[str], value: str, window: int = WINDOW) -
     return grouped.select(*keys, once(F.transform(F.sequence(F.lit(0), F.lit(2 * window - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))).alias("dnase"))
 
 
+def centered_pileup(windows: DataFrame, cut: DataFrame, motifs: DataFrame, window: int = WINDOW, footprint: bool = True) -> DataFrame:
+    """contig, win_start, center and dnase: the pile-up of the window numbers around the best motif hit of each window.
+
+    windows have contig, start, tf and sequence, cut has contig, start and strand.  Windows without a motif of their tf are
+    centred in the middle; those without cuts have zeros.  With footprint the pile-up is taken at several scales.
+    """
+    from .intervals import overlap_join
+    from .sequences import best_motif_center
+
+    centers = best_motif_center(windows.select(F.struct("contig", "start").alias("id"), "tf", "sequence"), motifs)
+    around = centers.select("id.contig", F.col("id.start").alias("win_start"), "center", (F.col("id.start") + F.col("center") - window // 2).alias("start"))
+    around = around.withColumn("end", F.col("start") + window)
+    pairs = overlap_join(around, cut.select("contig", "start", (F.col("start") + 1).alias("end"), "strand"))
+    hits = pairs.select("contig", "win_start", F.col("r_strand").alias("strand"), (F.col("r_start") - F.col("start")).cast("int").alias("offset"), F.lit(1).alias("one"))
+    out = around.select("contig", "win_start", "center").join(pileup(hits, ["contig", "win_start"], "one", window), ["contig", "win_start"], "left")
+    out = out.withColumn("dnase", F.coalesce("dnase", F.array_repeat(F.lit(0.0), 2 * window)))
+    return with_footprint(out) if footprint else out
+
+
 def covered_offsets(pairs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Bases of joined coverage (r_start, r_end) clipped to the window, one row per offset."""
     low = F.greatest(F.col("r_start") - F.col("start"), F.lit(0))

@@ -182,6 +182,23 @@ def best_motif_center(spark, d, view=V.sequences):
     return Q.best_motif_center(view(spark, d).withColumn("tf", F.lit("c1")), motifs).withColumn("prob", F.round("prob", 6))
 
 
+_CENTERED = """, rs AS (SELECT g.contig, g.s, g.contig || ':' || g.s AS id, coalesce(substr(f.seq, g.s + 1, 200), '') AS seq FROM regions g LEFT JOIN reference f USING (contig)),
+sequences AS (SELECT id, seq FROM rs), """ + _HITS + """, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(p, 12) DESC, i, motif_id) AS n FROM h),
+x AS (SELECT contig, s, coalesce(i, length(seq) // 2)::BIGINT AS center FROM rs LEFT JOIN (SELECT id, i FROM r WHERE n = 1) r USING (id))
+SELECT x.contig, x.s AS start, center, count(d.id)::DOUBLE AS total, coalesce(sum(d.s - (x.s + center - 100) + CASE WHEN strand = '-' THEN 200 ELSE 0 END), 0)::DOUBLE AS moment
+FROM x LEFT JOIN dreads d ON d.contig = x.contig AND d.s >= x.s + center - 100 AND d.s < x.s + center + 100 GROUP BY ALL"""
+
+
+@query("pileup_counts_centered", sql(_CENTERED, "document_regions", "document_reads", "reference"))
+def pileup_counts_centered(spark, d):
+    """Reads piled up around the best motif hit of each region."""
+    from ..operators.coverage import centered_pileup
+
+    windows = Q.extract_sequences(V.document_regions(spark, d).select("contig", "start", "end"), Q.chunked(V.reference(spark, d))).withColumn("tf", F.lit("c1"))
+    out = centered_pileup(windows, V.document_reads(spark, d), Q.motif_arrays(Q.valid_pwms(_pwms(spark, d))), footprint=False)
+    return out.select("contig", F.col("win_start").alias("start"), "center", _ADD(F.col("dnase")).alias("total"), _ADD(F.transform("dnase", lambda v, i: v * i)).alias("moment"))
+
+
 def _all_pwms(spark, d):
     """Motifs of every 12 consecutive part keys, those with fewer left out; motif 2 is not valid."""
     rows = V.table(spark, d, "part").select(F.floor(F.col("p_partkey") / 12).cast("int").alias("motif_id"), "p_partkey", F.floor("p_retailprice").alias("w"))
