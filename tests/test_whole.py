@@ -1,7 +1,6 @@
 """Whole inputs: nothing after a prefix or outside a fixed range is left out."""
 
 import itertools
-import random
 from collections import Counter
 
 import numpy as np
@@ -10,7 +9,6 @@ from pyspark.sql import functions as F
 
 from locusframe import catalog
 from locusframe.functions import sequence as S
-from locusframe.llm import mixing
 from locusframe.plans import model_queries, views as V
 
 
@@ -44,20 +42,6 @@ def test_cuts_across_pieces(spark, n):
     assert got.c == [text[i : i + 4] for i in range(n - 3)] and got.b == list(text)
 
 
-def test_mix_of_long_documents():
-    assert mixing.fit_counts(np.array([100_000, 101_000]), np.array([1, 1]), 130_000).tolist() == [0, 1]
-    rng = np.random.default_rng(3)
-    for low in (1, 20_000, 40_000, 65_000, 70_000):
-        for _ in range(20):
-            sizes = np.unique(rng.integers(low, 400_000, 6))
-            counts = rng.integers(1, 4, len(sizes))
-            budget = int((sizes * counts).sum() * rng.random())
-            taken = mixing.fit_counts(sizes, counts, budget)
-            miss = budget - int((sizes * taken).sum())
-            assert (taken >= 0).all() and (taken <= counts).all() and 0 <= miss
-            assert not (taken < counts).any() or miss < sizes[taken < counts].min()
-
-
 DATA = "/root/testdata/sf0.001"
 
 
@@ -105,25 +89,3 @@ def test_onehot_job_uses_every_window(spark, documents, monkeypatch):
     catalog.QUERIES["job_cv_onehot"](spark, documents(["ac" * 225, "acgt"]))
     rows = seen[0].select("id", F.size("features").alias("size"), F.aggregate("features", F.lit(0.0), lambda a, v: a + v).alias("ones")).collect()
     assert sorted(map(tuple, rows)) == [(0, 800, 50.0), (0, 800, 200.0), (0, 800, 200.0), (1, 800, 4.0)]
-
-
-def test_pipeline_drops_reach_every_row(spark, tmp_path):
-    import corpus_pipeline
-
-    rng = random.Random(8)
-    prose = lambda n=60: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
-    item, copied, single, other = prose(30), prose(), prose(), prose()
-    near = copied + " end"
-    bad = item + " " + prose(5)
-    rows = [(5, copied), (3, near), (None, copied), (7, single), (7, single), (8, other), (None, prose()), (None, ""), (None, ""), (9, None)]
-    frame = spark.createDataFrame([(i, t, "s", 0) for i, t in rows], "doc_id long, text string, source string, n_chars long")
-    frame.write.parquet(f"file://{tmp_path}/a")
-    got = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(f"file://{tmp_path}/a"), "").collect()
-    want = [(3, near), (7, single), (8, other), rows[6], (None, ""), (None, ""), (9, None)]
-    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
-
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
-    rows = [(None, bad), (4, bad), (4, single), (None, other)]
-    frame = spark.createDataFrame([(i, t, "s", 0) for i, t in rows], "doc_id long, text string, source string, n_chars long")
-    got = corpus_pipeline.drop_contaminated(spark, frame, f"file://{tmp_path}").collect()
-    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows[2:], key=str)
