@@ -440,7 +440,7 @@ def similarity_components(docs: DataFrame, share: int = 75, k: int = 5, id_col:
     # who is compared with whom is settled without the sets, which are joined to it last
     first = able.select("sig", F.explode(F.slice("runs", F.lit(1), F.col("prefix"))).alias("key"))
     keys = first.groupBy("key").agg(F.count("*").alias("m"), F.min("sig").alias("a")).filter("m > 1")
-    first = stored(first.join(keys, "key"))
+    first = stored(join_counted(first, keys, "key", "m", count))
     total = first.count()
     maybe = components(first.select("a", F.col("sig").alias("b")))
     member = maybe.unionByName(maybe.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "sig")
