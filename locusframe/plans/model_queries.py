@@ -200,7 +200,7 @@ def _cv(spark, d, features):
 def job_cv_signal_only(spark, d):
     from ..functions.labels import binary_signal
 
-    w = V.sequences(spark, d).withColumn("dnase", F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")))
+    w = V.sequence_windows(spark, d).withColumn("dnase", F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")))
     return _cv(spark, d, w.select("id", F.array(binary_signal(F.col("dnase"))).alias("features")))
 
 
