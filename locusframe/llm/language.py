@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._common import add_columns
+from ._common import add_columns, stored
 from ._shingles import buffers
 
 BUCKETS, WIDTH, GROUPS = 1 << 15, 16, (2, 3, 4)
@@ -142,7 +142,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = rows.groupBy("l").agg(F.count("*").alias("n"))
     langs = counts.agg(F.count("*").alias("k"))
     share = F.greatest(F.lit(1.0), F.least(F.lit(float(FIT_ROWS)), FIT_TOTAL / F.col("k"))) / F.col("n")
-    shares = counts.crossJoin(F.broadcast(langs)).select("l", share.alias("share"))  # one row
+    # a stored table of known size: the texts are not shuffled by language where it is small
+    shares = stored(counts.crossJoin(F.broadcast(langs)).select("l", share.alias("share")))  # one row
     draw = F.pmod(F.xxhash64("i", "t"), F.lit(1_000_003)) / 1_000_003.0
     room = F.greatest(F.length("t") - FIT_CHARS, F.lit(0))
     piece = F.substr("t", 1 + F.pmod(F.xxhash64("i", F.lit(1)), room + 1).cast("int"), F.lit(FIT_CHARS))
