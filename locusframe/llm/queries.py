@@ -1,4 +1,4 @@
-"""The ten corpus queries, each through its operator, over whole tables."""
+"""The corpus queries, each through its operator, over whole tables."""
 
 from __future__ import annotations
 
@@ -132,3 +132,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.without_repeated_lines(docs)
     return kept.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers for every document."""
+    import public_tokenizers
+
+    from .token_alignment import align
+
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

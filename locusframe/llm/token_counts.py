@@ -186,7 +186,7 @@ def count_texts(column: pa.Array, path: str) -> np.ndarray:
     first[np.searchsorted(byte_at, filled)] = True
     starts = byte_at[:-1][pretoken_starts(chars, first)]
     ends = np.append(starts[1:], len(data))
-    hashes = _span_hashes(data, starts, ends)
+    hashes = span_hashes(data, starts, ends)
     distinct, first_at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     counts = _cached(model, path, data, starts, ends, (distinct, first_at))[inverse]
     sums = np.zeros(len(starts) + 1, np.int64)
@@ -204,7 +204,7 @@ def _with_special(text: str | None, path: str) -> int:
     return len(parts) - 1 + int(sum(count_texts(pa.array([p]), path)[0] for p in parts if p))
 
 
-def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     from . import _shingles as S
 
     n = len(data)
