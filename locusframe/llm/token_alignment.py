@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._common import bounded_batches, stored
 from ._shingles import buffers
-from .token_counts import pretoken_starts, span_hashes
+from .token_counts import _span_hashes, pretoken_starts
 
 #: Ends of both sides of one piece.
 PIECE_ENDS = 1 << 16
 #: Id pairs whose counts are sent to the tasks at a time (16 bytes each).
 WAVE_PAIRS = 4_000_000
 #: Distinct pre-tokens a worker remembers, and pairs it counts before it passes them on.
-CACHE_ENTRIES, HELD_PAIRS = 1_000_000, 3_000_000
+CACHE_ENTRIES, HELD_PAIRS = 500_000, 1_000_000
 SLICE_BYTES = 1 << 20
 _STATE: dict = {}
 
@@ -80,7 +80,7 @@ class ByteLevel:
         first[np.searchsorted(byte_at, offsets[:-1][np.diff(offsets) > 0])] = True
         starts = byte_at[:-1][pretoken_starts(chars, first)]
         ends = np.append(starts[1:], len(data))
-        distinct, at, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        distinct, at, inverse = np.unique(_span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > CACHE_ENTRIES:
             self._forget()
         place = np.searchsorted(self.known, distinct)
@@ -310,7 +310,7 @@ def _encoded(a_path: str, b_path: str, piece_ends: int):
 
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
         names = ["key", "doc_id", "piece", "pieces", "skew", "a", "b", "more_a", "more_b", "pair", "n"]
-        for batch in filter(len, batches):
+        for batch in chain.from_iterable(_slices(x, ("text",)) for x in batches):
             texts = pc.fill_null(batch.column(1), "")
             some = pc.greater(pc.binary_length(texts), 0)
             inner = texts.filter(some)
@@ -410,7 +410,7 @@ def _measured(a_path: str, b_path: str, sent, tag: str, whole: bool):
             _STATE["counts"] = Counts(*(np.frombuffer(x, np.int64) for x in sent.value))
             _STATE["wave"] = tag
         known: Counts = _STATE["counts"]
-        for x in chain.from_iterable(map(_slices, batches)):
+        for x in chain.from_iterable(_slices(x, ("a", "b")) for x in batches):
             at = {n: x.column(i) for i, n in enumerate(x.schema.names)}
             merge = Merge(a, b, at["a"].to_pylist(), at["b"].to_pylist(), at["more_a"].to_numpy(), at["more_b"].to_numpy(), at["skew"].to_numpy())
             left, right, piece = merge.links()
@@ -436,9 +436,9 @@ def _measured(a_path: str, b_path: str, sent, tag: str, whole: bool):
     return run
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows that hold about SLICE_BYTES of ids."""
-    size = np.cumsum(pc.binary_length(batch.column(batch.schema.names.index("a"))).to_numpy().astype(np.int64) + pc.binary_length(batch.column(batch.schema.names.index("b"))).to_numpy())
+def _slices(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows that hold about SLICE_BYTES in these columns."""
+    size = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(c))), 0).to_numpy().astype(np.int64) for c in columns))
     at = 0
     while at < len(batch):
         to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
