@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, divergence, jaccard_join, line_dedup
+from . import decontamination, divergence, jaccard_join, line_dedup, minhash_dedup
 from ._common import table
 from .url_filter import verdict_sql, with_url_verdict
 
@@ -134,6 +134,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"))
 
 
+@query("op11_minhash_dedup", minhash_dedup.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 2-word shingles are 80 % alike."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op12_source_divergence", divergence.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of every source of a language from its others and from the language."""
