@@ -1,8 +1,8 @@
 """Grid windows, overlap joins and distance joins over half-open intervals.
 
-Intervals are flat columns contig, start, end.  Joins on overlap cut both sides into bins
-and meet on (contig, bin), so they plan as equi-joins; a pair is given by the first bin
-that both share and therefore once.
+Intervals are flat columns contig, start, end.  Joins on overlap put both sides into bins of
+several widths and meet on (contig, width, bin), so they plan as equi-joins; a pair is given by the
+first bin that both share and therefore once.
 """
 
 from __future__ import annotations
@@ -63,33 +63,83 @@ def full_outer_windows(left: DataFrame, right: DataFrame, lengths: DataFrame, ke
     return count(left, "left_n").join(count(right, "right_n"), ["contig", "win_start", key], "full")
 
 
-def _binned(df: DataFrame, size: int, name: str, around: int = 0) -> DataFrame:
-    first = F.floor(F.greatest(F.col("start") - around, F.lit(0)) / size)
-    last = F.floor((F.greatest(F.col("end") + around, F.col("start") + 1) - 1) / size)
-    return df.withColumn(name, first).withColumn("__bin", F.explode(F.sequence(first, F.greatest(last, first))))
+#: Bins of the first level, and how many times as wide each next one is.
+BIN, WIDER, LEVELS = 1000, 8, 12
+#: A bin is hot if it has more rows of a side than this, and than one in HOT_SHARE of all, so that few bins are.
+HOT_ROWS, HOT_SHARE = 20_000, 2000
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str] | None = None, how: str = "inner", bin_size: int = 1000) -> DataFrame:
+def _level(length: Column, bin_size: int) -> Column:
+    """The first level whose bins are as wide as the interval, which then touches two of them at most."""
+    out = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        out = F.when(length <= bin_size * WIDER**k, k).otherwise(out)
+    return out
+
+
+def _leveled(df: DataFrame, bin_size: int) -> DataFrame:
+    return df.withColumn("__level", _level(F.col("__e") - F.col("__s"), bin_size))
+
+
+def _in_bins(df: DataFrame, own: list[int], other: list[int], bin_size: int) -> DataFrame:
+    """A row for each bin that __s to __e touches: on its own level, where it meets the other side's finer ones, and on each coarser level of the other side."""
+    some = F.array(*[F.struct(F.lit(x).alias("m"), F.lit(bin_size * WIDER**x).cast("long").alias("w"), F.lit(x in other).alias("met")) for x in sorted({*own, *other})])
+    met = F.filter(some, lambda x: ((x["m"] == F.col("__level")) & (x["m"] >= min(other))) | ((x["m"] > F.col("__level")) & x["met"]))
+    out = df.withColumn("__x", F.explode(met)).withColumn("__m", F.col("__x.m"))
+    first, last = F.floor(F.col("__s") / F.col("__x.w")), F.floor((F.col("__e") - 1) / F.col("__x.w"))
+    return out.withColumn("__first", first).withColumn("__bin", F.explode(F.sequence(first, last))).drop("__x")
+
+
+def _hot_bins(df: DataFrame, on: list[str], rows: int, name: str) -> DataFrame:
+    """The hot bins and how many parts their rows are dealt to; at most 2 * LEVELS * HOT_SHARE of them."""
+    least = max(HOT_ROWS, rows // HOT_SHARE)
+    return df.groupBy(*on).agg(F.count("*").alias("n")).filter(F.col("n") > least).select(*on, F.ceil(F.col("n") / least).cast("int").alias(name))
+
+
+def _meet(left: DataFrame, right: DataFrame, on: list[str], bin_size: int) -> DataFrame:
+    """Pairs with equal keys whose ranges __s to __e overlap; right's columns other than the keys come prefixed r_.
+
+    Each interval lies in the bins of a level as wide as itself, and so in two at most; it meets finer and coarser
+    ones on the coarser one's level.  Only levels that occur are used.  A pair is made in the first bin that both share.
+    Hot bins are dealt to a grid of parts, by a hash of the rows.
+    """
+    left, right = _leveled(left.filter("__e > __s"), bin_size), _leveled(right.filter("__e > __s"), bin_size)
+    counts = [dict(df.groupBy("__level").count().collect()) for df in (left, right)]  # LEVELS rows at most
+    own, other = (sorted(c) or [0] for c in counts)
+    a, b = _in_bins(left, own, other, bin_size), _in_bins(right, other, own, bin_size)
+    keys = [*on, "__m", "__bin"]
+    sizes = [sum(c.values()) for c in counts]
+    hot_a, hot_b = _hot_bins(a, keys, sizes[0], "__na"), _hot_bins(b, keys, sizes[1], "__nb")
+    hot = hot_a.join(hot_b, keys, "full").select(*keys, *[F.coalesce(c, F.lit(1)).alias(c) for c in ("__na", "__nb")])
+    if max(sizes) > HOT_ROWS and (rows := hot.collect()):
+        hot = F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema))
+        all_of = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+        a = a.withColumn("__h", F.xxhash64(*left.columns)).join(hot, keys, "left")
+        b = b.withColumn("__h", F.xxhash64(*right.columns)).join(hot, keys, "left")
+        of = lambda n: F.pmod(F.col("__h"), F.coalesce(F.col(n), F.lit(1))).cast("int")
+        a = a.withColumn("__pa", of("__na")).withColumn("__pb", all_of("__nb")).drop("__h", "__na", "__nb")
+        b = b.withColumn("__pb", of("__nb")).withColumn("__pa", all_of("__na")).drop("__h", "__na", "__nb")
+        keys = [*keys, "__pa", "__pb"]
+    b = b.select(*keys, *[F.col(c).alias(f"r_{c}") for c in b.columns if c not in keys])
+    hit = (F.col("__s") < F.col("r___e")) & (F.col("r___s") < F.col("__e")) & (F.col("__bin") == F.greatest("__first", "r___first")) & (F.greatest("__level", "r___level") == F.col("__m"))
+    pairs = a.join(b, keys).filter(hit)
+    return pairs.select(*[c for c in pairs.columns if not c.startswith(("__", "r___"))])
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str] | None = None, how: str = "inner", bin_size: int = BIN) -> DataFrame:
     """Pairs of overlapping intervals with equal contig and keys.
 
     The right side's columns come prefixed r_.  how is inner, or left to keep left rows
-    without a partner.  A pair is made in one bin only.  Empty intervals overlap nothing.
+    without a partner.  Empty intervals and null keys overlap nothing; equal rows are rows of their own.
     """
     on = ["contig", *(keys or [])]
-    tag = left.withColumn("__id", F.monotonically_increasing_id()) if how == "left" else left
-    if how == "left":
-        from ..files import materialised
-
-        tag = materialised(tag)  # the ids must be the same on both uses
-    a = _binned(tag, bin_size, "__first")
-    b = _binned(right, bin_size, "__r_first")
-    b = b.select(*on, "__bin", "__r_first", *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in on])
-    hit = (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")) & (F.col("__bin") == F.greatest("__first", "__r_first"))
-    pairs = a.join(b, [*on, "__bin"]).filter(hit).drop("__bin", "__first", "__r_first")
+    ranged = lambda df: df.withColumn("__s", F.col("start")).withColumn("__e", F.col("end"))
     if how != "left":
-        return pairs
-    right_columns = [c for c in pairs.columns if c.startswith("r_")]
-    return tag.join(pairs.select("__id", *right_columns), "__id", "left").drop("__id")
+        return _meet(ranged(left), ranged(right), on, bin_size)
+    # what a row meets depends on its keys and bounds only
+    at = [*on, "start", "end"]
+    met = _meet(ranged(left.select(*at).distinct()), ranged(right), on, bin_size)
+    return left.join(met, at, "left").select(*left.columns, *[c for c in met.columns if c.startswith("r_")])
 
 
 def gap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -97,12 +147,15 @@ def gap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Colum
     return F.greatest(F.lit(0), F.greatest(a_start - b_end, b_start - a_end) + 1)
 
 
-def near_positives(df: DataFrame, keys: list[str], window: int = WINDOW, distance: int = 700, bin_size: int = 1000) -> DataFrame:
-    """All positives, and the negatives at a distance above window and below distance from one of equal keys."""
+def near_positives(df: DataFrame, keys: list[str], window: int = WINDOW, distance: int = 700, bin_size: int = BIN) -> DataFrame:
+    """All positives, and the negatives at a distance above window and below distance from one of equal keys.
+
+    Equal negatives all stay.  Only different bounds meet.
+    """
     on = ["contig", *keys]
-    zeros = _binned(df.filter("label = 0"), bin_size, "__first", distance)
-    ones = _binned(df.filter("label = 1").select(*on, "start", "end").distinct(), bin_size, "__p")
-    ones = ones.select(*on, "__bin", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    d = gap(F.col("start"), F.col("end"), F.col("p_start"), F.col("p_end"))
-    near = zeros.join(ones, [*on, "__bin"]).filter((d > window) & (d < distance)).select(*df.columns).distinct()
-    return df.filter("label = 1").unionByName(near)
+    at = [*on, "start", "end"]
+    reach = lambda label, around: df.filter(F.col("label") == label).select(*at).distinct().withColumn("__s", F.col("start") - around).withColumn("__e", F.greatest("end", F.col("start") + 1) + around)
+    met = _meet(reach(0, distance), reach(1, 0), on, bin_size)
+    d = gap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
+    near = met.filter((d > window) & (d < distance)).select(*at).distinct()
+    return df.filter("label = 1").unionByName(df.filter("label = 0").join(near, at, "left_semi"))
