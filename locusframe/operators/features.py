@@ -1,14 +1,19 @@
-"""Random features of encoded sequences, as Arrow batches of numpy products."""
+"""Random features of encoded sequences, from numpy kernels over whole Arrow batches.
+
+Features of letters come from tables by base code, so the four numbers a letter are never made; those of
+other numbers are products of all windows of a batch at once.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.sequence import signal_or_zeros, one_hot, one_hot_signal
+from ..functions.sequence import ONE_HOT_BASES, signal_or_zeros
+from . import kernels as K
 
 Nonlinearity = Callable[[np.ndarray], np.ndarray]
 
@@ -18,18 +23,6 @@ def gaussian_filters(count: int, width: int, gamma: float = 1.0, seed: int = 0)
     return np.random.default_rng(seed).normal(0.0, gamma, (count, width))
 
 
-def _windows(x: np.ndarray, width: int, alphabet: int) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(x, width)[::alphabet]
-
-
-def convolve(x: np.ndarray, filters: np.ndarray, alphabet: int, nonlinearity: Nonlinearity, phase: np.ndarray | None) -> np.ndarray:
-    """Sum over n-grams of the nonlinearity of their products with the filters; zeros if x is too short."""
-    if len(x) < filters.shape[1]:
-        return np.zeros(len(filters))
-    z = _windows(x, filters.shape[1], alphabet) @ filters.T
-    return nonlinearity(z if phase is None else z + phase).sum(axis=0) * np.sqrt(2.0 / len(filters))
-
-
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Walsh-Hadamard transform of the rows, whose length is a power of two."""
     x, h = x.copy(), 1
@@ -40,92 +33,168 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Up to this width structured filters are multiplied out.
+DENSE_WIDTH = 128
+
+
+class FastFilters:
+    """count structured random filters, drawn once: signs, Hadamard, shuffle, normal numbers, Hadamard, lengths."""
+
+    def __init__(self, width: int, count: int, gamma: float, seed: int):
+        rng = np.random.default_rng(seed)
+        self.count, self.d = count, 1 << max(1, int(width - 1).bit_length())
+        self.scale, self.draws = gamma / np.sqrt(self.d), []
+        for _ in range(-(-count // self.d)):
+            signs, order, normal = rng.choice([-1.0, 1.0], self.d), rng.permutation(self.d), rng.normal(size=self.d)
+            self.draws.append((signs, order, normal, np.sqrt(rng.chisquare(self.d, self.d)) / np.linalg.norm(normal)))
+
+    def matrix(self, width: int) -> np.ndarray:
+        """The same as count rows of numbers, for widths at which a plain product is faster."""
+        return self.products(np.eye(width)).T
+
+    def products(self, rows: np.ndarray) -> np.ndarray:
+        padded = np.zeros((len(rows), self.d))
+        padded[:, : rows.shape[1]] = rows
+        out = [hadamard(hadamard(padded * signs)[:, order] * normal) * lengths for signs, order, normal, lengths in self.draws]
+        return np.concatenate(out, axis=1)[:, : self.count] * self.scale
+
+
 def fast_products(rows: np.ndarray, count: int, gamma: float, seed: int) -> np.ndarray:
-    """Products with count structured random filters: signs, Hadamard, shuffle, normal numbers, Hadamard, lengths."""
-    rng = np.random.default_rng(seed)
-    d = 1 << max(1, int(rows.shape[1] - 1).bit_length())
-    padded = np.zeros((len(rows), d))
-    padded[:, : rows.shape[1]] = rows
-    out = []
-    for _ in range(-(-count // d)):
-        signs, order, normal = rng.choice([-1.0, 1.0], d), rng.permutation(d), rng.normal(size=d)
-        lengths = np.sqrt(rng.chisquare(d, d)) / np.linalg.norm(normal)
-        out.append(hadamard(hadamard(padded * signs)[:, order] * normal) * lengths * gamma / np.sqrt(d))
-    return np.concatenate(out, axis=1)[:, :count]
+    """Products of the rows with the structured filters of a seed."""
+    return FastFilters(rows.shape[1], count, gamma, seed).products(rows)
+
 
+def _featured(df: DataFrame, columns: list[Column], out: str, make: Callable[[], Callable[[list[pa.Array]], np.ndarray]]) -> DataFrame:
+    """The rows of the matrix that the batches' columns give, as arrays; null where the first column is."""
 
-def _append(df: DataFrame, column: str, out: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    kept = [c for c in df.columns if c != out]
-    schema = T.StructType([*df.select(*kept).schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    def compute(columns: list[pa.Array], f: Callable) -> list[pa.Array]:
+        x = f(columns)
+        values = K.lists(x.ravel(), np.arange(len(x) + 1) * x.shape[1])
+        if columns[0].null_count:
+            values = values.take(pa.array(np.arange(len(x)), mask=columns[0].is_null().to_numpy(zero_copy_only=False)))
+        return [values]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column(len(kept))
-            made = [None if v is None or not v.is_valid else f(np.asarray(v.values, dtype=float)) for v in x]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(made, pa.list_(pa.float64()))], names=schema.names)
+    def prepared():
+        f = make()
+        return lambda columns: compute(columns, f)
 
-    return df.select(*kept, F.col(column).alias("__x")).mapInArrow(run, schema)
+    return K.map_columns(df, columns, [T.StructField(out, T.ArrayType(T.DoubleType()))], prepared)
+
+
+def _dense(filters: np.ndarray, alphabet: int, nonlinearity: Nonlinearity, phase: np.ndarray | None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    return lambda flat, at: K.convolved(flat, at, lambda x: x @ filters.T, filters.shape[1], len(filters), alphabet, nonlinearity, phase)
 
 
 def random_features(
     df: DataFrame, column: str, filters: np.ndarray, alphabet: int = 4, nonlinearity: Nonlinearity = np.cos, phase: np.ndarray | None = None, out: str = "features"
 ) -> DataFrame:
-    """features: the encoded column convolved with the filters; phase has one number a filter.  A null stays null."""
-    return _append(df, column, out, lambda x: convolve(x, filters, alphabet, nonlinearity, phase))
+    """features: the encoded column convolved with the filters; phase has one number a filter.
+
+    The sum over n-grams of the nonlinearity of their products; zeros if a row is too short, null if it is null.
+    """
+    return _featured(df, [F.col(column)], out, lambda: lambda c: _dense(filters, alphabet, nonlinearity, phase)(*K.flat_lists(c[0])))
 
 
 def random_features_fast(df: DataFrame, column: str, count: int, ngram: int, alphabet: int = 4, gamma: float = 1.0, seed: int = 0, out: str = "features") -> DataFrame:
     """As random_features with cosines of structured filters and a seeded phase; no filter matrix is made."""
-    phase = np.random.default_rng(seed + 1).uniform(0, 2 * np.pi, count)
 
-    def f(x: np.ndarray) -> np.ndarray:
-        if len(x) < ngram * alphabet:
-            return np.zeros(count)
-        return np.cos(fast_products(np.ascontiguousarray(_windows(x, ngram * alphabet, alphabet)), count, gamma, seed) + phase).sum(axis=0) * np.sqrt(2.0 / count)
+    def make():
+        width, phase = ngram * alphabet, np.random.default_rng(seed + 1).uniform(0, 2 * np.pi, count)
+        filters = FastFilters(width, count, gamma, seed)
+        if width <= DENSE_WIDTH:
+            return lambda c, f=_dense(filters.matrix(width), alphabet, np.cos, phase): f(*K.flat_lists(c[0]))
+        return lambda c: K.convolved(*K.flat_lists(c[0]), filters.products, width, count, alphabet, np.cos, phase)
+
+    return _featured(df, [F.col(column)], out, make)
 
-    return _append(df, column, out, f)
 
+def featurize_sequence(df: DataFrame, filters: np.ndarray, phase: np.ndarray | None = None, seq_col: str = "sequence", out: str = "features") -> DataFrame:
+    """features of the windows' sequences: random_features of their one-hot vectors, which are not made."""
 
-def featurize_sequence(df: DataFrame, filters: np.ndarray, phase: np.ndarray | None = None) -> DataFrame:
-    """features of the windows' sequences."""
-    return random_features(df.withColumn("__hot", one_hot(F.col("sequence"))), "__hot", filters, phase=phase).drop("__hot")
+    def make():
+        bank, table = K.BaseFilters(filters, np.cos, phase), K.code_table(ONE_HOT_BASES)
+        return lambda c: bank.features(*K.letters(c[0], table))
+
+    return _featured(df, [F.col(seq_col)], out, make)
 
 
 def featurize_sequence_phase(df: DataFrame, count: int, ngram: int, seed: int = 0) -> DataFrame:
-    return random_features_fast(df.withColumn("__hot", one_hot(F.col("sequence"))), "__hot", count, ngram, seed=seed).drop("__hot")
+    """features of the sequences under structured filters with a seeded phase."""
+
+    def make():
+        phase, filters, table = np.random.default_rng(seed + 1).uniform(0, 2 * np.pi, count), FastFilters(ngram * 4, count, 1.0, seed), K.code_table(ONE_HOT_BASES)
+        if ngram * 4 <= DENSE_WIDTH:
+            bank = K.BaseFilters(filters.matrix(ngram * 4), np.cos, phase)
+            return lambda c: bank.features(*K.letters(c[0], table))
+
+        def f(columns: list[pa.Array]) -> np.ndarray:
+            code, at = K.letters(columns[0], table)
+            return K.convolved(K.encoded(code), 4 * at, filters.products, ngram * 4, count, 4, np.cos, phase)
+
+        return f
+
+    return _featured(df, [F.col("sequence")], "features", make)
+
+
+def _strands(window: int) -> list[Column]:
+    signal = signal_or_zeros(F.col("dnase"), 2 * window)
+    return [F.slice(signal, 1, window), F.slice(signal, window + 1, window)]
 
 
 def featurize_multiscale_signal(df: DataFrame, filters: np.ndarray, widths: tuple[int, ...] = (100, 50, 25, 12, 6), window: int = 200, seed: int = 0) -> DataFrame:
     """features: sequence features, then for each strand the product over widths of its signal's features (3 * filters)."""
-    count = len(filters)
-    banks = [gaussian_filters(count, w, seed=seed + i) for i, w in enumerate(widths)]
 
-    def f(x: np.ndarray) -> np.ndarray:
-        hot, signal = x[: len(x) - 2 * window], x[len(x) - 2 * window :]
-        parts = [convolve(hot, filters, 4, np.cos, None)]
-        for strand in (signal[:window], signal[window:]):
-            parts.append(np.prod([convolve(strand, bank, 1, np.cos, None) for bank in banks], axis=0))
-        return np.concatenate(parts)
+    def make():
+        bank, table = K.BaseFilters(filters), K.code_table(ONE_HOT_BASES)
+        banks = [_dense(gaussian_filters(len(filters), w, seed=seed + i), 1, np.cos, None) for i, w in enumerate(widths)]
+
+        def f(columns: list[pa.Array]) -> np.ndarray:
+            strands = [np.prod([b(*K.flat_lists(c)) for b in banks], axis=0) for c in columns[1:]]
+            return np.hstack([bank.features(*K.letters(columns[0], table)), *strands])
 
-    both = df.withColumn("__all", F.concat(one_hot(F.col("sequence")), signal_or_zeros(F.col("dnase"), 2 * window)))
-    return _append(both, "__all", "features", f).drop("__all")
+        return f
+
+    return _featured(df, [F.col("sequence"), *_strands(window)], "features", make)
 
 
 def featurize_signal(df: DataFrame, filters: np.ndarray, signal_filters: np.ndarray | None = None, window: int = 200) -> DataFrame:
     """features: sequence, plus and minus strand; without signal filters those of the one-hot values raised by the signal."""
-    if signal_filters is None:
-        hot = one_hot_signal(F.col("sequence"), F.slice(signal_or_zeros(F.col("dnase"), 2 * window), 1, window))
-        return random_features(df.withColumn("__hot", hot), "__hot", filters).drop("__hot")
 
-    def f(x: np.ndarray) -> np.ndarray:
-        hot, signal = x[: len(x) - 2 * window], x[len(x) - 2 * window :]
-        return np.concatenate([convolve(hot, filters, 4, np.cos, None), *(convolve(s, signal_filters, 1, np.cos, None) for s in (signal[:window], signal[window:]))])
+    def make():
+        bank, table = K.BaseFilters(filters), K.code_table(ONE_HOT_BASES)
+
+        def raised(columns: list[pa.Array]) -> np.ndarray:
+            code, at = K.letters(columns[0], table)
+            flat, begin = K.flat_lists(columns[1])
+            values, n = np.ones(len(code)), np.minimum(np.diff(at), np.diff(begin))
+            values[K.ranges(at[:-1], n)] += flat[K.ranges(begin[:-1], n)]
+            return _dense(filters, 4, np.cos, None)(K.encoded(code, values), 4 * at)
+
+        def apart(columns: list[pa.Array]) -> np.ndarray:
+            strand = _dense(signal_filters, 1, np.cos, None)
+            return np.hstack([bank.features(*K.letters(columns[0], table)), *(strand(*K.flat_lists(c)) for c in columns[1:])])
+
+        return raised if signal_filters is None else apart
 
-    both = df.withColumn("__all", F.concat(one_hot(F.col("sequence")), signal_or_zeros(F.col("dnase"), 2 * window)))
-    return _append(both, "__all", "features", f).drop("__all")
+    return _featured(df, [F.col("sequence"), *_strands(window)], "features", make)
 
 
 def featurize_concat_raw(df: DataFrame, filters: np.ndarray, window: int = 200) -> DataFrame:
     """features of the one-hot vector and the signal on end, moved by single numbers."""
-    both = df.withColumn("__all", F.concat(one_hot(F.col("sequence")), signal_or_zeros(F.col("dnase"), 2 * window)))
-    return random_features(both, "__all", filters, alphabet=1).drop("__all")
+
+    def make():
+        table = K.code_table(ONE_HOT_BASES)
+
+        def f(columns: list[pa.Array]) -> np.ndarray:
+            code, at = K.letters(columns[0], table)
+            flat, begin = K.flat_lists(columns[1])
+            hot, n = 4 * np.diff(at), np.diff(begin)
+            both = np.concatenate([[0], np.cumsum(hot + n)])
+            values = np.empty(both[-1])
+            values[K.ranges(both[:-1], hot)] = K.encoded(code)
+            values[K.ranges(both[:-1] + hot, n)] = flat
+            return _dense(filters, 1, np.cos, None)(values, both)
+
+        return f
+
+    return _featured(df, [F.col("sequence"), signal_or_zeros(F.col("dnase"), 2 * window)], "features", make)

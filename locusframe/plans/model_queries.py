@@ -25,7 +25,7 @@ def _products(f: int) -> str:
 
 
 _GRAMS = ", g AS (SELECT id, seq, unnest(range(1, length(seq) - 1)) AS i FROM sequences)"
-_KERNEL = f"{_GRAMS} SELECT id, " + ", ".join(f"round(sum(cos(({_products(f)})::DOUBLE)) * sqrt(2.0 / 4), 5)::DOUBLE AS f{f}" for f in range(4)) + " FROM g GROUP BY id"
+_KERNEL = f"{_GRAMS}, c AS (SELECT id, " + ", ".join(f"round(sum(cos(({_products(f)})::DOUBLE)) * sqrt(2.0 / 4), 5)::DOUBLE AS f{f}" for f in range(4)) + " FROM g GROUP BY id) SELECT s.id, " + ", ".join(f"CASE WHEN seq IS NOT NULL THEN coalesce(f{f}, 0.0::DOUBLE) END AS f{f}" for f in range(4)) + " FROM sequences s LEFT JOIN c USING (id)"
 
 
 def _four(df):
@@ -34,15 +34,16 @@ def _four(df):
 
 @query("random_features", sql(_KERNEL, "sequences"))
 def random_features(spark, d, view=V.sequences):
-    from ..functions.sequence import one_hot
+    """Features of one-hot vectors."""
+    from ..operators.kernels import one_hot_column
 
-    seq = view(spark, d).filter("length(sequence) >= 3").withColumn("hot", one_hot(F.col("sequence")))
-    return _four(X.random_features(seq, "hot", _filters()))
+    return _four(X.random_features(one_hot_column(view(spark, d), "ATCG", out="hot"), "hot", _filters()))
 
 
 @query("featurize_sequence", sql(_KERNEL, "sequences"))
 def featurize_sequence(spark, d, view=V.sequences):
-    return _four(X.featurize_sequence(view(spark, d).filter("length(sequence) >= 3"), _filters()))
+    """The same features straight from the letters."""
+    return _four(X.featurize_sequence(view(spark, d), _filters()))
 
 
 def _stats(df):

@@ -14,9 +14,11 @@ _ADD = lambda a: F.aggregate(a, F.lit(0.0), lambda x, v: x + v)
 _MOMENT = lambda a: _ADD(F.transform(a, lambda v, i: v * (i + 1)))
 
 
-def _ready(spark, d, expr, view=V.sequences):
-    """id, sequence and v: an array expression, computed once a row."""
-    return view(spark, d).select("id", "sequence", S.once(expr).alias("v"))
+def _hot(spark, d, view):
+    """id and v, the one-hot vector."""
+    from ..operators.kernels import one_hot_column
+
+    return one_hot_column(view(spark, d).select("id", "sequence"), S.ONE_HOT_BASES).select("id", "v")
 
 
 _BASES = "b AS (SELECT id, i, substr(seq, i, 1) AS b FROM (SELECT id, seq, unnest(range(1, length(seq) + 1)) AS i FROM sequences))"
@@ -24,12 +26,12 @@ _BASES = "b AS (SELECT id, i, substr(seq, i, 1) AS b FROM (SELECT id, seq, unnes
 
 @query("one_hot_sequence", sql(f", {_BASES} SELECT id, (max(i) * 4)::INT AS size, count(*) FILTER (b <> 'N')::DOUBLE AS ones, coalesce(sum(CASE b WHEN 'A' THEN 4 * i - 3 WHEN 'T' THEN 4 * i - 2 WHEN 'C' THEN 4 * i - 1 WHEN 'G' THEN 4 * i END), 0)::DOUBLE AS moment FROM b GROUP BY id", "sequences"))
 def one_hot_sequence(spark, d, view=V.sequences):
-    return _ready(spark, d, S.one_hot(F.col("sequence")), view).filter("size(v) > 0").select("id", F.size("v").alias("size"), _ADD(F.col("v")).alias("ones"), _MOMENT(F.col("v")).alias("moment"))
+    return _hot(spark, d, view).filter("size(v) > 0").select("id", F.size("v").alias("size"), _ADD(F.col("v")).alias("ones"), _MOMENT(F.col("v")).alias("moment"))
 
 
 @query("one_hot_decode", sql("SELECT id, seq AS sequence FROM sequences", "sequences"))
 def one_hot_decode(spark, d, view=V.sequences):
-    return _ready(spark, d, S.one_hot(F.col("sequence")), view).select("id", S.one_hot_text(F.col("v")).alias("sequence"))
+    return _hot(spark, d, view).select("id", S.one_hot_text(F.col("v")).alias("sequence"))
 
 
 @query("one_hot_with_signal", sql(f", {_BASES} SELECT id, round(sum(CASE WHEN b = 'N' THEN 0 ELSE 1 + (i - 1) % 3 END), 6)::DOUBLE AS total FROM b GROUP BY id", "sequences"))
@@ -42,7 +44,7 @@ def one_hot_with_signal(spark, d, view=V.sequences):
 
 @query("ngram_matrix", sql("SELECT id, greatest(length(seq) - 7, 0)::INT AS grams FROM sequences", "sequences"))
 def ngram_matrix(spark, d, view=V.sequences):
-    ready = _ready(spark, d, S.one_hot(F.col("sequence")), view).select("id", S.once(S.ngrams(F.col("v"), 8)).alias("g"))
+    ready = _hot(spark, d, view).select("id", S.once(S.ngrams(F.col("v"), 8)).alias("g"))
     return ready.select("id", F.size("g").alias("grams"))
 
 
@@ -56,7 +58,7 @@ SELECT n.id, round(sqrt(coalesce(sum(k * k), 0)), 6)::DOUBLE AS norm FROM n LEFT
     ),
 )
 def conv_norm(spark, d, view=V.sequences):
-    ready = _ready(spark, d, S.one_hot(F.col("sequence")), view).filter("size(v) >= 12").select("id", S.once(S.ngrams(F.col("v"), 3)).alias("g"))
+    ready = _hot(spark, d, view).filter("size(v) >= 12").select("id", S.once(S.ngrams(F.col("v"), 3)).alias("g"))
     return ready.select("id", F.round(S.conv_norm(F.col("g")), 6).alias("norm"))
 
 
@@ -74,7 +76,7 @@ SELECT kmer_index, kmer, count(c.id) AS sequences, coalesce(sum(n), 0)::BIGINT A
 )
 def kmer_enumerate(spark, d, view=V.sequences):
     """Every 3-mer with its index, and how many sequences hold it how often."""
-    held = Q.kmer_counts(view(spark, d), 3).groupBy("kmer").agg(F.count("*").alias("sequences"), F.sum("n").alias("n"))
+    held = Q.kmer_totals(view(spark, d), 3)
     zero = F.lit(0).cast("long")
     return Q.kmer_table(3, spark).join(held, "kmer", "left").select("kmer_index", "kmer", F.coalesce("sequences", zero).alias("sequences"), F.coalesce("n", zero).alias("n"))
 
@@ -89,7 +91,7 @@ def kmer_count(spark, d, view=V.sequences):
 
 @query("kmer_extract", sql(f", {_KMERS} SELECT kmer, count(DISTINCT id) AS sequences, count(*) AS n FROM k GROUP BY kmer", "sequences"))
 def kmer_extract(spark, d, view=V.sequences):
-    return Q.kmer_counts(view(spark, d), 4).groupBy("kmer").agg(F.count("*").alias("sequences"), F.sum("n").alias("n"))
+    return Q.kmer_totals(view(spark, d), 4)
 
 
 @query(
