@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._common import bounded_batches, stored
-from ._components import components, join_counted
-from ._groups import group_links
+from ._groups import group_links, joined
 from ._shingles import buffers, mix, shingle_sets
 
 #: At similarity 0.8 all bands miss a pair with probability (1 - 0.8**4)**32, 5e-8.
@@ -323,7 +322,7 @@ def near_duplicates(docs: DataFrame, share: int = 80, k: int = 2, id_col: str =
     # buckets: members meet the first of their bucket; where that leaves some apart, all members meet
     rows = sketched.select("sig", F.explode("bands").alias("key"))
     keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("sig").alias("a")).filter("m > 1")
-    shared = stored(join_counted(rows, keys, "key", "m", sketched.count() * BANDS))
+    shared = stored(rows.join(keys, "key"))
     stars = shared.filter("sig <> a").groupBy("a", "sig").agg(F.max("m").alias("m"))
     x, y = (sketches.select(F.col("sig").alias(c), F.struct("n", *_SKETCH).alias(v)) for c, v in (("a", "x"), ("sig", "y")))
     tried = stored(stars.join(y, "sig").join(x, "a").select("a", "sig", "m", _possible("x", "y", share, most).alias("near")))
@@ -332,7 +331,7 @@ def near_duplicates(docs: DataFrame, share: int = 80, k: int = 2, id_col: str =
     met = shared.join(open_keys, "key", "left_semi").select("key", "sig").join(sketches, "sig").select("key", "sig", "n", *_SKETCH)
     edges = met.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges(share, most), "a long, b long")
     whole = shared.filter(f"m > {BUCKET} AND sig <> a").select("a", F.col("sig").alias("b"))
-    chained = components(tried.filter("near").select("a", F.col("sig").alias("b")).unionByName(edges).unionByName(whole))
+    chained = joined(tried.filter("near").select("a", F.col("sig").alias("b")).unionByName(edges).unionByName(whole))
     member = stored(chained.unionByName(chained.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "sig"))
 
     # full sets of the members, which a filter of bounded size picks while texts are read
@@ -346,9 +345,9 @@ def near_duplicates(docs: DataFrame, share: int = 80, k: int = 2, id_col: str =
     sets = sets.join(member.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("shingles").alias("shingles"))
     sets = stored(sketches.join(sets, "sig").select("sig", "n", *_SKETCH, "shingles"))
     grouped = stored(member.join(sketches.select("sig", F.col("n").alias("size")), "sig").select("sig", "size", F.col("root").alias("group")))
-    joined = components(group_links(grouped, sets, _meet(share, most), _confirm(share, most)))
+    linked = joined(group_links(grouped, sets, _meet(share, most), _confirm(share, most)))
 
-    rooted = classes.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    rooted = classes.join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rooted.select("sig", "root").join(smallest, "root").select("sig", "component_id")
     out = texts.join(found, "sig", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
