@@ -159,26 +159,22 @@ def scan_pwms(spark, d):
     return scan(spark, path).select("motif_id", "pos", "base", F.round("p", 6).alias("p"))
 
 
-_HITS = f"""{_PWM}, loc AS (SELECT id, i, seq FROM (SELECT id, seq, unnest(range(1, length(seq) - 1)) AS i FROM sequences)),
-h AS (SELECT id, i, motif_id, CASE WHEN contains(substr(seq, i, 3), 'N') THEN 0 ELSE
-  (SELECT p FROM pn WHERE pn.motif_id = m.motif_id AND pos = 0 AND base = substr(seq, i, 1)) * (SELECT p FROM pn WHERE pn.motif_id = m.motif_id AND pos = 1 AND base = substr(seq, i + 1, 1)) * (SELECT p FROM pn WHERE pn.motif_id = m.motif_id AND pos = 2 AND base = substr(seq, i + 2, 1)) END AS p
-  FROM loc, (SELECT DISTINCT motif_id FROM pn) m)"""
+_SCORES = """sc AS (SELECT x.motif_id, x.base || y.base || z.base AS piece, x.p * y.p * z.p AS p FROM pn x JOIN pn y USING (motif_id) JOIN pn z USING (motif_id) WHERE x.pos = 0 AND y.pos = 1 AND z.pos = 2
+  UNION ALL SELECT DISTINCT motif_id, 'N', 0 FROM pn),
+k AS (SELECT id, i, CASE WHEN contains(substr(seq, i, 3), 'N') THEN 'N' ELSE substr(seq, i, 3) END AS piece FROM (SELECT id, seq, unnest(range(1, length(seq) - 1)) AS i FROM sequences)),
+n AS (SELECT id, piece, count(*) AS n, min(i) AS i FROM k GROUP BY ALL)"""
+_TOTALS = "SELECT id, motif_id::BIGINT AS motif_id, round(sum(n * p), 5)::DOUBLE AS total FROM n JOIN sc USING (piece) GROUP BY ALL"
+_BEST = ", m AS (SELECT piece, max(round(p, 12)) AS p FROM sc GROUP BY piece), r AS (SELECT id, i, p, row_number() OVER (PARTITION BY id ORDER BY p DESC, i) AS o FROM n JOIN m USING (piece)) SELECT s.id, coalesce(i, length(seq) // 2)::BIGINT AS center, round(coalesce(p, 0), 6)::DOUBLE AS prob FROM sequences s LEFT JOIN (SELECT * FROM r WHERE o = 1) r ON r.id = s.id"
+_HITS = f"{_PWM}, {_SCORES}, h AS (SELECT id, i, motif_id, p FROM k JOIN sc USING (piece))"
 
 
-@query("pwm_score", sql(f", {_HITS} SELECT id, motif_id, round(sum(p), 6)::DOUBLE AS total FROM h GROUP BY ALL", "sequences"))
+@query("pwm_score", sql(f", {_PWM}, {_SCORES} {_TOTALS}", "sequences"))
 def pwm_score(spark, d, view=V.sequences):
     motifs = Q.motif_arrays(Q.valid_pwms(_pwms(spark, d)))
-    seq = view(spark, d)
-    at = seq.select("id", F.explode(S.cuts_of(F.col("sequence"), 3)).alias("piece")).crossJoin(F.broadcast(motifs))  # a few motifs
-    piece = F.col("piece")
-    p = F.when(piece.rlike("N"), 0.0).otherwise(Q.pwm_score(piece, F.col("probs")))
-    return at.groupBy("id", "motif_id").agg(F.round(F.sum(p), 6).alias("total"))
+    return Q.pwm_totals(view(spark, d), motifs).withColumn("total", F.round("total", 5))
 
 
-@query(
-    "best_motif_center",
-    sql(f", {_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(p, 12) DESC, i, motif_id) AS n FROM h) SELECT s.id, coalesce(i - 1 + 1, length(seq) // 2)::BIGINT AS center, round(coalesce(p, 0), 6)::DOUBLE AS prob FROM sequences s LEFT JOIN (SELECT * FROM r WHERE n = 1) r ON r.id = s.id", "sequences"),
-)
+@query("best_motif_center", sql(f", {_PWM}, {_SCORES}{_BEST}", "sequences"))
 def best_motif_center(spark, d, view=V.sequences):
     motifs = Q.motif_arrays(Q.valid_pwms(_pwms(spark, d)))
     return Q.best_motif_center(view(spark, d).withColumn("tf", F.lit("c1")), motifs).withColumn("prob", F.round("prob", 6))
@@ -201,9 +197,9 @@ def pileup_counts_centered(spark, d):
     return out.select("contig", F.col("win_start").alias("start"), "center", _ADD(F.col("dnase")).alias("total"), _ADD(F.transform("dnase", lambda v, i: v * i)).alias("moment"))
 
 
-def _all_pwms(spark, d):
+def _all_pwms(spark, d, weight="floor(p_retailprice)"):
     """Motifs of every 12 consecutive part keys, those with fewer left out; motif 2 is not valid."""
-    rows = V.table(spark, d, "part").select(F.floor(F.col("p_partkey") / 12).cast("int").alias("motif_id"), "p_partkey", F.floor("p_retailprice").alias("w"))
+    rows = V.table(spark, d, "part").select(F.floor(F.col("p_partkey") / 12).cast("int").alias("motif_id"), "p_partkey", F.expr(weight).alias("w"))
     full = rows.groupBy("motif_id").agg(F.count("*").alias("n")).filter("n = 12").select("motif_id")
     rows = rows.join(full, "motif_id").select("motif_id", (F.floor(F.col("p_partkey") / 4) % 3).cast("int").alias("pos"), (F.col("p_partkey") % 4).alias("b"), "w")
     total = rows.groupBy("motif_id", "pos").agg(F.sum("w").alias("total"))
@@ -214,24 +210,7 @@ def _all_pwms(spark, d):
 
 _ALL_PWM = """pw AS (SELECT (p_partkey // 12)::INT AS motif_id, (p_partkey // 4 % 3)::INT AS pos, substr('ACGT', (p_partkey % 4 + 1)::INT, 1) AS base, floor(p_retailprice) AS w FROM part),
 pn AS (SELECT motif_id, pos, base, w / sum(w) OVER (PARTITION BY motif_id, pos) AS p FROM pw WHERE motif_id <> 2 QUALIFY count(*) OVER (PARTITION BY motif_id) = 12)"""
-_ALL_HITS = f"""{_ALL_PWM}, sc AS (SELECT x.motif_id, x.base || y.base || z.base AS piece, x.p * y.p * z.p AS p FROM pn x JOIN pn y USING (motif_id) JOIN pn z USING (motif_id) WHERE x.pos = 0 AND y.pos = 1 AND z.pos = 2
-  UNION ALL SELECT DISTINCT motif_id, 'N', 0 FROM pn),
-k AS (SELECT id, i, CASE WHEN contains(substr(seq, i, 3), 'N') THEN 'N' ELSE substr(seq, i, 3) END AS piece FROM (SELECT id, seq, unnest(range(1, length(seq) - 1)) AS i FROM sequences))"""
-
-
-def _piece_scores(spark, d):
-    """motif_id, piece and p: every three letters under every motif, and 0 for pieces with other letters, as piece N."""
-    pwms = Q.valid_pwms(_all_pwms(spark, d))
-    at = lambda i: pwms.filter(F.col("pos") == i).select("motif_id", F.col("base").alias(f"b{i}"), F.col("p").alias(f"p{i}"))
-    each = at(0).join(at(1), "motif_id").join(at(2), "motif_id").select("motif_id", F.concat("b0", "b1", "b2").alias("piece"), (F.col("p0") * F.col("p1") * F.col("p2")).alias("p"))
-    return each.unionByName(pwms.select("motif_id").distinct().select("motif_id", F.lit("N").alias("piece"), F.lit(0.0).alias("p")))
-
-
-def _pieces(spark, d):
-    """id, piece, n and first: the pieces of three letters of whole documents, counted before they meet the motifs."""
-    at = V.whole_sequences(spark, d).select("id", F.posexplode(S.cuts_of(F.col("sequence"), 3)).alias("i", "piece"))
-    at = at.withColumn("piece", F.when(F.contains("piece", F.lit("N")), "N").otherwise(F.col("piece")))
-    return at.groupBy("id", "piece").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+_ALL_HITS = f"{_ALL_PWM}, {_SCORES}"
 
 
 @query("scan_pwms_whole", f"WITH {_ALL_PWM} SELECT motif_id, pos, base, round(p, 6) AS p FROM pn")
@@ -245,23 +224,28 @@ def scan_pwms_whole(spark, d):
     return scan(spark, path).select("motif_id", "pos", "base", F.round("p", 6).alias("p"))
 
 
-@query("pwm_score_all", sql(f", {_ALL_HITS} SELECT id, motif_id, round(sum(p), 5)::DOUBLE AS total FROM k JOIN sc USING (piece) GROUP BY ALL", "whole_sequences"))
+@query("pwm_score_all", sql(f", {_ALL_HITS} {_TOTALS}", "whole_sequences"))
 def pwm_score_all(spark, d):
     """Whole documents under all motifs."""
-    met = _pieces(spark, d).join(_piece_scores(spark, d), "piece")
-    return met.groupBy("id", "motif_id").agg(F.round(F.sum(F.col("n") * F.col("p")), 5).alias("total"))
+    motifs = Q.motif_arrays(Q.valid_pwms(_all_pwms(spark, d)))
+    return Q.pwm_totals(V.whole_sequences(spark, d), motifs).withColumn("total", F.round("total", 5))
 
 
-@query(
-    "best_motif_center_all",
-    sql(f", {_ALL_HITS}, m AS (SELECT piece, max(round(p, 12)) AS p FROM sc GROUP BY piece), r AS (SELECT id, i, p, row_number() OVER (PARTITION BY id ORDER BY p DESC, i) AS n FROM k JOIN m USING (piece)) SELECT s.id, coalesce(i, length(seq) // 2)::BIGINT AS center, round(coalesce(p, 0), 6)::DOUBLE AS prob FROM sequences s LEFT JOIN (SELECT * FROM r WHERE n = 1) r ON r.id = s.id", "whole_sequences"),
-)
+_SHARP = _ALL_HITS.replace("floor(p_retailprice)", "p_size::DOUBLE")
+
+
+@query("motif_hits", sql(f", {_SHARP} SELECT id, motif_id::BIGINT AS motif_id, i - 1 AS place, round(p, 6)::DOUBLE AS prob FROM k JOIN sc USING (piece) WHERE p >= 0.1", "whole_sequences"))
+def motif_hits(spark, d):
+    """Places of whole documents at which a motif is likely enough."""
+    motifs = Q.motif_arrays(Q.valid_pwms(_all_pwms(spark, d, "cast(p_size AS double)")))
+    return Q.motif_hits(V.whole_sequences(spark, d), motifs, 0.1).withColumn("prob", F.round("prob", 6))
+
+
+@query("best_motif_center_all", sql(f", {_ALL_HITS}{_BEST}", "whole_sequences"))
 def best_motif_center_all(spark, d):
-    """The middle of the best hit of all motifs in whole documents; a piece's best motif stands for all of them."""
-    best = _piece_scores(spark, d).groupBy("piece").agg(F.max(F.round("p", 12)).alias("p"))
-    hit = _pieces(spark, d).join(F.broadcast(best), "piece").groupBy("id").agg(F.max_by(F.struct("first", "p"), F.struct("p", -F.col("first"))).alias("b"))  # 65 pieces
-    out = V.whole_sequences(spark, d).join(hit, "id", "left")
-    return out.select("id", F.coalesce(F.col("b.first") + 1, F.floor(F.length("sequence") / 2)).cast("long").alias("center"), F.round(F.coalesce("b.p", F.lit(0.0)), 6).alias("prob"))
+    """The middle of the best hit of all motifs in whole documents."""
+    motifs = Q.motif_arrays(Q.valid_pwms(_all_pwms(spark, d)))
+    return Q.best_motif_center(V.whole_sequences(spark, d).withColumn("tf", F.lit("c1")), motifs).withColumn("prob", F.round("prob", 6))
 
 
 _REGION = ", rg AS (SELECT contig, length(seq) // 3 AS s, length(seq) // 3 + 150 AS e, seq FROM reference)"

@@ -67,14 +67,16 @@ def sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_regions(spark: SparkSession, d: str) -> DataFrame:
-    """Five regions of 200 letters of each labelled document, with its quality and toxicity as labels."""
-    start = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(800).cast("long"), F.lit(200).cast("long")))
-    return table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("contig"), start.alias("start"), "quality", "toxic").withColumn("end", F.col("start") + 200)
+    """Regions of 200 letters of each labelled document, to its end, with its quality and toxicity as labels."""
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n")).filter("n > 0")
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(200).cast("long")))
+    labelled = table(spark, d, "labels").join(docs, "doc_id")
+    return labelled.select(F.col("doc_id").cast("string").alias("contig"), start.alias("start"), "quality", "toxic").withColumn("end", F.col("start") + 200)
 
 
 def document_reads(spark: SparkSession, d: str) -> DataFrame:
-    """Events as reads and peaks of documents: ten events to a document, by event id."""
-    contig, start = F.floor(F.col("event_id") / 10).cast("string"), (_minute() % 1000).cast("long")
+    """Events as reads and peaks of documents: ten events to a document, by event id, on its first 4,000 letters."""
+    contig, start = F.floor(F.col("event_id") / 10).cast("string"), (_minute() % 4000).cast("long")
     return table(spark, d, "events").select(
         F.col("event_id").alias("id"), contig.alias("contig"), start.alias("start"), (start + 1 + F.col("event_id") % 60).alias("end"), (start + 1 + F.floor("value")).alias("peak_end"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("cell_type"),
         F.when(F.col("user_id") % 2 == 0, "+").otherwise("-").alias("strand"),
@@ -139,8 +141,8 @@ CTE = {
 sequences AS (SELECT id * 1000000 + i // 200 AS id, substr(seq, i + 1, 200) AS seq FROM (SELECT id, seq, unnest(range(0, length(seq), 200)) AS i FROM folded))""",
     "whole_sequences": """sequences AS (SELECT doc_id AS id, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ATCGATCGATCGATCGATCGATCGAT'), '[^ATCG]', 'N', 'g') AS seq FROM documents)""",
     "reference": """reference AS (SELECT doc_id::VARCHAR AS contig, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ATCGATCGATCGATCGATCGATCGAT'), '[^ATCG]', 'N', 'g') AS seq FROM documents)""",
-    "document_regions": "regions AS (SELECT doc_id::VARCHAR AS contig, s, s + 200 AS e, quality, toxic FROM labels, (SELECT unnest(range(0, 801, 200)) AS s))",
-    "document_reads": f"""dreads AS (SELECT event_id AS id, (event_id // 10)::VARCHAR AS contig, {_MINUTE} % 1000 AS s, {_MINUTE} % 1000 + 1 + event_id % 60 AS e, {_MINUTE} % 1000 + 1 + floor(value)::BIGINT AS pe, 'c' || (user_id % 3) AS cell_type, CASE WHEN user_id % 2 = 0 THEN '+' ELSE '-' END AS strand FROM events)""",
+    "document_regions": "regions AS (SELECT doc_id::VARCHAR AS contig, s, s + 200 AS e, quality, toxic FROM (SELECT doc_id, quality, toxic, unnest(range(0, length(text), 200)) AS s FROM labels JOIN documents USING (doc_id)))",
+    "document_reads": f"""dreads AS (SELECT event_id AS id, (event_id // 10)::VARCHAR AS contig, {_MINUTE} % 4000 AS s, {_MINUTE} % 4000 + 1 + event_id % 60 AS e, {_MINUTE} % 4000 + 1 + floor(value)::BIGINT AS pe, 'c' || (user_id % 3) AS cell_type, CASE WHEN user_id % 2 = 0 THEN '+' ELSE '-' END AS strand FROM events)""",
     "scored": "scored AS (SELECT doc_id AS id, quality AS label, toxic, round(n_chars / (n_chars + 1000.0::DOUBLE), 6) AS score FROM labels JOIN documents USING (doc_id))",
     "features": "features AS (SELECT vec_id AS id, (label = 0)::INT AS label, list_transform(embedding, lambda v: v::DOUBLE) AS features, 'chr' || (vec_id % 5 + 1) AS contig, 'c' || (vec_id % 3) AS cell_type FROM embeddings)",
     "submissions": """submissions AS (SELECT o_orderkey AS id, o_orderpriority AS tf, o_orderstatus AS sample, o_custkey % 8 AS "user", o_orderdate AS date, o_orderkey % 3 AS bootstrap,

@@ -104,3 +104,25 @@ def test_compositions_are_all():
 def test_kmers_of_a_column_that_is_called_like_the_result(spark):
     df = spark.createDataFrame([("a", "ACGT")], "kmer string, n string")
     assert [tuple(r) for r in Q.kmer_counts(df, 4, id_col="kmer", seq_col="n").select(F.col("id"), "kmer", "n").collect()] == [("a", "ACGT", 1)]
+
+
+def motif_scores(text, probs):
+    at = {b: i for i, b in enumerate("ACGT")}
+    return [np.prod([row[at[c]] if c in at else 0.0 for c, row in zip(text[i:], probs, strict=False)]) for i in range(len(text) - len(probs) + 1)]
+
+
+@pytest.mark.parametrize("wave", [2000, 2])
+def test_motifs_of_several_lengths(spark, frame, monkeypatch, wave):
+    monkeypatch.setattr(Q, "MOTIFS", wave)
+    rng = np.random.default_rng(4)
+    probs = {i: rng.dirichlet(np.full(4, 0.4), n) for i, n in enumerate((1, 3, 3, 8, 12, 4))}
+    motifs = spark.createDataFrame([(i, "t", len(p), p.ravel().tolist()) for i, p in probs.items()], "motif_id int, tf string, len int, probs array<double>")
+    got = {(r.id, r.motif_id): r.total for r in Q.pwm_totals(frame, motifs).collect()}
+    want = {(i, m): sum(s) for i, t in enumerate(TEXTS) for m, p in probs.items() if (s := motif_scores(t or "", p))}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    least = 0.05
+    hits = {(r.id, r.motif_id, r.place): r.prob for r in Q.motif_hits(frame, motifs, least).collect()}
+    every = {(i, m, a): p for i, t in enumerate(TEXTS) for m, x in probs.items() for a, p in enumerate(motif_scores(t or "", x)) if p >= least}
+    assert hits.keys() == every.keys() and all(hits[k] == pytest.approx(every[k]) for k in every) and len(every) > 100
+    with pytest.raises(ValueError):
+        Q.motif_hits(frame, motifs, 0.0)
