@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Fixed label codes: ambiguous, unbound, bound; and that of regions without a label.
 LABELS = {"A": -1, "U": 0, "B": 1}
@@ -59,3 +59,20 @@ def submission_name(path: Column) -> Column:
     form = r"([LFB])\.([^./]+)\.([^./]+)\.tab(?:\.gz)?(?:/part-[^/]*)?$"
     part = lambda i: F.nullif(F.regexp_extract(path, form, i), F.lit(""))
     return F.when(path.rlike(form), F.struct(part(1).alias("board"), part(2).alias("tf"), part(3).alias("cell_type")))
+
+
+#: Values that an indexer may have; more are no categories.
+CATEGORIES = 10_000
+
+
+def fit_categories(df: DataFrame, column: str) -> list[str]:
+    """The values of a column of the fitting table, most frequent first, ties by the value; nulls are none."""
+    rows = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(CATEGORIES + 1).collect()
+    if len(rows) > CATEGORIES:
+        raise ValueError(f"{column} has more than {CATEGORIES} values")
+    return [r["v"] for r in rows]
+
+
+def category_features(column: Column, categories: list[str]) -> Column:
+    """Indicators of a value of any table under fitted categories; zeros for null and for values that the fit did not see."""
+    return one_hot_category(column.cast("string"), categories) if categories else F.array().cast("array<double>")

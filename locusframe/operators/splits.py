@@ -43,6 +43,23 @@ def holdout_folds(df: DataFrame, n_cells: int = 1, n_contigs: int = 3, folds: in
     return some("cell_type", n_cells).unionByName(some("contig", n_contigs))
 
 
+def with_holdouts(df: DataFrame, held: DataFrame) -> DataFrame:
+    """Add train_folds and test_folds: a fold trains on rows of which neither key is held out, and tests those of which both are.
+
+    held is that of holdout_folds: some values for each fold.
+    """
+    values: dict[int, dict[str, list[str]]] = {}
+    for r in held.collect():
+        values.setdefault(r["fold"], {"cell_type": [], "contig": []})[r["kind"]].append(r["value"])
+    train, test = [], []
+    for fold, some in sorted(values.items()):
+        cell, contig = (F.coalesce(F.col(kind).cast("string").isin(some[kind]), F.lit(False)) for kind in ("cell_type", "contig"))
+        train.append(F.when(~cell & ~contig, fold))
+        test.append(F.when(cell & contig, fold))
+    folds = lambda some: F.filter(F.array(*some), lambda x: x.isNotNull()) if some else F.array().cast("array<int>")
+    return df.withColumns({"train_folds": folds(train), "test_folds": folds(test)})
+
+
 def hash_fold(key: Column, k: int) -> Column:
     """A fold from 0 to k - 1 by a hash of the key; no row is left out."""
     return F.pmod(key_hash(key), F.lit(k)).cast("int")

@@ -52,8 +52,12 @@ def _stats(df):
 
 
 def _windows(spark, d):
-    signal = F.transform(F.sequence(F.lit(0), F.lit(399)), lambda i: F.when((i + F.col("id")) % 40 == 0, 1.0).otherwise(0.0))
-    return V.sequence_windows(spark, d).withColumn("dnase", signal)
+    """All windows of all documents with the cuts of their reads piled up by strand; without cuts, dnase is null."""
+    from ..operators import coverage as C
+
+    cut = C.cuts(V.document_reads(spark, d).select("contig", "start", "end", "strand")).filter("start >= 0")
+    hits = cut.select(F.col("contig").cast("long").alias("id"), F.expr("start div 200").cast("int").alias("window"), "strand", (F.col("start") % 200).cast("int").alias("offset"), F.lit(1).alias("one"))
+    return V.sequence_windows(spark, d).join(C.pileup(hits, ["id", "window"], "one"), ["id", "window"], "left")
 
 
 @query("random_features_fast")
@@ -106,8 +110,8 @@ def ridge_fit(spark, d):
 
 @query("ridge_fit_whole")
 def ridge_fit_whole(spark, d):
-    """The weights of all features together: place and w."""
-    w = O.ridge_fit(V.features(spark, d), 0.5)
+    """The weights of all features together, fitted block after block: place and w."""
+    w = O.ridge_fit_blocks(V.features(spark, d), 0.5, block=16, epochs=200)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "place int, w double")
 
 
@@ -129,80 +133,82 @@ def hard_negative_mining(spark, d):
 
 @query("cross_validate")
 def cross_validate(spark, d):
-    f = V.features(spark, d).select("id", "label", "features", "contig")
-    return O.cross_validate(f, F.substring("contig", 4, 2).cast("int") % 2, 2, (0.5,), (0.1, 10.0))
+    """Ridge models over folds of held-out cell types and contigs, for two rates of negatives and two regularisers."""
+    f = V.features(spark, d)
+    return O.cross_validate(P.with_holdouts(f, P.holdout_folds(f, 1, 2, folds=4)), 4, (0.5, 1.0), (0.1, 10.0))
 
 
 # --- jobs ------------------------------------------------------------------------------
 
 
+def _solved(spark, fit, data):
+    """The model saved, loaded again, and scored on both parts."""
+    from ..files import shared_path
+
+    path = shared_path(spark, "model")
+    fit.save(spark, path)
+    return M.tagged_metrics(O.LinearModel.load(spark, path).predict(data.filter("split is not null")), "job", keys=["split"])
+
+
 @query("job_solve")
 def job_solve(spark, d):
-    """Features to split to ridge to metrics of both parts."""
+    """Features to split to a ridge model with scaler and intercept, saved and loaded, to metrics of both parts."""
     data = P.train_val(V.features(spark, d), ["c1"], ["chr2", "chr3"])
-    weights = O.ridge_fit(P.sample_negatives(data.filter("split = 'train'"), 0.5, "id"), 1.0)
-    return M.tagged_metrics(O.linear_predict(data.filter("split is not null"), weights), "job", keys=["split"])
+    return _solved(spark, O.LinearModel.fit(P.sample_negatives(data.filter("split = 'train'"), 0.5, "id"), 1.0), data)
 
 
 @query("job_solve_hard_negatives")
 def job_solve_hard_negatives(spark, d):
+    """The same on positives and mined negatives."""
     data = P.train_val(V.features(spark, d), ["c1"], ["chr2", "chr3"])
-    weights, _ = O.hard_negative_mining(data.filter("split = 'train'").select("id", "label", "features"), 1.0, 0.3, 2)
-    return M.tagged_metrics(O.linear_predict(data.filter("split is not null"), weights), "job", keys=["split"])
+    _, used = O.hard_negative_mining(data.filter("split = 'train'").select("id", "label", "features"), 1.0, 0.3, 2)
+    return _solved(spark, O.LinearModel.fit(used, 1.0), data)
 
 
 @query("job_predict", sql(f", s AS (SELECT contig, id, list_inner_product(features, {_W}) AS score FROM features), b AS (SELECT min(score) AS lo, max(score) AS hi FROM s) SELECT contig, id * 50 AS start, round((score - lo) / (hi - lo), 5) AS score FROM s, b WHERE contig IN ('chr1', 'chr21', 'chr8')", "features"))
 def job_predict(spark, d):
-    """Features and a model to a board."""
+    """Features and a saved model with scaler and intercept to a board; the board is scaled, so that both leave it as it is."""
+    from ..files import shared_path
     from ..operators.ranking import board_order
 
-    scored = O.linear_predict(V.features(spark, d), _WEIGHTS).select("contig", (F.col("id") * 50).alias("start"), (F.col("id") * 50 + 200).alias("end"), "score")
-    return board_order(M.minmax_scale(scored, "score")).select("contig", "start", F.round("scaled", 5).alias("score"))
+    path = shared_path(spark, "model")
+    O.LinearModel(_WEIGHTS, 0.25, np.arange(64) / 640.0).save(spark, path)
+    scored = O.LinearModel.load(spark, path).predict(V.features(spark, d))
+    rows = scored.select("contig", (F.col("id") * 50).alias("start"), (F.col("id") * 50 + 200).alias("end"), "score")
+    return board_order(M.minmax_scale(rows, "score")).select("contig", "start", F.round("scaled", 5).alias("score"))
 
 
 @query("job_cv_signal")
 def job_cv_signal(spark, d):
-    """Cuts to pile-ups to footprints to a gated logistic model over two contig folds."""
-    from ..files import materialised
+    """Cuts to pile-ups to footprints to a gated logistic model, over folds of held-out cell types and contigs."""
     from ..operators import coverage as C
 
-    r = V.reads(spark, d)
-    hits = C.cut_windows(C.cuts(r)).withColumn("one", F.lit(1))
-    table = C.with_footprint(C.pileup(hits, ["contig", "win_start"], "one"))
-    busy = V.peaks(spark, d).filter("signal > 100").select("contig", (F.floor(F.col("start") / 50) * 50).alias("win_start")).distinct().withColumn("label", F.lit(1))
-    data = materialised(table.join(busy, ["contig", "win_start"], "left").withColumn("label", F.coalesce("label", F.lit(0))).withColumn("fold", P.hash_fold(F.col("contig"), 2)))
-    out = None
-    for fold in range(2):
-        train, test = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
-        kinds = {r[0] for r in train.select("label").distinct().limit(2).collect()}
-        if len(kinds) < 2:
-            continue
-        scored = O.logistic_predict(test, O.logistic_fit(train, 5, 0.1)).withColumn("score", F.round(O.gated(has_signal(F.col("dnase")), F.col("score")), 6))
-        row = M.tagged_metrics(scored, "cv").select(F.lit(fold).alias("fold"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out if out is not None else M.tagged_metrics(data.withColumn("score", F.lit(0.0)), "cv").select(F.lit(-1).alias("fold"), "*")
-
-
-def _cv(spark, d, features):
-    """Two folds of documents by id: a logistic model of quality, scored by metrics."""
-    from ..files import materialised
+    hits = C.cut_windows(C.cuts(V.reads(spark, d))).withColumn("one", F.lit(1))
+    table = C.with_footprint(C.pileup(hits, ["contig", "cell_type", "win_start"], "one"))
+    busy = V.peaks(spark, d).filter("signal > 100").select("contig", "cell_type", (F.floor(F.col("start") / 50) * 50).alias("win_start")).distinct().withColumn("label", F.lit(1))
+    data = table.join(busy, ["contig", "cell_type", "win_start"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    held = P.holdout_folds(V.reads(spark, d), 1, 1, folds=3)
+    return O.cross_validate_logistic(P.with_holdouts(data, held), 3, 5, 0.1, gate=has_signal(F.col("dnase")))
 
-    labels = V.scored(spark, d).select("id", "label")
-    data = materialised(features.join(labels, "id").withColumn("__fold", (F.col("id") % 2).cast("int")))
-    out = None
-    for fold in range(2):
-        scored = O.logistic_predict(data.filter(F.col("__fold") == fold), O.logistic_fit(data.filter(F.col("__fold") != fold), 5, 0.1))
-        row = M.tagged_metrics(scored.withColumn("score", F.round("score", 6)), "cv").select(F.lit(fold).alias("fold"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+
+def _documents(spark, d):
+    """id, label and, as what may be held out, language and source of the labelled documents."""
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("cell_type"), F.col("source").alias("contig"))
+    return V.scored(spark, d).select("id", "label").join(docs, "id")
+
+
+def _cv(spark, d, features, folds=3):
+    """Logistic models of quality over folds of held-out languages and sources; features has id and features."""
+    docs = _documents(spark, d)
+    return O.cross_validate_logistic(P.with_holdouts(features.join(docs, "id"), P.holdout_folds(docs, 1, 3, folds=folds)), folds, 5, 0.1)
 
 
 @query("job_cv_signal_only")
 def job_cv_signal_only(spark, d):
+    """Whether a window has cuts at all."""
     from ..functions.labels import binary_signal
 
-    w = V.sequence_windows(spark, d).withColumn("dnase", F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")))
-    return _cv(spark, d, w.select("id", F.array(binary_signal(F.col("dnase"))).alias("features")))
+    return _cv(spark, d, _windows(spark, d).select("id", F.array(binary_signal(F.col("dnase"))).alias("features")))
 
 
 @query("job_cv_kernel")
@@ -210,43 +216,83 @@ def job_cv_kernel(spark, d):
     return _cv(spark, d, X.featurize_sequence(V.sequence_windows(spark, d), X.gaussian_filters(32, 32)).select("id", "features"))
 
 
-@query("job_cv_onehot")
-def job_cv_onehot(spark, d):
-    from ..functions.sequence import one_hot
+def _onehot_features(spark, d):
+    """The one-hot vector of each window, and indicators of its document's language."""
+    from ..functions.labels import category_features, fit_categories
+    from ..operators.kernels import one_hot_column
 
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
     # the last window of a document is padded with letters whose code is zeros
-    hot = V.sequence_windows(spark, d).select("id", one_hot(F.rpad("sequence", 200, "N")).alias("features"))
-    return _cv(spark, d, hot)
+    hot = one_hot_column(V.sequence_windows(spark, d).select("id", F.rpad("sequence", 200, "N").alias("sequence")), "ATCG", out="hot")
+    return hot.join(docs, "id").select("id", F.concat("hot", category_features(F.col("lang"), fit_categories(docs, "lang"))).alias("features"))
+
+
+@query("job_cv_onehot")
+def job_cv_onehot(spark, d):
+    """A language that a fold holds out has an indicator that is zero in all its training rows, and so no weight."""
+    return _cv(spark, d, _onehot_features(spark, d))
 
 
 @query("job_cv_ngrams")
-def job_cv_ngrams(spark, d):
-    from ..operators.sequences import ngram_features
+def job_cv_ngrams(spark, d, folds=2, top=1024):
+    """The most frequent 6- and 7-grams and the language; vocabulary and categories are those of the fold's training documents."""
+    from ..files import materialised
+    from ..functions.labels import category_features, fit_categories
+    from ..operators.sequences import grams, ngram_features, ngram_vocabulary
 
-    places = ngram_features(V.whole_sequences(spark, d), (3,), 32)
-    dense = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.array_contains("places", i).cast("double"))
-    return _cv(spark, d, places.select("id", dense.alias("features")))
+    docs = materialised(P.with_holdouts(_documents(spark, d).join(V.whole_sequences(spark, d), "id"), P.holdout_folds(_documents(spark, d), 1, 3, folds=folds)))
+    out = None
+    for fold in range(folds):
+        train = docs.filter(F.array_contains("train_folds", fold))
+        names, kinds = grams(ngram_vocabulary(train, top=top)), fit_categories(train, "cell_type")
+        dense = F.transform(F.sequence(F.lit(0), F.lit(max(0, len(names) - 1))), lambda i: F.array_contains("places", i).cast("double"))
+        own = lambda c, fold=fold: F.filter(c, lambda x: x == fold)
+        rows = docs.join(ngram_features(docs, names), "id").select("label", F.concat(dense, category_features(F.col("cell_type"), kinds)).alias("features"), own("train_folds").alias("train_folds"), own("test_folds").alias("test_folds"))
+        one = O.cross_validate_logistic(rows, folds, 5, 0.1).filter(F.col("fold") == fold)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("job_cv_lift", sql(", s AS (SELECT id % 5 AS fold, label, score FROM scored) SELECT fold, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives FROM s GROUP BY fold", "scored"))
+@query("job_cv_lift")
 def job_cv_lift(spark, d):
-    """Class counts of five folds."""
-    return V.scored(spark, d).groupBy((F.col("id") % 5).alias("fold")).agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives"))
+    """What a random-feature model of k-mers has over their counts: both metrics of each hash fold, side by side.
+
+    The counts are those of single letters of the whole document, as shares.
+    """
+    from ..operators.sequences import kmer_counts
+
+    docs = V.scored(spark, d).select("id", "label")
+    train, test = O.fold_sets(P.hash_fold(F.col("id"), 4), 4)
+    seq = V.whole_sequences(spark, d)
+    share = F.map_from_entries(F.collect_list(F.struct("kmer", (F.col("n") / F.col("all")).alias("v"))))
+    single = kmer_counts(seq, 1).join(seq.select("id", F.length("sequence").alias("all")), "id").groupBy("id").agg(share.alias("m"))
+    counts = single.select("id", F.array(*[F.coalesce(F.try_element_at("m", F.lit(b)), F.lit(0.0)) for b in "ACGT"]).alias("features"))
+    kernel = X.featurize_sequence(seq, X.gaussian_filters(16, 16)).select("id", F.transform("features", lambda v: v / F.greatest(F.length("sequence"), F.lit(1))).alias("features"))
+    both = [O.cross_validate_logistic(f.join(docs, "id").withColumns({"train_folds": train, "test_folds": test}), 4, 5, 1e-4, tag=tag) for f, tag in ((kernel, "kernel"), (counts, "counts"))]
+    lift = F.round(F.col("kernel_auroc") - F.col("counts_auroc"), 9)
+    return both[0].join(both[1].drop("train", "test", "test_positives"), "fold").withColumn("lift", lift)
 
 
 @query("job_seq_benchmark")
 def job_seq_benchmark(spark, d):
-    """A sequence file to random features to a logistic model, scored on its first rows."""
-    from .source_queries import _sequence_file
+    """A sequence file to random features to a logistic model, scored on another file: documents of even and of odd id."""
     from ..sources.readers import scan_sequences
 
-    path = _sequence_file(spark, d, "EGR1_K562_AC.seq", view=V.whole_sequences)
-    f = X.featurize_sequence(scan_sequences(spark, path), X.gaussian_filters(16, 32)).select("id", "label", "features")
-    test = X.featurize_sequence(scan_sequences(spark, path, first=300), X.gaussian_filters(16, 32)).select("id", "label", "features")
-    scored = O.logistic_predict(test, O.logistic_fit(f, 5, 0.1)).withColumn("score", F.round("score", 6))
+    docs = V.whole_sequences(spark, d).join(V.table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"), "id").filter("length(sequence) > 0")
+    read = lambda name, part: scan_sequences(spark, _sequences_written(docs.filter(F.col("id") % 2 == part), name)).select("id", "label", "sequence")
+    shares = lambda df: X.featurize_sequence(df, X.gaussian_filters(16, 32)).select("id", "label", F.transform("features", lambda v: v / F.length("sequence")).alias("features"))
+    train, test = shares(read("EGR1_K562_AC.seq", 0)), shares(read("EGR1_K562_B.seq", 1))
+    scored = O.logistic_predict(test, O.logistic_fit(train, 5, 0.1)).withColumn("score", F.round("score", 6))
     return M.tagged_metrics(scored, "test")
 
 
+def _sequences_written(df, name):
+    from .source_queries import _tsv
+
+    rows = df.select(F.lit("A").alias("FoldID"), F.lpad(F.col("id").cast("string"), 15, "0").alias("EventID"), F.col("sequence").alias("seq"), F.col("quality").alias("Bound"))
+    return _tsv(rows, name, header=True, sep="\t")
+
+
 @query("job_features_signal")
 def job_features_signal(spark, d):
     """Windows with sequence and signal to multiscale features."""

@@ -130,7 +130,8 @@ SELECT id, count(*)::INT AS size, sum(place)::BIGINT AS places FROM g JOIN v USI
     ),
 )
 def ngram_vocab_features(spark, d, view=V.sequences):
-    out = Q.ngram_features(view(spark, d))
+    seq = view(spark, d)
+    out = Q.ngram_features(seq, Q.grams(Q.ngram_vocabulary(seq))).filter("size(places) > 0")
     return out.select("id", F.size("places").alias("size"), F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x).alias("places"))
 
 

@@ -333,14 +333,27 @@ def load_model(spark, d):
     return O.linear_predict(V.features(spark, d), w.reshape(-1)).select("id", F.round("score", 5).alias("score"))
 
 
-@query("job_dataset", sql(", m AS (SELECT contig, s, s + 200 AS e, q AS label FROM wide) SELECT m.contig, m.s AS start, label, count(p.id) AS peaks FROM m LEFT JOIN (SELECT id, 'chr' || (id % 3 + 1) AS contig, s // 50 * 50 AS lo, e // 50 * 50 + 50 AS hi FROM peaks) p ON p.contig = m.contig AND p.lo < m.e AND m.s < p.hi AND m.s >= greatest(p.lo - 200, 0) AND m.s < least(p.hi + 200, 10000000) GROUP BY m.contig, m.s, label", "wide", "peaks"))
+@query(
+    "job_dataset",
+    sql(
+        """, m AS (SELECT contig, s, e, quality::INT AS label FROM regions), l AS (SELECT doc_id::VARCHAR AS contig, length(text) AS n FROM documents)
+SELECT m.contig, m.s AS start, label, substr(f.seq, m.s + 1, 200) AS sequence, count(p.id)::INT AS peaks FROM m JOIN reference f USING (contig)
+  LEFT JOIN (SELECT id, contig, s // 50 * 50 AS lo, pe // 50 * 50 + 50 AS hi, n FROM dreads JOIN l USING (contig) WHERE cell_type = 'c1') p
+  ON p.contig = m.contig AND p.lo < m.e AND m.s < p.hi AND m.s >= greatest(p.lo - 200, 0) AND m.s < least(p.hi + 200, n) GROUP BY ALL""",
+        "document_regions", "document_reads", "reference",
+    ),
+)
 def job_dataset(spark, d):
-    """Labels with the number of peaks in their windows."""
-    labels = R.scan_labels(spark, _label_file(spark, d)).filter("cell_type = 'HepG2'").select("contig", "start", "end", "cell_type", "label")
-    peaks = V.peaks(spark, d).select(F.concat(F.lit("chr"), (F.col("id") % 3 + 1).cast("string")).alias("contig"), "start", "end", F.lit("HepG2").alias("cell_type"))
-    lengths = peaks.select("contig").distinct().withColumn("length", F.lit(10_000_000).cast("long"))
-    out = I.peak_counts(labels, peaks, lengths)
-    return out.select("contig", "start", "label", F.col("dnase_peak_count").alias("peaks"))
+    """Labels to sequences to the peaks of their windows, written as text and read again."""
+    from ..operators.sequences import chunked, extract_sequences
+
+    labels = V.document_regions(spark, d).select("contig", "start", "end", F.lit("c1").alias("cell_type"), F.lit("EGR1").alias("tf"), F.col("quality").cast("int").alias("label"))
+    peaks = V.document_reads(spark, d).filter("cell_type = 'c1'").select("contig", "start", F.col("peak_end").alias("end"), "cell_type")
+    lengths = V.reference(spark, d).select("contig", F.length("seq").cast("long").alias("length"))
+    found = I.peak_counts(extract_sequences(labels, chunked(V.reference(spark, d))), peaks, lengths)
+    path = shared_path(spark, "dataset")
+    W.write_windows(found.withColumn("dnase", F.array().cast("array<double>")), path, text=True)
+    return R.scan_windows(spark, path).select("contig", "start", "label", "sequence", F.col("dnase_peak_count").alias("peaks"))
 
 
 @query("job_sequences", sql(", rg AS (SELECT doc_id::VARCHAR AS contig, CASE WHEN quality = 1 THEN 1 WHEN doc_id % 7 = 0 THEN -1 ELSE 0 END AS label FROM labels) SELECT rg.contig, label, substr(seq, 51, 100) AS sequence FROM rg JOIN reference USING (contig)", "reference"))

@@ -83,9 +83,8 @@ def test_ridge_of_all_features(spark, tmp_path):
     assert np.allclose(got, np.linalg.solve(x.T @ x + 0.5 * np.eye(64), x.T @ (label == 0)))
 
 
-def test_onehot_job_uses_every_window(spark, documents, monkeypatch):
-    seen = []
-    monkeypatch.setattr(model_queries, "_cv", lambda spark, d, features: seen.append(features))
-    catalog.QUERIES["job_cv_onehot"](spark, documents(["ac" * 225, "acgt"]))
-    rows = seen[0].select("id", F.size("features").alias("size"), F.aggregate("features", F.lit(0.0), lambda a, v: a + v).alias("ones")).collect()
-    assert sorted(map(tuple, rows)) == [(0, 800, 50.0), (0, 800, 200.0), (0, 800, 200.0), (1, 800, 4.0)]
+def test_onehot_job_uses_every_window(spark, tmp_path):
+    spark.createDataFrame([(0, "ac" * 225, "en"), (1, "acgt", "de")], "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    features = model_queries._onehot_features(spark, f"file://{tmp_path}")
+    rows = features.select("id", F.size("features").alias("size"), F.aggregate("features", F.lit(0.0), lambda a, v: a + v).alias("ones")).collect()
+    assert sorted(map(tuple, rows)) == [(0, 802, 51.0), (0, 802, 201.0), (0, 802, 201.0), (1, 802, 5.0)]
