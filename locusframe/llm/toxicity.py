@@ -16,15 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._common import add_columns
+from ._common import add_columns, stored
 from ._shingles import buffers
 
 #: Bytes of text from which the words of one window start.
 WINDOW = 64
 #: The model is fitted on at most so many rows of each class, and so many characters of each.
 FIT_ROWS, FIT_CHARS = {1: 2000, 0: 5000}, 10_000
-#: Bytes of the dictionary of either class, and of the segments that the toxic one is made of.
-ORDINARY_BYTES, TOXIC_BYTES, SEGMENT = 32_768, 8192, 16
+#: Bytes of the dictionary of either class, and of the segments that the toxic one is made of, of which the folds choose one size.
+ORDINARY_BYTES, TOXIC_BYTES, SEGMENTS = 32_768, 8192, (10, 12, 16, 24)
 #: The ordinary dictionary is trained on about so many bytes of the ordinary rows.
 TRAIN_BYTES = 4 << 20
 #: Folds of the calibration.
@@ -228,8 +228,8 @@ def _without_copies(texts: list[bytes]) -> np.ndarray:
     return keep
 
 
-def dictionaries(words: _Words, y: np.ndarray, used: np.ndarray) -> tuple[bytes, bytes]:
-    """The ordinary and the toxic dictionary, both trained by the library.
+def dictionaries(words: _Words, y: np.ndarray, used: np.ndarray, segments: tuple[int, ...]) -> list[tuple[bytes, bytes]]:
+    """For each size of segments the ordinary and the toxic dictionary, both trained by the library.
 
     The trainer picks frequent strings, and most strings of toxic texts are frequent in all texts.  The text is
     therefore dealt to the two training sets first: what is over-represented in toxic texts, as it stands
@@ -237,43 +237,64 @@ def dictionaries(words: _Words, y: np.ndarray, used: np.ndarray) -> tuple[bytes,
     """
     length = words.toxic(y, used)
     spoken = words.spoken((length > 0) & (used & (y == 1))[words.owner], length)
-    base = _trained(ORDINARY_BYTES, words.plain(used & (y == 0), length > 0), 4 * SEGMENT)
-    extra = _trained(min(TOXIC_BYTES, max(512, sum(map(len, spoken)))), spoken, SEGMENT) if spoken else b""
-    # both hold the ordinary part at equal distance, so lengths differ by what the toxic training set adds
-    pad = b"\n" * 8
-    return base + b"\n" * len(extra) + pad, base + extra + pad
+    base = _trained(ORDINARY_BYTES, words.plain(used & (y == 0), length > 0), 64)
+    pad, out = b"\n" * 8, []
+    for segment in segments:
+        extra = _trained(min(TOXIC_BYTES, max(512, sum(map(len, spoken)))), spoken, segment) if spoken else b""
+        # both hold the ordinary part at equal distance, so lengths differ by what the toxic training set adds
+        out.append((base + b"\n" * len(extra) + pad, base + extra + pad))
+    return out
+
+
+class Sample:
+    """The labelled texts that a model is fitted on, in the given order.  Copies of earlier texts are left out."""
+
+    def __init__(self, texts: list[str], toxic: np.ndarray):
+        low = [t.encode().translate(_UPPER.tobytes()) for t in texts]
+        once = _without_copies(low)
+        self.low, self.y = [t for t, k in zip(low, once, strict=True) if k], np.asarray(toxic)[once]
+        self.words, self.fold = _Words(self.low), np.arange(len(self.low)) % FOLDS
+
+    def held_out(self, fold: int) -> list[list[tuple[np.ndarray, np.ndarray, int]]]:
+        """For each size of segments the savings of the fold's texts, through dictionaries trained without them."""
+        held, out = np.flatnonzero(self.fold == fold), []
+        for ordinary, toxic in dictionaries(self.words, self.y, self.fold != fold, SEGMENTS):
+            model = Model(ordinary, toxic, 1, np.zeros(7))
+            out.append([model.savings(pa.array([self.low[i].decode() for i in some.tolist()], pa.string())) for some in np.array_split(held, len(held) // 256 + 1)])
+        return out
+
+    def model(self, saved: list[list[list[tuple]]]) -> Model:
+        """The model of all texts, of the segments, the least saving and the weights that did best on all folds' savings.
+
+        Without texts of both classes nothing is called toxic.
+        """
+        best, segment, cut, weights = np.inf, SEGMENTS[0], 1, np.array([0.0] * 6 + [-2.0])
+        if len(set(self.y.tolist())) == 2:
+            target = np.concatenate([self.y[self.fold == f] for f in range(FOLDS)]).astype(float)
+            # half way between the rows as they are and classes of equal weight: a missed toxic text costs more than a false alarm
+            weight = np.where(target == 1, np.sqrt((target == 0).sum() / (target == 1).sum()), 1.0)
+            for i, size in enumerate(SEGMENTS):
+                for least in (1, 2, 3):
+                    x = np.vstack([Model(b"", b"", least, weights).features_of(*s) for f in range(FOLDS) for s in saved[f][i]])
+                    w = _logistic(x, target, weight)
+                    p = np.clip(1 / (1 + np.exp(-x @ w)), 1e-6, 1 - 1e-6)
+                    loss = float(-(weight * (target * np.log(p) + (1 - target) * np.log(1 - p))).mean())
+                    if loss < best:
+                        best, segment, cut, chosen = loss, size, least, w
+            weights = chosen
+        ((ordinary, toxic),) = dictionaries(self.words, self.y, np.ones(len(self.low), bool), (segment,))
+        return Model(ordinary, toxic, cut, weights)
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
-    """Fit on labelled texts, in the given order.
+    """Fit on labelled texts, in the given order, here and now.
 
     The calibration sees every text through dictionaries trained without its fold; the dictionaries of
-    the model are trained on all texts.  Copies of earlier texts are left out.
+    the model are trained on all texts.
     """
-    low = [t.encode().translate(_UPPER.tobytes()) for t in texts]
-    once = _without_copies(low)
-    low, y = [t for t, k in zip(low, once, strict=True) if k], np.asarray(toxic)[once]
-    words, fold = _Words(low), np.arange(len(low)) % FOLDS
-    model = Model(*dictionaries(words, y, np.ones(len(low), bool)), 1, np.array([0.0] * 6 + [-2.0]))
-    if len(set(y.tolist())) < 2:  # without rows of both classes nothing is called toxic
-        return model
-    saved = []
-    for f in range(FOLDS):
-        other, held = Model(*dictionaries(words, y, fold != f), 1, model.weights), np.flatnonzero(fold == f)
-        for some in np.array_split(held, len(held) // 256 + 1):
-            saved.append(other.savings(pa.array([low[i].decode() for i in some.tolist()], pa.string())))
-    target = np.concatenate([y[fold == f] for f in range(FOLDS)]).astype(float)
-    # half way between the rows as they are and classes of equal weight: a missed toxic text costs more than a false alarm
-    weight = np.where(target == 1, np.sqrt((target == 0).sum() / (target == 1).sum()), 1.0)
-    best = np.inf
-    for cut in (1, 2, 3):
-        x = np.vstack([Model(b"", b"", cut, model.weights).features_of(*s) for s in saved])
-        w = _logistic(x, target, weight)
-        p = np.clip(1 / (1 + np.exp(-x @ w)), 1e-6, 1 - 1e-6)
-        loss = float(-(weight * (target * np.log(p) + (1 - target) * np.log(1 - p))).mean())
-        if loss < best:
-            best, model.cut, model.weights = loss, cut, w
-    return model
+    sample = Sample(texts, toxic)
+    both = len(set(sample.y.tolist())) == 2
+    return sample.model([sample.held_out(f) for f in range(FOLDS)] if both else [])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
@@ -304,13 +325,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         some = marks.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(FIT_ROWS[y])
         sample.append(text.join(F.broadcast(some), "i").orderBy(F.xxhash64("i"), "i", "t").limit(FIT_ROWS[y]).select(F.col("i").cast("string").alias("i"), "t", "y"))
 
-    def run(batches):
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        rows.sort(key=lambda r: (zlib.crc32(r[0].encode()), r[1]))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64)))], pa.binary())], names=["model"])
-
-    # the sample is bounded, so one task fits it; the driver gets the dictionaries and weights alone
-    fitted = sample[0].unionByName(sample[1]).repartition(1).mapInArrow(run, "model binary").collect()
+    rows = stored(sample[0].unionByName(sample[1]))
+
+    def sampled(some: list[tuple[str, str, int]]) -> Sample:
+        some = sorted(some, key=lambda r: (zlib.crc32(r[0].encode()), r[1]))
+        return Sample([r[1] for r in some], np.array([r[2] for r in some], np.int64))
+
+    def held_out(batches):
+        folds: dict[int, list] = {}
+        for b in batches:
+            for fold, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                folds.setdefault(fold, []).append(tuple(row))
+        for fold, some in folds.items():
+            yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([pickle.dumps(sampled(some).held_out(fold))], pa.binary())], names=["fold", "saved"])
+
+    def final(batches):
+        some, saved = [], {}
+        for b in batches:
+            for i, t, y, fold, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if data is None:
+                    some.append((i, t, y))
+                else:
+                    saved[fold] = pickle.loads(data)
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(sampled(some).model([saved[f] for f in range(FOLDS)]))], pa.binary())], names=["model"])
+
+    # the sample is bounded: a task for each fold reads it, and one more that trains the model of all; the driver gets the model alone
+    each = rows.select(F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))).alias("fold"), "i", "t", "y")
+    saved = each.repartition(4 * FOLDS, "fold").mapInArrow(held_out, "fold int, saved binary")
+    none = lambda kind: F.lit(None).cast(kind)
+    both = rows.select("i", "t", "y", none("int").alias("fold"), none("binary").alias("saved")).unionByName(saved.select(none("string").alias("i"), none("string").alias("t"), none("int").alias("y"), "fold", "saved"))
+    fitted = both.repartition(1).mapInArrow(final, "model binary").collect()
     return pickle.loads(fitted[0][0]) if fitted else fit([], np.zeros(0, np.int64))
 
 
