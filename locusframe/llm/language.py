@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ._common import add_columns, stored
 from ._shingles import buffers
@@ -88,15 +88,19 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 3, epochs: int = 4, rate: float = 0.5, batch: int = 32) -> Model:
-    """Train on pieces of the texts; every fifth text is kept back for calibration."""
+    """Train on pieces of the texts; every fifth text of a language is kept back for calibration, so that each language has one to train on."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     if len(names) < 2:
         return Model(names, np.zeros((BUCKETS, len(names))), np.zeros(len(names)), 1.0, 0.0)
-    y_all = np.array([names.index(x) for x in langs])
+    place = {x: i for i, x in enumerate(names)}
+    y_all = np.array([place[x] for x in langs])
+    seen, held = [0] * len(names), []
     pieces, y = [], []
     for i, t in enumerate(texts):
-        if i % 5 == 0:
+        seen[y_all[i]] += 1
+        if seen[y_all[i]] % 5 == 0:
+            held.append(i)
             continue
         raw = t.encode()
         for size in (PIECE, PIECE // 4, PIECE // 12):
@@ -123,7 +127,8 @@ def fit(texts: list[str], langs: list[str], seed: int = 3, epochs: int = 4, rate
             np.subtract.at(embed, ids, np.repeat(step * back, sizes, axis=0).astype(np.float32) * 4)
             steps += 1
     model = Model(names, (embed @ weight).astype(np.float32), bias, 1.0, 0.0)
-    held = [i for i in range(0, len(texts), 5)]
+    if not held:
+        return model
     logits = model.logits(pa.array([texts[i] for i in held], pa.string()))
     losses = {s: -np.log(np.clip(_softmax(logits * s)[np.arange(len(held)), y_all[held]], 1e-9, 1)).mean() for s in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0, 8.0)}
     model.scale = min(losses, key=losses.get)
@@ -134,24 +139,30 @@ def fit(texts: list[str], langs: list[str], seed: int = 3, epochs: int = 4, rate
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on a bounded sample of each language, drawn by a hash of id and text; see FIT_ROWS.
 
-    Every language of the rows is learned.  Of a text longer than FIT_CHARS a slice of that length is used, whose
-    place a hash gives.  Rows without text or language teach nothing; with fewer than two languages there is
-    nothing to tell apart, and without any the model knows none.
+    Every language of the rows is learned: the rows of the least hashes of each are taken, one at least.  Of a text longer
+    than FIT_CHARS a slice of that length is used, whose place a hash gives.  Rows without text or language teach
+    nothing; with fewer than two languages there is nothing to tell apart, and without any the model knows none.
+    One task fits the sample; the driver gets the model alone.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).filter("t is not null and l is not null and t <> ''")
-    counts = rows.groupBy("l").agg(F.count("*").alias("n"))
-    langs = counts.agg(F.count("*").alias("k"))
-    share = F.greatest(F.lit(1.0), F.least(F.lit(float(FIT_ROWS)), FIT_TOTAL / F.col("k"))) / F.col("n")
-    # a stored table of known size: the texts are not shuffled by language where it is small
-    shares = stored(counts.crossJoin(F.broadcast(langs)).select("l", share.alias("share")))  # one row
-    draw = F.pmod(F.xxhash64("i", "t"), F.lit(1_000_003)) / 1_000_003.0
+    rows = rows.withColumn("h", F.xxhash64("i", "t"))
+    langs = rows.select("l").distinct().count()
+    most = max(1, min(FIT_ROWS, FIT_TOTAL // max(1, langs)))
+    first = lambda df, *order: df.withColumn("place", F.row_number().over(W.partitionBy("l").orderBy(*order))).filter(F.col("place") <= most)
+    # hashes are ranked without the texts; a stored table of known size: the texts are not shuffled by language where it is small
+    last = stored(first(rows.select("l", "h"), "h").groupBy("l").agg(F.max("h").alias("last")))
     room = F.greatest(F.length("t") - FIT_CHARS, F.lit(0))
     piece = F.substr("t", 1 + F.pmod(F.xxhash64("i", F.lit(1)), room + 1).cast("int"), F.lit(FIT_CHARS))
-    some = rows.join(shares, "l").filter(draw < F.col("share")).select("i", piece.alias("t"), "l").collect()
-    if not some:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    some.sort(key=lambda r: (str(r["i"])[::-1], r["t"]))
-    return fit([r["t"] for r in some], [r["l"] for r in some])
+    some = rows.join(last, "l").filter("h <= last").select(F.col("i").cast("string").alias("i"), piece.alias("t"), "l", "h")
+    some = first(some, "h", "i", "t").select("i", "t", "l")
+
+    def run(batches):
+        taken = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        taken.sort(key=lambda r: (str(r[0])[::-1], r[1]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in taken], [r[2] for r in taken]))], pa.binary())], names=["model"])
+
+    fitted = some.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(fitted[0][0]) if fitted else fit([], [])
 
 
 def with_language(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
