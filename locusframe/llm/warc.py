@@ -40,7 +40,8 @@ def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     is a response and the others are revisits of it; all smaller ones are responses.  Rows
     that share the largest page_id are all responses.  A null html is an empty payload, a
     null page_id or url is left out of the headers; a null page_id never is the largest.
-    Line ends within a url are escaped.  Other columns are not read.
+    Line ends within a url are escaped.  Other columns are not read.  Record ids come from the rows, equal rows are
+    numbered, so writing again what a lost task wrote gives the same records.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(
@@ -50,26 +51,35 @@ def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         F.sha1(html.cast("binary")).alias("digest"),
         F.octet_length(html).cast("long").alias("bytes"),
     )
-    big = F.col("bytes") >= REVISIT_BYTES
+    own = F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest", F.col("url"))  # a null url leaves no space
+    base = base.withColumn("key", F.md5(own.cast("binary")))
+    # what the rows are told apart by, without the payloads
+    light = stored(base.select("key", "page_id", "digest", "bytes"))
     first = (
-        base.filter(big)
+        light.filter(F.col("bytes") >= REVISIT_BYTES)
         .groupBy("digest", "bytes")
-        .agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+        .agg(F.max("page_id").alias("keeper"), F.max_by("key", F.struct("page_id", "key")).alias("keeper_key"), F.count("*").alias("n"))
         .filter("n > 1 and keeper is not null")
-        .select("digest", "bytes", "keeper")
+        .select("digest", "bytes", "keeper", "keeper_key")
     )
-    # a stored table of known size: joined without moving the payloads where it is small; smaller payloads never meet it
-    rows = base.filter(big).join(stored(first), ["digest", "bytes"], "left").unionByName(base.filter(~big).withColumn("keeper", F.lit(None).cast("long")))
+    # stored tables of known size: joined without moving the payloads where they are small; smaller payloads never meet the first
+    repeated = stored(light.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    again = base.join(repeated, "key").groupBy("key").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "html", "digest", "bytes")], F.first("copies").alias("copies"))
+    again = again.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    base = base.join(repeated, "key", "left_anti").withColumn("copy", F.lit(1).cast("long")).unionByName(again)
+    big = F.col("bytes") >= REVISIT_BYTES
+    small = base.filter(~big).withColumns({"keeper": F.lit(None).cast("long"), "keeper_key": F.lit(None).cast("string")})
+    rows = base.filter(big).join(stored(first), ["digest", "bytes"], "left").unionByName(small)
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     rows = rows.select(
         "*",
-        F.monotonically_increasing_id().cast("string").alias("seq"),
+        F.concat_ws(" ", "key", "copy").alias("seq"),
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("kind"),
         F.when(revisit, F.col("keeper")).alias("refers"),
     )
 
-    def name(part: str) -> Column:
-        digest = F.md5(F.concat(F.lit(f"{path}/{part}/"), F.col("seq")).cast("binary"))
+    def name(part: str, seq: Column | None = None) -> Column:
+        digest = F.md5(F.concat(F.lit(f"{path}/{part}/"), F.col("seq") if seq is None else seq).cast("binary"))
         return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">"))
 
     shared = [("WARC-Target-URI", F.col("url")), ("WARC-Date", F.lit(date))]
@@ -86,6 +96,7 @@ def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
             *shared,
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
             ("WARC-Profile", F.when(F.col("kind") == "revisit", F.lit(REVISIT_PROFILE))),
+            ("WARC-Refers-To", F.when(F.col("kind") == "revisit", name("response", F.concat(F.col("keeper_key"), F.lit(" 1"))))),
             ("Content-Type", F.lit("application/http; msgtype=response")),
         ],
         http,
@@ -98,7 +109,7 @@ def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     metadata = _record("metadata", [("WARC-Record-ID", name("metadata")), *shared, tied, ("Content-Type", F.lit("application/warc-fields"))], notes)
     rows = rows.select("bytes", F.array(request, response, metadata).alias("records"))
     room, captures = 1 << 16, []  # bytes of a capture of the class, with its headers
-    most = base.agg(F.max("bytes")).first()[0]
+    most = light.agg(F.max("bytes")).first()[0]
     while most is not None and (not captures or captures[-1][1] < most):
         captures.append((captures[-1][1] + 1 if captures else 0, room - 4096, max(1, FILE_BYTES // room)))
         room *= SIZE_STEP
@@ -112,7 +123,7 @@ def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
 
 
 RECORD = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("type", "record_id", "concurrent_to", "target_uri", "date", "payload_digest")]
+    [T.StructField(n, T.StringType()) for n in ("type", "record_id", "concurrent_to", "refers_to", "target_uri", "date", "payload_digest")]
     + [T.StructField(n, T.BinaryType()) for n in ("http_head", "body")]
     + [T.StructField("body_sha1", T.StringType())]
 )
@@ -154,7 +165,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     A task holds one compressed file and a few records at a time.
     """
     bounded_batches(spark)
-    names = {"record_id": "warc-record-id", "concurrent_to": "warc-concurrent-to", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest"}
+    names = {"record_id": "warc-record-id", "concurrent_to": "warc-concurrent-to", "refers_to": "warc-refers-to", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest"}
 
     def run(batches):
         import hashlib
@@ -187,7 +198,7 @@ def assemble(records: DataFrame) -> DataFrame:
     without a response to belong to are put together under a null capture_id; no records, no rows.
     """
     own = F.col("type").isin("response", "revisit")
-    part = F.struct("record_id", "type", "target_uri", "date", "payload_digest", "http_head", "body", "body_sha1")
+    part = F.struct("record_id", "type", "refers_to", "target_uri", "date", "payload_digest", "http_head", "body", "body_sha1")
     return (
         records.withColumn("capture_id", F.when(own, F.col("record_id")).otherwise(F.col("concurrent_to")))
         .groupBy("capture_id")
