@@ -20,6 +20,8 @@ from ._common import bounded_batches, stored
 
 #: Rows of a candidate block and of a query block; bits of a cell in each dimension.
 BLOCK, QUERY_BLOCK, CELL_BITS = 4096, 512, 5
+#: Vectors that a block of queries holds open before those that later blocks have ruled out go.
+HELD = 1 << 21
 #: So many times k exact vectors are read first for each query.
 FIRST = 4
 _NULL_ID = np.int64(2**63 - 1)  # a null id sorts last
@@ -77,18 +79,44 @@ def bounds(queries: np.ndarray, block: dict[str, np.ndarray]) -> tuple[np.ndarra
     return np.clip(base + (below - loss)[:, None], *ends), np.clip(base + (above + loss)[:, None], *ends)
 
 
-def survivors(queries: np.ndarray, query_ids: np.ndarray, block: dict[str, np.ndarray], ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query that has others in the block: its number, the k highest lower bounds, and the places and upper
-    bounds of all vectors that these bounds leave open."""
-    lower, upper = bounds(queries, block)
-    for i in range(len(queries)):
-        others = np.flatnonzero(ids != query_ids[i])
-        if not len(others):
-            continue
-        own, n = lower[i, others], min(k, len(others))
-        best = np.partition(own, len(own) - n)[len(own) - n :]
-        open_ = others[upper[i, others] >= best.min()]
-        yield i, best, open_, upper[i, open_]
+class Open:
+    """What the blocks that a task has seen leave open for the queries of a block: their k highest lower bounds, and the
+    vectors whose upper bounds reach the k-th of these."""
+
+    def __init__(self, queries: dict[str, np.ndarray], k: int):
+        self.asks, self.ids, self.exact, self.k = queries["ask"], queries["ids"], queries["exact"], k
+        self.best = np.full((len(self.ids), k), -np.inf)
+        self.held: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]] = []  # block; queries, places and upper bounds
+        self.size = 0
+
+    def add(self, name: str, block: dict[str, np.ndarray]) -> None:
+        lower, upper = bounds(self.exact, block)
+        lower[self.ids[:, None] == block["ids"]] = -np.inf
+        n = min(self.k, lower.shape[1])
+        self.best = np.partition(np.concatenate([self.best, np.partition(lower, lower.shape[1] - n, axis=1)[:, lower.shape[1] - n :]], axis=1), n, axis=1)[:, n:]
+        query, place = np.nonzero((upper >= self.best.min(1)[:, None]) & (lower > -np.inf))
+        self.held.append((name, query, place, upper[query, place]))
+        self.size += len(query)
+        if self.size > HELD:
+            self.prune()
+
+    def prune(self) -> None:
+        """Leave out what later blocks have ruled out."""
+        least = self.best.min(1)
+        self.held = [(name, q[on], at[on], up[on]) for name, q, at, up in self.held if (on := up >= least[q]).any()]
+        self.size = sum(len(h[1]) for h in self.held)
+
+    def rows(self, places: dict[str, np.ndarray]) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, np.ndarray]]:
+        """ask, block, lower bounds (once for each query), places and upper bounds."""
+        self.prune()
+        told = np.zeros(len(self.ids), bool)
+        for name, query, at, up in self.held:
+            cut = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1], [True]]))
+            for a, z in zip(cut, cut[1:], strict=False):
+                q = query[a]
+                own = self.best[q] if not told[q] else self.best[q, :0]
+                told[q] = True
+                yield self.asks[q], name, own[own > -np.inf], places[name][at[a:z]], up[a:z]
 
 
 def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -121,7 +149,8 @@ def top_k(
     ids of its score, and cannot ask.  A repeated query row is answered each time, a
     repeated vector found each time.  Empty tables give an empty result; only the two
     named columns are read.  Query blocks meet candidate blocks through a numbered
-    partition of the candidates, so no task holds more than two blocks of cells at once.
+    partition of the candidates, so no task holds more than two blocks of cells at once, and of
+    the vectors that are open only those that the best bounds of all its blocks leave open are passed on.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -187,17 +216,38 @@ def top_k(
             yield block()
 
     def scan(batches):
-        """For each query and block: the highest lower bounds, and the vectors they leave open with their upper bounds."""
+        """For each query of a run of rows: the highest lower bounds of its blocks, and the vectors they leave open with their upper bounds."""
+        asked, state, places = None, None, {}
+
+        def out():
+            rows = []
+
+            def batch():
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.list_(pa.int32())), pa.array([r[4] for r in rows], pa.list_(pa.float64()))],
+                    names=["ask", "block", "lower", "at", "upper"],
+                )
+
+            for r in state.rows(places):
+                rows.append(r)
+                if len(rows) == 512:
+                    yield batch()
+                    rows = []
+            if rows:
+                yield batch()
+
         for b in batches:
             for name, cells, asks in zip(*(b.column(i) for i in range(3)), strict=True):
-                block, q = _unpack(cells.as_py()), _unpack(asks.as_py())
-                rows = [(q["ask"][i], low, block["at"][place], up) for i, low, place, up in survivors(q["exact"], q["ids"], block, block["ids"], k)]
-                for at in range(0, len(rows), 128):
-                    some = rows[at : at + 128]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in some]), pa.array([name.as_py()] * len(some)), pa.array([r[1] for r in some], pa.list_(pa.float64())), pa.array([r[2] for r in some], pa.list_(pa.int32())), pa.array([r[3] for r in some], pa.list_(pa.float64()))],
-                        names=["ask", "block", "lower", "at", "upper"],
-                    )
+                if asks.as_py() != asked:
+                    if state is not None:
+                        yield from out()
+                    asked, places = asks.as_py(), {}
+                    state = Open(_unpack(asked), k)
+                block = _unpack(cells.as_py())
+                places[name.as_py()] = block["at"]
+                state.add(name.as_py(), block)
+        if state is not None:
+            yield from out()
 
     # stored, as the names are drawn once: the exact vectors by block and place, and the cells
     exact = stored(usable(vectors).mapInArrow(numbered, "block string, at int, id long, v array<long>"))
@@ -205,7 +255,8 @@ def top_k(
     own = usable(queries).filter("id is not null").mapInArrow(numbered, "block string, at int, id long, v array<long>")
     asks = stored(own.select(F.xxhash64("block", "at").alias("ask"), "id", "v"))
     blocks = asks.mapInArrow(asking, "queries binary").select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "queries")
-    found = stored(cells.join(blocks, "g").select("block", "cells", "queries").mapInArrow(scan, "ask long, block string, lower array<double>, at array<int>, upper array<double>"))
+    # a query block's rows come one after the other where the join keeps its left side's order; in any other order they give more rows, not others
+    found = stored(blocks.join(cells, "g").select("block", "cells", "queries").mapInArrow(scan, "ask long, block string, lower array<double>, at array<int>, upper array<double>"))
 
     def kth(rows: DataFrame, value: str) -> DataFrame:
         """The k-th highest value of each query that has so many."""

@@ -253,3 +253,30 @@ def test_warc_ids_come_from_the_rows(spark, tmp_path):
     warc.write_captures(spark.createDataFrame(rows[::-1], form).repartition(5), path)
     assert sorted(set(map(str, warc.read_records(spark, path).collect()))) == once
     assert warc.assemble(warc.read_records(spark, path)).count() == len(rows)
+
+
+def test_vectors_left_open_do_not_grow_with_the_blocks(monkeypatch):
+    """The bound of all blocks so far rules out later vectors, and earlier ones at the end."""
+    rng, k = np.random.default_rng(3), 5
+    vectors, queries = rng.integers(-200, 200, (6000, 16)), rng.integers(-200, 200, (20, 16))
+    scores = queries @ vectors.T
+    sizes = {}
+    for n in (10, 60):
+        state = vector_topk.Open({"ask": np.arange(20), "ids": np.arange(20), "exact": queries}, k)
+        for held in (1 << 21, 500):
+            monkeypatch.setattr(vector_topk, "HELD", held)
+        places = {}
+        for i in range(n):
+            own = np.arange(i * 100, i * 100 + 100)
+            places[str(i)] = np.arange(100)
+            state.add(str(i), {"ids": own, **vector_topk.cells_of(vectors[own])})
+        got = {q: set() for q in range(20)}
+        lower = {q: 0 for q in range(20)}
+        for ask, block, low, at, _ in state.rows(places):
+            got[ask] |= set((int(block) * 100 + at).tolist())
+            lower[ask] += len(low)
+        for q in range(20):
+            others = [i for i in range(n * 100) if i != q]
+            assert got[q] >= set(sorted(others, key=lambda i: -scores[q, i])[:k]) and lower[q] == k and q not in got[q]
+        sizes[n] = sum(map(len, got.values()))
+    assert sizes[60] < 2 * sizes[10]
