@@ -7,6 +7,7 @@ at once; sequences without a pair leave.  What survives are the tokens.
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
@@ -19,6 +20,8 @@ from ._shingles import buffers, mix
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 _NONE = np.int32(2**31 - 1)
 _STATE: dict = {}
+#: Sequences of more symbols are merged rank by rank through lists of places, so that a step costs what it merges.
+LONG = 256
 #: Distinct pre-tokens a worker remembers (10 bytes each); beyond it, it starts afresh.
 CACHE_ENTRIES = 2_000_000
 
@@ -108,6 +111,14 @@ class MergeTable:
 
     def count(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Tokens of each sequence; symbols holds all sequences (of one byte at least) on end."""
+        long = lengths > LONG
+        if long.any():
+            out = np.zeros(len(lengths), np.int64)
+            of_long = np.repeat(long, lengths)
+            out[long] = self._count_long(symbols[of_long], lengths[long])
+            if not long.all():
+                out[~long] = self.count(symbols[~of_long], lengths[~long])
+            return out
         out = lengths.astype(np.int64)
         active = np.arange(len(lengths))
         symbols = symbols.astype(np.int64)
@@ -137,6 +148,57 @@ class MergeTable:
         return out
 
 
+    def _count_long(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The same for long sequences: at each rank in turn, all its pairs of all sequences at once.
+
+        A pair that a merge makes has a higher rank than the merge, so each rank is met once.  Only the pairs beside
+        merges are ranked again.
+        """
+        n, symbols = len(symbols), symbols.astype(np.int64)
+        ends = np.cumsum(lengths)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        follow, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        follow[ends - 1], before[ends - lengths] = n, n  # n: none
+        symbols, follow, before = np.append(symbols, 0), np.append(follow, n), np.append(before, n)
+        rank = np.full(n + 1, _NONE, np.int32)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def place(at: np.ndarray) -> None:
+            """Rank the pairs that begin at these places."""
+            at = at[at < n]
+            rank[at] = np.where(follow[at] < n, self.ranks(symbols[at], symbols[follow[at]]), _NONE)
+            at = at[rank[at] != _NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            own = rank[at]
+            cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(at) else np.zeros(0, np.int64)
+            for r, some in zip(own[cut].tolist(), np.split(at, cut[1:]) if len(at) else (), strict=True):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(some)
+
+        place(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = waiting.pop(r)
+            at = np.unique(np.concatenate(at)) if len(at) > 1 else at[0]
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            if len(at) > 1:  # of overlapping pairs every other one
+                new_run = np.ones(len(at), bool)
+                new_run[1:] = follow[at[:-1]] != at[1:]
+                first = np.flatnonzero(new_run)
+                at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
+            gone = follow[at]
+            symbols[at], rank[gone], follow[at] = self.made[r], _NONE, follow[gone]
+            before[follow[at]] = at
+            lengths = lengths - np.bincount(owner[at], minlength=len(lengths))
+            place(np.unique(np.concatenate([at, before[at]])))
+        return lengths
+
+
 def _bpe(path: str) -> MergeTable:
     if path not in _STATE:
         _STATE[path] = MergeTable(path)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.llm import _components, _common, jaccard_join, language, line_dedup, mixing, toxicity, url_filter, vector_topk, warc
+from locusframe.llm import _components, _common, jaccard_join, language, line_dedup, mixing, token_counts, toxicity, url_filter, vector_topk, warc
 
 from test_corpus_operators import _components as brute_components, _prose, docs
 
@@ -280,3 +280,24 @@ def test_vectors_left_open_do_not_grow_with_the_blocks(monkeypatch):
             assert got[q] >= set(sorted(others, key=lambda i: -scores[q, i])[:k]) and lower[q] == k and q not in got[q]
         sizes[n] = sum(map(len, got.values()))
     assert sizes[60] < 2 * sizes[10]
+
+
+def test_token_counts_of_long_words(monkeypatch):
+    """Unbroken words are merged rank by rank; short texts through the same code equal the library too."""
+    import random
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(4)
+    library = Tokenizer.from_file(path)
+    number = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEF") for _ in range(100_000)), "a" * 9001, "ab" * 3000, "é" * 2000, "aab" * 999 + "b", "日本語" * 700]
+    began = time.perf_counter()
+    assert token_counts.count_texts(pa.array([" ".join(words), *words]), path).tolist() == [number(" ".join(words)), *map(number, words)]
+    assert time.perf_counter() - began < 20
+    monkeypatch.setattr(token_counts, "LONG", 1)
+    monkeypatch.setattr(token_counts, "_STATE", {})
+    texts = ["".join(rng.choice(["a", "b", "the", "ing", "é", "日", " ", "1", "!", "aa"]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    assert token_counts.count_texts(pa.array(texts), path).tolist() == list(map(number, texts))
