@@ -235,3 +235,15 @@ def one_hot_column(df: DataFrame, bases: str, seq_col: str = "sequence", out: st
         return compute
 
     return map_columns(df, [F.col(seq_col)], [T.StructField(out, T.ArrayType(T.DoubleType()))], make)
+
+
+def list_sums(df: DataFrame, column: str, total: str = "total", moment: str = "moment") -> DataFrame:
+    """The sum of each list of numbers, and the sum of its numbers times their places (from 1), in place of the column; null for a null list."""
+
+    def compute(columns: list[pa.Array]) -> list[pa.Array]:
+        flat, at = flat_lists(columns[0])
+        sums = np.concatenate([[0.0], np.cumsum(flat)]), np.concatenate([[0.0], np.cumsum(flat * (np.arange(len(flat)) - np.repeat(at[:-1], np.diff(at)) + 1))])
+        missing = columns[0].is_null().to_numpy(zero_copy_only=False)
+        return [pa.array(s[at[1:]] - s[at[:-1]], mask=missing) for s in sums]
+
+    return map_columns(df, [F.col(column)], [T.StructField(total, T.DoubleType()), T.StructField(moment, T.DoubleType())], lambda: compute).drop(column)

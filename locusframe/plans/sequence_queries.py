@@ -11,7 +11,6 @@ from .registry import query
 from .views import sql
 
 _ADD = lambda a: F.aggregate(a, F.lit(0.0), lambda x, v: x + v)
-_MOMENT = lambda a: _ADD(F.transform(a, lambda v, i: v * (i + 1)))
 
 
 def _hot(spark, d, view):
@@ -26,7 +25,9 @@ _BASES = "b AS (SELECT id, i, substr(seq, i, 1) AS b FROM (SELECT id, seq, unnes
 
 @query("one_hot_sequence", sql(f", {_BASES} SELECT id, (max(i) * 4)::INT AS size, count(*) FILTER (b <> 'N')::DOUBLE AS ones, coalesce(sum(CASE b WHEN 'A' THEN 4 * i - 3 WHEN 'T' THEN 4 * i - 2 WHEN 'C' THEN 4 * i - 1 WHEN 'G' THEN 4 * i END), 0)::DOUBLE AS moment FROM b GROUP BY id", "sequences"))
 def one_hot_sequence(spark, d, view=V.sequences):
-    return _hot(spark, d, view).filter("size(v) > 0").select("id", F.size("v").alias("size"), _ADD(F.col("v")).alias("ones"), _MOMENT(F.col("v")).alias("moment"))
+    from ..operators.kernels import list_sums
+
+    return list_sums(_hot(spark, d, view).filter("size(v) > 0").withColumn("size", F.size("v")), "v", "ones").select("id", "size", "ones", "moment")
 
 
 @query("one_hot_decode", sql("SELECT id, seq AS sequence FROM sequences", "sequences"))

@@ -126,3 +126,8 @@ def test_motifs_of_several_lengths(spark, frame, monkeypatch, wave):
     assert hits.keys() == every.keys() and all(hits[k] == pytest.approx(every[k]) for k in every) and len(every) > 100
     with pytest.raises(ValueError):
         Q.motif_hits(frame, motifs, 0.0)
+
+
+def test_sums_of_lists(spark):
+    df = spark.createDataFrame([(0, [1.5, 2.0, -1.0]), (1, []), (2, None), (3, [4.0])], "id long, v array<double>")
+    assert sorted(tuple(r) for r in K.list_sums(df, "v").collect()) == [(0, 2.5, 2.5), (1, 0.0, 0.0), (2, None, None), (3, 4.0, 4.0)]
