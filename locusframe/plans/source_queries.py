@@ -208,19 +208,22 @@ def write_windows(spark, d, view=V.sequences):
 
 @query("scan_featurized", sql("SELECT id * 50 AS start, (id % 9) + 0.25::DOUBLE AS feature, 2 AS size FROM sequences", "sequences"))
 def scan_featurized(spark, d):
-    return _featurized(spark, d)
+    """Windows and features read from their lines."""
+    return R.scan_featurized(spark, _featurized_text(spark, d)).select("start", F.get("features", F.lit(0)).alias("feature"), F.size("features").alias("size"))
 
 
-@query("write_featurized", sql("SELECT id * 50 AS start, (id % 9) + 0.25::DOUBLE AS feature, 2 AS size FROM sequences", "sequences"))
+@query("write_featurized", sql("SELECT id * 50 AS start, ((id % 9) + 0.25::DOUBLE)::VARCHAR || ',1.0' AS features FROM sequences", "sequences"))
 def write_featurized(spark, d):
-    return _featurized(spark, d)
+    """The lines as they lie there: the window's start, and its features behind the mark."""
+    lines = spark.read.text(_featurized_text(spark, d))
+    return lines.select(F.split_part("value", F.lit(","), F.lit(5)).cast("long").alias("start"), F.substring_index("value", "#", -1).alias("features"))
 
 
-def _featurized(spark, d):
+def _featurized_text(spark, d):
     path = shared_path(spark, "featurized")
     rows = _windows(spark, d).withColumn("features", F.array(F.col("start") / 50 % 9 + 0.25, F.lit(1.0)))
     W.write_featurized(rows, path)
-    return R.scan_featurized(spark, path).select("start", F.get("features", F.lit(0)).alias("feature"), F.size("features").alias("size"))
+    return path
 
 
 @query("record_csv", sql("SELECT id, contig, s AS start, e AS \"end\", round(signal, 6) AS signal FROM peaks", "peaks"))
@@ -326,11 +329,12 @@ def save_model(spark, d):
     return spark.read.parquet(_means(spark, d)).select("row", F.round("w", 6).alias("w"))
 
 
-@query("load_model", sql(f"{_MEANS}, m AS (SELECT list(w ORDER BY row) AS w FROM means) SELECT id, round(list_inner_product(features, w), 5) AS score FROM features, m", "features"))
+@query("load_model", sql(f"{_MEANS}, m AS (SELECT list(w ORDER BY row) AS w FROM means) SELECT id, round(list_inner_product(features, w) - list_inner_product(w, w) + 0.25, 5) AS score FROM features, m", "features"))
 def load_model(spark, d):
-    """Scores of all vectors under a model that was saved and loaded."""
-    w = O.load_model(spark, _means(spark, d))
-    return O.linear_predict(V.features(spark, d), w.reshape(-1)).select("id", F.round("score", 5).alias("score"))
+    """Scores of all vectors under a model with scaler and intercept that was saved and loaded: the mean vector weighs what is above the mean."""
+    w, path = O.load_model(spark, _means(spark, d)).reshape(-1), shared_path(spark, "scaled")
+    O.LinearModel(w, 0.25, w).save(spark, path)
+    return O.LinearModel.load(spark, path).predict(V.features(spark, d)).select("id", F.round("score", 5).alias("score"))
 
 
 @query(
