@@ -131,7 +131,7 @@ class Model:
 
 
 class _Words:
-    """The words of the fitting texts, and how often each text has each beginning of a word."""
+    """The words of the fitting texts."""
 
     def __init__(self, texts: list[bytes]):
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -140,20 +140,26 @@ class _Words:
         self.start, self.end = edge[::2], edge[1::2]
         begun = np.zeros(len(data), bool)
         begun[self.start] = True
-        self.raw = np.frombuffer(_placed(data, begun, self.space), np.uint8)
+        # placed part by part, at word starts, so that only a part's places are held
+        cuts = [0, *self.start[:: 1 << 18].tolist()[1:], len(data)]
+        self.raw = np.frombuffer(b"".join(_placed(data[a:z], begun[a:z], self.space[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)), np.uint8)
         self.ends = np.cumsum([len(t) + 1 for t in texts])
         self.owner = np.searchsorted(self.ends, self.start, side="right").astype(np.int32)
         self.length = np.bincount(self.owner, minlength=len(texts))
+        self.data = data
+
+    def _begun(self):
+        """For each length of beginnings: the words that are as long, their keys; texts, keys and counts.  One length is held at a time."""
         h = np.full(len(self.start), 0x9E3779B97F4A7C15, np.uint64)
-        self.begun: list[tuple[np.ndarray, ...]] = []  # for each length: keys of the words; texts, keys and counts
         for n in range(LONGEST):
             live = np.flatnonzero(self.start + n < self.end)
-            h[live] = (h[live] ^ data[self.start[live] + n]) * np.uint64(0xD6E8FEB86659FD93)
-            h[live] ^= h[live] >> np.uint64(32)
+            one = (h[live] ^ self.data[self.start[live] + n]) * np.uint64(0xD6E8FEB86659FD93)
+            one ^= one >> np.uint64(32)
+            h[live] = one
             if n + 1 >= LEAST:
-                key = (h[live] >> np.uint64(64 - KEY_BITS)).astype(np.int32)
+                key = (one >> np.uint64(64 - KEY_BITS)).astype(np.int32)
                 pair, times = np.unique(self.owner[live].astype(np.int64) << KEY_BITS | key, return_counts=True)
-                self.begun.append((key, (pair >> KEY_BITS).astype(np.int32), (pair & (1 << KEY_BITS) - 1).astype(np.int32), np.minimum(times, REPEATS).astype(np.uint8)))
+                yield live, key, (pair >> KEY_BITS).astype(np.int32), (pair & (1 << KEY_BITS) - 1).astype(np.int32), np.minimum(times, REPEATS).astype(np.uint8)
 
     def toxic(self, y: np.ndarray, used: np.ndarray) -> np.ndarray:
         """For each word the length of its beginning that is most over-represented in toxic ones of the used texts, or 0.
@@ -166,8 +172,7 @@ class _Words:
         if not min(words):
             return out
         p = words[1] / sum(words)
-        for n, (key, doc, pair, times) in enumerate(self.begun, LEAST):
-            live = np.flatnonzero(self.start + (n - 1) < self.end)
+        for n, (live, key, doc, pair, times) in enumerate(self._begun(), LEAST):
             count = lambda w: np.bincount(pair, w, 1 << KEY_BITS)  # noqa: E731, B023
             toxic, any_ = (used & (y == 1))[doc], used[doc]
             k1, k, square = count(times * toxic), count(times * any_), count(times.astype(float) ** 2 * any_)
@@ -198,7 +203,7 @@ class _Words:
         drop = np.zeros(len(self.raw) + 1, np.int8)
         np.add.at(drop, self.start[without], 1)
         np.add.at(drop, self.end[without], -1)
-        keep = np.cumsum(drop[:-1]) == 0
+        keep = np.cumsum(drop[:-1], dtype=np.int8) == 0
         for i in np.flatnonzero(texts).tolist():
             if size > TRAIN_BYTES:
                 break
