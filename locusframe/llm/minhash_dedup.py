@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, share: int = 80, k: int = 2, id_col: str =
     # buckets: members meet the first of their bucket; where that leaves some apart, all members meet
     rows = sketched.select("sig", F.explode("bands").alias("key"))
     keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("sig").alias("a")).filter("m > 1")
-    shared = stored(rows.join(keys, "key"))
+    shared = stored(rows.join(keys.hint("merge"), "key"))  # at every size the join whose hot keys are split
     stars = shared.filter("sig <> a").groupBy("a", "sig").agg(F.max("m").alias("m"))
     x, y = (sketches.select(F.col("sig").alias(c), F.struct("n", *_SKETCH).alias(v)) for c, v in (("a", "x"), ("sig", "y")))
     tried = stored(stars.join(y, "sig").join(x, "a").select("a", "sig", "m", _possible("x", "y", share, most).alias("near")))
