@@ -128,6 +128,35 @@ def test_motifs_of_several_lengths(spark, frame, monkeypatch, wave):
         Q.motif_hits(frame, motifs, 0.0)
 
 
+@pytest.mark.parametrize("wave", [50_000, 5])
+def test_best_motif_of_many(spark, frame, monkeypatch, wave):
+    """Motifs do not meet the texts one by one; long ones are compared between waves."""
+    monkeypatch.setattr(Q, "MOTIFS", wave)
+    monkeypatch.setattr(Q, "_best_by_join", lambda *a: pytest.fail("motifs are joined with the texts"))
+    rng = np.random.default_rng(6)
+    lengths = [3] * 60 + [1, 4, 5, 6, 6, 7, 9, 12, 6, 7, 8]
+    probs = {i: np.round(rng.dirichlet(np.full(4, 0.5), n), 1) for i, n in enumerate(lengths)}
+    motifs = spark.createDataFrame([(i, "t" if i % 2 else "u", len(p), p.ravel().tolist()) for i, p in probs.items()], "motif_id int, tf string, len int, probs array<double>")
+    windows = frame.unionByName(frame).selectExpr("id", "CASE WHEN id % 3 = 2 THEN 'v' WHEN id % 3 = 1 THEN 'u' ELSE 't' END AS tf", "sequence")
+    want = []
+    for i, t in enumerate(TEXTS):
+        hits = [(round(p, 12), -a, -m, p) for m, x in probs.items() if i % 3 == (0 if m % 2 else 1) for a, p in enumerate(motif_scores(t or "", x))]
+        top = max(hits, default=None)
+        want += [(i, None if t is None else len(t) // 2, 0.0) if top is None else (i, -top[1] + len(probs[-top[2]]) // 2, round(top[3], 9))] * 2
+    got = [(r.id, r.center, round(r.prob, 9)) for r in Q.best_motif_center(windows, motifs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_short_hits_are_looked_up(monkeypatch):
+    """Many motifs cost the texts no product for each place and motif."""
+    probs = np.tile([0.7, 0.1, 0.1, 0.1] + [0.25] * 4, (3000, 1))
+    stack = Q.MotifStack(list(enumerate(probs)))
+    monkeypatch.setattr(K, "BLOCK", 64)
+    code, at = K.letters(pa.array(["A" * 2000 + "CA", "C" * 500_000]), K.code_table("ACGT"))
+    sizes = [(len(place), place.max()) for _, _, place, p in stack.hits(code, at, 0.17) if (p == 0.7 * 0.25).all()]
+    assert sum(n for n, _ in sizes) == 3000 * 2000 and max(x for _, x in sizes) == 1999
+
+
 def test_sums_of_lists(spark):
     df = spark.createDataFrame([(0, [1.5, 2.0, -1.0]), (1, []), (2, None), (3, [4.0])], "id long, v array<double>")
     assert sorted(tuple(r) for r in K.list_sums(df, "v").collect()) == [(0, 2.5, 2.5), (1, 0.0, 0.0), (2, None, None), (3, 4.0, 4.0)]
