@@ -67,3 +67,41 @@ def test_near_positives_equal_the_plain_condition(spark, monkeypatch, hot):
     want = sorted([(r[0], 1) for r in rows if r[4] == 1] + [(x[0], 0) for x in rows if x[4] == 0 and any(y[4] == 1 and 200 < gap(x, y) < 700 for y in rows)])
     got = I.near_positives(spark.createDataFrame(rows, FORM + ", label int"), [])
     assert sorted((r.id, r.label) for r in got.collect()) == want
+
+
+def test_left_join_stores_no_pairs(spark):
+    """Rows without a partner are added to the pairs; nothing is joined or shuffled after the pairs are made."""
+    rows = spark.createDataFrame([(0, "c", 0, 20), (1, "c", 30, 40), (2, "d", 0, 9), (3, "c", 7, 7), (4, None, 0, 9)], FORM)
+    other = spark.createDataFrame([(9, "c", 19, 30)], FORM)
+    out = I.overlap_join(rows, other, how="left")
+    assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+    assert sorted(((r.id, r.r_id) for r in out.collect())) == [(0, 9), (1, None), (2, None), (3, None), (4, None)]
+
+
+@pytest.mark.parametrize("together", [4096, 3])
+def test_equal_bounds_meet_as_one(spark, monkeypatch, together):
+    """Copies do not multiply what the join compares, and all of their pairs are given."""
+    monkeypatch.setattr(I, "TOGETHER", together)
+    met, real = [], I._meet
+    monkeypatch.setattr(I, "_meet", lambda *a: met.append(real(*a)) or met[0])
+    rows = spark.range(50).select("id", F.lit("c").alias("contig"), F.lit(10).cast("long").alias("start"), (F.lit(20) + F.col("id") % 2).alias("end"))
+    pairs = I.overlap_join(rows, rows).select("id", "r_id").collect()
+    assert sorted(map(tuple, pairs)) == [(i, j) for i in range(50) for j in range(50)]
+    assert met[0].count() == 4 if together == 4096 else 4 < met[0].count() < 2500
+
+
+def test_largest_before_across_bins_and_runs(spark):
+    rng = np.random.default_rng(3)
+    values = [("c" if i % 2 else "d", int(a), int(v)) for i, (a, v) in enumerate(rng.integers(-300, 900, (60, 2)))]
+    places = [(k, int(a)) for k in ("c", "d", "e") for a in rng.integers(-350, 950, 80)]
+    got = I.largest_before(spark.createDataFrame(values, "k string, __at long, __v long"), spark.createDataFrame(places, "k string, __at long"), ["k"], 5).collect()
+    want = {(k, a): max(v) for k, a in places if (v := [y for x, b, y in values if x == k and b < a])}
+    assert {(r[0], r[1]): r[2] for r in got} == want and len(got) == len(want)
+
+
+def test_near_positives_meet_no_pairs(spark, monkeypatch):
+    """Hundreds of positives near a negative are one lookup."""
+    monkeypatch.setattr(I, "_meet", lambda *a: pytest.fail("pairs are made"))
+    df = spark.createDataFrame([(0, "c", "x", 1000, 1100, 0), (1, "c", "x", 100, 301, 1), (2, "c", "y", 100, 300, 0), (3, "d", "x", 0, 9, 0), (4, "c", "x", 500, 500, 0), (5, "c", "x", 500, 502, 0)], "id long, contig string, cell_type string, start long, end long, label int")
+    assert sorted(r.id for r in I.near_positives(df, ["cell_type"]).collect()) == [1]
+    assert sorted(r.id for r in I.near_positives(df, ["cell_type"], window=199).collect()) == [1, 4, 5]
