@@ -160,3 +160,28 @@ def test_short_hits_are_looked_up(monkeypatch):
 def test_sums_of_lists(spark):
     df = spark.createDataFrame([(0, [1.5, 2.0, -1.0]), (1, []), (2, None), (3, [4.0])], "id long, v array<double>")
     assert sorted(tuple(r) for r in K.list_sums(df, "v").collect()) == [(0, 2.5, 2.5), (1, 0.0, 0.0), (2, None, None), (3, 4.0, 4.0)]
+
+
+def test_one_hot_kernels_equal_the_column_functions(spark, frame):
+    """The kernels take whole batches; the column functions state what they give."""
+    from locusframe.functions import sequence as S
+
+    hot = K.one_hot_column(frame, "ATCG").select("id", "v").cache()
+    by_id = lambda df, c: {r["id"]: r[c] for r in df.collect()}
+    assert by_id(K.text_of_one_hot(hot, "ATCG"), "sequence") == by_id(hot.filter("v IS NOT NULL").select("id", S.one_hot_text(F.col("v")).alias("s")).unionByName(hot.filter("v IS NULL").selectExpr("id", "CAST(NULL AS string) s")), "s")
+    full = hot.filter("v IS NOT NULL")
+    assert by_id(K.gram_counts(full, 8), "grams") == by_id(full.select("id", F.size(S.ngrams(F.col("v"), 8)).alias("g")), "g")
+    norms, want = by_id(K.gram_norms(full, 3), "norm"), by_id(full.filter("size(v) >= 12").select("id", S.conv_norm(S.ngrams(F.col("v"), 3)).alias("g")), "g")
+    assert all(norms[i] == pytest.approx(w) for i, w in want.items()) and len(want) > 2
+    raised = frame.filter("sequence IS NOT NULL").withColumn("signal", F.array(F.lit(2.5), F.lit(None).cast("double"), F.lit(1.0)))
+    assert by_id(K.one_hot_signals(raised, "ATCG"), "v") == by_id(raised.select("id", S.one_hot_signal(F.col("sequence"), F.col("signal")).alias("v")), "v")
+
+
+def test_repeated_grams_are_made_once():
+    """What a text repeats costs its cosines once."""
+    made = []
+    filters = np.random.default_rng(2).normal(size=(3, 32))
+    code, at = K.letters(pa.array(["ACGTTGCAN" * 400, "ACG", "ACGTTGCA"]), K.code_table("ATCG"))
+    got = K.BaseFilters(filters, lambda z: made.append(len(z)) or np.cos(z)).features(code, at)
+    assert sum(made) <= 20
+    assert np.allclose(got, [plain(one_hot(t), filters, 4) for t in ("ACGTTGCAN" * 400, "ACG", "ACGTTGCA")])
