@@ -185,3 +185,9 @@ def test_repeated_grams_are_made_once():
     got = K.BaseFilters(filters, lambda z: made.append(len(z)) or np.cos(z)).features(code, at)
     assert sum(made) <= 20
     assert np.allclose(got, [plain(one_hot(t), filters, 4) for t in ("ACGTTGCAN" * 400, "ACG", "ACGTTGCA")])
+
+
+def test_pairs_are_counted_in_batches(spark):
+    texts = ["ACCA", None, "", "A", "éA", "CCé"]
+    got = {r.pair: r.n for r in Q.pair_totals(spark.createDataFrame([(t,) for t in texts], "sequence string").coalesce(1)).collect()}
+    assert got == {"AC": 1, "CC": 2, "CA": 1, "éA": 1, "Cé": 1}
