@@ -127,6 +127,22 @@ def test_vocabulary_is_exact_with_small_summaries(spark, capacity):
     assert Q.ngram_features(df, []).filter("size(places) > 0").count() == 0
 
 
+def test_vocabulary_without_drops_reads_the_texts_once(spark, monkeypatch):
+    """Small alphabets are numbered, others hashed; if no summary dropped an n-gram, its counts are the result."""
+    monkeypatch.setattr(Q, "_exact", lambda *_: pytest.fail("a second scan"))
+    rng = random.Random(4)
+    texts = [None, "", "n"] + ["".join(rng.choice("acgtn" if i % 2 else "acgtné€😀") for _ in range(rng.randint(0, 60))) for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, sequence string").repartition(3)
+    grams = [{t[i : i + k] for k in (6, 7) for i in range(len(t or "") - k + 1)} if t else set() for t in texts]
+    want = sorted(Counter(g for some in grams for g in some).items(), key=lambda x: (-x[1], x[0].encode()))[:40]
+    for kinds in (1 << 20, 1):
+        monkeypatch.setattr(Q, "KINDS", kinds)
+        assert [(r.gram, r.n) for r in Q.ngram_vocabulary(df, top=40).orderBy("place").collect()] == want
+        names = [g for g, _ in want]
+        found = {r.id: r.places for r in Q.ngram_features(df, names, keep=("sequence",)).collect()}
+        assert found == {i: [p for p, g in enumerate(names) if g in some] for i, some in enumerate(grams)}
+
+
 def test_categories_of_one_table_on_another(spark, monkeypatch):
     fitted = spark.createDataFrame([("b",), ("a",), ("b",), (None,), ("c",), ("a",)], "v string")
     names = L.fit_categories(fitted, "v")
