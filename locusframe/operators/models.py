@@ -11,21 +11,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..files import materialised
 from ..functions.sequence import dot
+from .kernels import bit_rows
 from .metrics import tagged_metrics
 from .splits import keep_by_hash
 
 
-#: Numbers of one row of a packed matrix.
-PACK = 32_768
+#: Numbers of one row of a packed matrix; rows of one product.
+PACK, ROWS = 32_768, 2048
 
 
 def _matrix(batch: pa.RecordBatch, intercept: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The features of the first column, with ones last if asked, and the labels of the second."""
-    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float)
-    x = x.reshape(len(batch), len(x) // max(1, len(batch)))
+    """The features of the first column, arrays or bits, with ones last if asked, and the labels of the second."""
+    if pa.types.is_binary(batch.column(0).type) or pa.types.is_large_binary(batch.column(0).type):
+        x = bit_rows(batch.column(0))
+    else:
+        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float)
+        x = x.reshape(len(batch), len(x) // max(1, len(batch)))
     return np.column_stack([x, np.ones(len(x))]) if intercept else x, batch.column(1).to_numpy(zero_copy_only=False).astype(float)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of at most ROWS rows."""
+    for b in batches:
+        for a in range(0, len(b), ROWS):
+            yield b.slice(a, ROWS)
+
+
 def _pieces(key: int, part: int, flat: np.ndarray) -> pa.RecordBatch:
     """Numbers of (key, part), in rows of PACK."""
     at = range(0, len(flat), PACK)
@@ -56,6 +67,15 @@ def _joined(pieces: list[tuple[int, bytes]]) -> np.ndarray:
     return np.concatenate([np.frombuffer(data) for _, data in sorted(pieces)])
 
 
+def _newton(curve: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """The step of a curvature that is positive definite by its penalty, or the shortest step of another."""
+    try:
+        np.linalg.cholesky(curve)
+        return np.linalg.solve(curve, slope)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(curve, slope, rcond=None)[0]
+
+
 def _square(flat: np.ndarray) -> np.ndarray:
     """The symmetric matrix of an upper triangle."""
     d = int((np.sqrt(8 * len(flat) + 1) - 1) / 2)
@@ -332,7 +352,7 @@ def fold_scores(df: DataFrame, models: DataFrame, features: str = "features", la
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for b in filter(len, batches):
+        for b in _blocks(batches):
             x, y = _matrix(b)
             row, fold = _members(b.column(2))
             for f in np.unique(fold).tolist():
@@ -346,24 +366,27 @@ def fold_scores(df: DataFrame, models: DataFrame, features: str = "features", la
     return _rows(df, features, label, F.coalesce("test_folds", F.array().cast("array<int>")).alias("test_folds")).mapInArrow(run, form)
 
 
-def fold_logistic(df: DataFrame, n_folds: int, iterations: int, reg: float, features: str = "features", label: str = "label") -> DataFrame:
+def fold_logistic(df: DataFrame, n_folds: int, iterations: int, reg: float, features: str = "features", label: str = "label", written: bool = False) -> DataFrame:
     """fold and weights (the intercept last) of logistic models, all folds a scan for each Newton step.
 
-    df has train_folds.  reg, times the rows of a fold, holds the weights down, but not the intercept.  A fold without
+    df has train_folds; it is written first if it is not a written table already.  features are arrays, or bits of zeros and
+    ones, of which the zeros up to a whole byte are features without weight (reg above 0).  reg, times the rows of a fold, holds the weights down, but not the intercept.  A fold without
     training rows has no model.
     """
-    rows = materialised(_rows(df, features, label, F.coalesce("train_folds", F.array().cast("array<int>")).alias("train_folds")))
+    rows = _rows(df, features, label, F.coalesce("train_folds", F.array().cast("array<int>")).alias("train_folds"))
+    rows = rows if written else materialised(rows)
     weights: dict[int, np.ndarray] = {}
     for _ in range(iterations):
 
         def step(batches: Iterator[pa.RecordBatch], weights=dict(weights)) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
-            for b in filter(len, batches):
+            for b in _blocks(batches):
                 (x, y), (row, fold) = _matrix(b, intercept=True), _members(b.column(2))
                 for f in np.unique(fold).tolist():
                     one = x[row[fold == f]]
                     p = 1 / (1 + np.exp(-(one @ weights[f]))) if f in weights else np.full(len(one), 0.5)
-                    curve = one.T @ (one * (p * (1 - p))[:, None])
+                    half = one * np.sqrt(p * (1 - p))[:, None]
+                    curve = half.T @ half  # numpy makes one triangle of a matrix and itself
                     own = np.concatenate([[len(one)], one.T @ (y[row[fold == f]] - p), curve[np.triu_indices(len(curve))]])
                     sums[f] = sums[f] + own if f in sums else own
             for f, flat in sums.items():
@@ -379,7 +402,7 @@ def fold_logistic(df: DataFrame, n_folds: int, iterations: int, reg: float, feat
                 d = int((np.sqrt(8 * (len(flat) - 1) + 9) - 3) / 2)
                 w = weights.get(f, np.zeros(d))
                 penalty = np.append(np.full(d - 1, reg * flat[0]), 0.0)
-                w = w + np.linalg.lstsq(_square(flat[1 + d :]) + np.diag(penalty), flat[1 : 1 + d] - penalty * w, rcond=None)[0]
+                w = w + _newton(_square(flat[1 + d :]) + np.diag(penalty), flat[1 : 1 + d] - penalty * w)
                 yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([w], pa.list_(pa.float64()))], names=["fold", "weights"])
 
         summed = _added(rows.mapInArrow(step, _PIECE_FORM))
@@ -419,6 +442,6 @@ def cross_validate_logistic(df: DataFrame, n_folds: int, iterations: int, reg: f
     """fold, counts and metrics of logistic models; df has train_folds and test_folds.  Where gate is false the score is 0."""
     gate = F.lit(True) if gate is None else gate
     data = materialised(df.select("label", "features", gate.alias("gate"), "train_folds", "test_folds"))
-    scored = fold_scores(data.filter("gate"), fold_logistic(data, n_folds, iterations, reg), link="logistic").withColumn("score", F.round("score", 6))
+    scored = fold_scores(data.filter("gate"), fold_logistic(data, n_folds, iterations, reg, written=True), link="logistic").withColumn("score", F.round("score", 6))
     shut = data.filter("NOT gate").select(F.explode("test_folds").alias("fold"), F.col("label").cast("double").alias("label"), F.lit(0.0).alias("score"))
     return _every_fold(tagged_metrics(scored.unionByName(shut), tag, keys=["fold"]), _fold_counts(data), n_folds)

@@ -216,28 +216,49 @@ def job_cv_kernel(spark, d):
     return _cv(spark, d, X.featurize_sequence(V.sequence_windows(spark, d), X.gaussian_filters(32, 32)).select("id", "features"))
 
 
+def _place(column, kinds):
+    """Place of a value among the categories (from 0); null for others."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, kinds)), column.cast("string")), F.lit(0)) - 1 if kinds else F.lit(None)
+
+
+def _onehot_bits(texts, kinds, lang="lang"):
+    """The one-hot vector of each window of the texts, and indicators of their language, as bits; zeros where a document's last window ends."""
+    from ..operators.kernels import one_hot_bits
+
+    return one_hot_bits(V.windowed(texts), "ATCG", 200, len(kinds), _place(F.col(lang), kinds))
+
+
 def _onehot_features(spark, d):
-    """The one-hot vector of each window, and indicators of its document's language."""
-    from ..functions.labels import category_features, fit_categories
-    from ..operators.kernels import one_hot_column
+    """The same as numbers, of all documents."""
+    from ..functions.labels import fit_categories
+    from ..operators.kernels import unpacked
 
     docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
-    # the last window of a document is padded with letters whose code is zeros
-    hot = one_hot_column(V.sequence_windows(spark, d).select("id", F.rpad("sequence", 200, "N").alias("sequence")), "ATCG", out="hot")
-    return hot.join(docs, "id").select("id", F.concat("hot", category_features(F.col("lang"), fit_categories(docs, "lang"))).alias("features"))
+    kinds = fit_categories(docs, "lang")
+    return unpacked(_onehot_bits(V.whole_sequences(spark, d).join(docs, "id"), kinds), 800 + len(kinds)).select("id", "features")
 
 
 @query("job_cv_onehot")
-def job_cv_onehot(spark, d):
+def job_cv_onehot(spark, d, folds=3):
     """A language that a fold holds out has an indicator that is zero in all its training rows, and so no weight."""
-    return _cv(spark, d, _onehot_features(spark, d))
+    from ..functions.labels import fit_categories
+
+    docs = _documents(spark, d)
+    texts = P.with_holdouts(V.whole_sequences(spark, d).join(docs, "id"), P.holdout_folds(docs, 1, 3, folds=folds))
+    bits = _onehot_bits(texts.filter(_USED), fit_categories(V.table(spark, d, "documents"), "lang"), "cell_type")
+    return O.cross_validate_logistic(bits, folds, 5, 0.1)
+
+
+#: Rows that some fold trains or tests.
+_USED = "size(train_folds) > 0 OR size(test_folds) > 0"
 
 
 @query("job_cv_ngrams")
 def job_cv_ngrams(spark, d, folds=2, top=1024):
     """The most frequent 6- and 7-grams and the language; vocabulary and categories are those of the fold's training documents."""
     from ..files import materialised
-    from ..functions.labels import category_features, fit_categories
+    from ..functions.labels import fit_categories
+    from ..operators.kernels import packed
     from ..operators.sequences import grams, ngram_features, ngram_vocabulary
 
     docs = materialised(P.with_holdouts(_documents(spark, d).join(V.whole_sequences(spark, d), "id"), P.holdout_folds(_documents(spark, d), 1, 3, folds=folds)))
@@ -245,10 +266,12 @@ def job_cv_ngrams(spark, d, folds=2, top=1024):
     for fold in range(folds):
         train = docs.filter(F.array_contains("train_folds", fold))
         names, kinds = grams(ngram_vocabulary(train, top=top)), fit_categories(train, "cell_type")
-        dense = F.transform(F.sequence(F.lit(0), F.lit(max(0, len(names) - 1))), lambda i: F.array_contains("places", i).cast("double"))
         own = lambda c, fold=fold: F.filter(c, lambda x: x == fold)
-        rows = docs.join(ngram_features(docs, names), "id").select("label", F.concat(dense, category_features(F.col("cell_type"), kinds)).alias("features"), own("train_folds").alias("train_folds"), own("test_folds").alias("test_folds"))
-        one = O.cross_validate_logistic(rows, folds, 5, 0.1).filter(F.col("fold") == fold)
+        rows = docs.withColumns({"train_folds": own("train_folds"), "test_folds": own("test_folds")}).filter(_USED)
+        rows = ngram_features(rows, names, keep=("label", "cell_type", "train_folds", "test_folds"))
+        width, kind = max(1, len(names)), _place(F.col("cell_type"), kinds)
+        places = F.concat("places", F.filter(F.array((kind + width).cast("int")), lambda x: x.isNotNull()))
+        one = O.cross_validate_logistic(packed(rows.withColumn("places", places), "places", width + len(kinds)), folds, 5, 0.1).filter(F.col("fold") == fold)
         out = one if out is None else out.unionByName(one)
     return out
 

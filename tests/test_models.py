@@ -127,6 +127,24 @@ def test_vocabulary_is_exact_with_small_summaries(spark, capacity):
     assert Q.ngram_features(df, []).filter("size(places) > 0").count() == 0
 
 
+def test_bits_give_the_models_of_their_numbers(spark):
+    from locusframe.operators.kernels import one_hot_bits, packed, unpacked
+
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("ATCGN") for _ in range(rng.randint(0, 5))), rng.choice([0, 2, None]), i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, sequence string, kind int, label int")
+    bits = one_hot_bits(df, "ATCG", 5, 3, F.col("kind"))
+    numbers = unpacked(bits, 23)
+    want = {i: [float(t[j : j + 1] == b) for j in range(5) for b in "ATCG"] + [float(kind == k) for k in range(3)] for i, t, kind, _ in rows}
+    assert {r.id: r.features for r in numbers.collect()} == want
+    places = numbers.withColumn("at", F.expr("filter(sequence(0, 22), i -> features[i] > 0)")).drop("features")
+    assert {r.id: bytes(r.features) for r in packed(places, "at", 23).collect()} == {r.id: bytes(r.features) for r in bits.collect()}
+    train, test = O.fold_sets(P.hash_fold(F.col("id"), 2), 2)
+    models = [{r.fold: np.array(r.weights) for r in O.fold_logistic(x.withColumns({"train_folds": train, "test_folds": test}), 2, 4, 0.1).collect()} for x in (bits, numbers)]
+    for f in range(2):  # bits are padded to 24 numbers, before the intercept
+        assert np.allclose(np.delete(models[0][f], 23), models[1][f]) and models[0][f][23] == pytest.approx(0)
+
+
 def test_vocabulary_without_drops_reads_the_texts_once(spark, monkeypatch):
     """Small alphabets are numbered, others hashed; if no summary dropped an n-gram, its counts are the result."""
     monkeypatch.setattr(Q, "_exact", lambda *_: pytest.fail("a second scan"))
