@@ -38,16 +38,20 @@ def cut_windows(cut: DataFrame, window: int = WINDOW, stride: int = STRIDE) -> D
     return cut.filter("start >= 0").withColumn("win_start", F.explode(starts)).withColumn("offset", (F.col("start") - F.col("win_start")).cast("int"))
 
 
+def sparse_pileup(hits: DataFrame, keys: list[str], value: str, window: int = WINDOW) -> DataFrame:
+    """cuts: the numbers of pileup that are there, as a list of (place, v)."""
+    place = F.col("offset") + F.when(F.col("strand") == "-", window).otherwise(0)
+    sums = hits.withColumn("place", place).groupBy(*keys, "place").agg(F.sum(value).alias("v"))
+    return sums.groupBy(*keys).agg(F.collect_list(F.struct("place", F.col("v").cast("double").alias("v"))).alias("cuts"))
+
+
 def pileup(hits: DataFrame, keys: list[str], value: str, window: int = WINDOW) -> DataFrame:
     """dnase: window numbers of the plus strand, then of the minus strand, summed by offset.
 
     hits has the keys, strand, offset and value; the sums are made before the arrays, so a
     group has at most 2 * window rows.
     """
-    place = F.col("offset") + F.when(F.col("strand") == "-", window).otherwise(0)
-    sums = hits.withColumn("place", place).groupBy(*keys, "place").agg(F.sum(value).alias("v"))
-    table = F.map_from_entries(F.collect_list(F.struct("place", F.col("v").cast("double"))))
-    grouped = sums.groupBy(*keys).agg(table.alias("m"))
+    grouped = sparse_pileup(hits, keys, value, window).select(*keys, F.map_from_entries("cuts").alias("m"))
     return grouped.select(*keys, once(F.transform(F.sequence(F.lit(0), F.lit(2 * window - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))).alias("dnase"))
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.sequence import ONE_HOT_BASES, signal_or_zeros
+from ..functions.sequence import ONE_HOT_BASES
 from . import kernels as K
 
 Nonlinearity = Callable[[np.ndarray], np.ndarray]
@@ -136,9 +136,25 @@ def featurize_sequence_phase(df: DataFrame, count: int, ngram: int, seed: int =
     return _featured(df, [F.col("sequence")], "features", make)
 
 
-def _strands(window: int) -> list[Column]:
-    signal = signal_or_zeros(F.col("dnase"), 2 * window)
-    return [F.slice(signal, 1, window), F.slice(signal, window + 1, window)]
+def _strands(column: pa.Array, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of both strands on end, and where each begins and ends; zeros for a null or empty signal."""
+    flat, at = _signal(column, 2 * window)
+    out = []
+    for first in (0, window):
+        n = np.clip(np.diff(at) - first, 0, window)
+        out.append((flat[K.ranges(at[:-1] + first, n)], np.concatenate([[0], np.cumsum(n)])))
+    return out
+
+
+def _signal(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all signals on end, and where each begins and ends; size zeros for one that is null or empty."""
+    flat, at = K.flat_lists(column)
+    own = np.diff(at)
+    n = np.where(own > 0, own, size)
+    to = np.concatenate([[0], np.cumsum(n)])
+    values = np.zeros(to[-1])
+    values[K.ranges(to[:-1], own)] = flat
+    return values, to
 
 
 def featurize_multiscale_signal(df: DataFrame, filters: np.ndarray, widths: tuple[int, ...] = (100, 50, 25, 12, 6), window: int = 200, seed: int = 0) -> DataFrame:
@@ -149,12 +165,12 @@ def featurize_multiscale_signal(df: DataFrame, filters: np.ndarray, widths: tupl
         banks = [_dense(gaussian_filters(len(filters), w, seed=seed + i), 1, np.cos, None) for i, w in enumerate(widths)]
 
         def f(columns: list[pa.Array]) -> np.ndarray:
-            strands = [np.prod([b(*K.flat_lists(c)) for b in banks], axis=0) for c in columns[1:]]
+            strands = [np.prod([b(*x) for b in banks], axis=0) for x in _strands(columns[1], window)]
             return np.hstack([bank.features(*K.letters(columns[0], table)), *strands])
 
         return f
 
-    return _featured(df, [F.col("sequence"), *_strands(window)], "features", make)
+    return _featured(df, [F.col("sequence"), F.col("dnase")], "features", make)
 
 
 def featurize_signal(df: DataFrame, filters: np.ndarray, signal_filters: np.ndarray | None = None, window: int = 200) -> DataFrame:
@@ -165,18 +181,18 @@ def featurize_signal(df: DataFrame, filters: np.ndarray, signal_filters: np.ndar
 
         def raised(columns: list[pa.Array]) -> np.ndarray:
             code, at = K.letters(columns[0], table)
-            flat, begin = K.flat_lists(columns[1])
+            flat, begin = _strands(columns[1], window)[0]
             values, n = np.ones(len(code)), np.minimum(np.diff(at), np.diff(begin))
             values[K.ranges(at[:-1], n)] += flat[K.ranges(begin[:-1], n)]
             return _dense(filters, 4, np.cos, None)(K.encoded(code, values), 4 * at)
 
         def apart(columns: list[pa.Array]) -> np.ndarray:
             strand = _dense(signal_filters, 1, np.cos, None)
-            return np.hstack([bank.features(*K.letters(columns[0], table)), *(strand(*K.flat_lists(c)) for c in columns[1:])])
+            return np.hstack([bank.features(*K.letters(columns[0], table)), *(strand(*x) for x in _strands(columns[1], window))])
 
         return raised if signal_filters is None else apart
 
-    return _featured(df, [F.col("sequence"), *_strands(window)], "features", make)
+    return _featured(df, [F.col("sequence"), F.col("dnase")], "features", make)
 
 
 def featurize_concat_raw(df: DataFrame, filters: np.ndarray, window: int = 200) -> DataFrame:
@@ -187,7 +203,7 @@ def featurize_concat_raw(df: DataFrame, filters: np.ndarray, window: int = 200)
 
         def f(columns: list[pa.Array]) -> np.ndarray:
             code, at = K.letters(columns[0], table)
-            flat, begin = K.flat_lists(columns[1])
+            flat, begin = _signal(columns[1], 2 * window)
             hot, n = 4 * np.diff(at), np.diff(begin)
             both = np.concatenate([[0], np.cumsum(hot + n)])
             values = np.empty(both[-1])
@@ -197,4 +213,4 @@ def featurize_concat_raw(df: DataFrame, filters: np.ndarray, window: int = 200)
 
         return f
 
-    return _featured(df, [F.col("sequence"), signal_or_zeros(F.col("dnase"), 2 * window)], "features", make)
+    return _featured(df, [F.col("sequence"), F.col("dnase")], "features", make)

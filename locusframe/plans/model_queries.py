@@ -54,10 +54,11 @@ def _stats(df):
 def _windows(spark, d):
     """All windows of all documents with the cuts of their reads piled up by strand; without cuts, dnase is null."""
     from ..operators import coverage as C
+    from ..operators.kernels import spread
 
     cut = C.cuts(V.document_reads(spark, d).select("contig", "start", "end", "strand")).filter("start >= 0")
     hits = cut.select(F.col("contig").cast("long").alias("id"), F.expr("start div 200").cast("int").alias("window"), "strand", (F.col("start") % 200).cast("int").alias("offset"), F.lit(1).alias("one"))
-    return V.sequence_windows(spark, d).join(C.pileup(hits, ["id", "window"], "one"), ["id", "window"], "left")
+    return spread(V.sequence_windows(spark, d).join(C.sparse_pileup(hits, ["id", "window"], "one"), ["id", "window"], "left"), "cuts", 400, "dnase")
 
 
 @query("random_features_fast")

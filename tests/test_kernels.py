@@ -191,3 +191,15 @@ def test_pairs_are_counted_in_batches(spark):
     texts = ["ACCA", None, "", "A", "éA", "CCé"]
     got = {r.pair: r.n for r in Q.pair_totals(spark.createDataFrame([(t,) for t in texts], "sequence string").coalesce(1)).collect()}
     assert got == {"AC": 1, "CC": 2, "CA": 1, "éA": 1, "Cé": 1}
+
+
+def test_windows_of_zeros_are_not_multiplied():
+    seen, rng = [], np.random.default_rng(2)
+    flat, at, filters = np.zeros(600), np.array([0, 200, 203, 400, 600]), rng.normal(size=(3, 10))
+    flat[[5, 450, 452]] = 1.0, 2.0, -2.0
+    for phase in (None, rng.normal(size=3)):
+        got = K.convolved(flat, at, lambda x: seen.append(len(x)) or x @ filters.T, 10, 3, 1, np.cos, phase)
+        for i, (a, z) in enumerate(zip(at, at[1:])):
+            w = np.lib.stride_tricks.sliding_window_view(flat[a:z], 10) if z - a >= 10 else np.zeros((0, 10))
+            assert np.allclose(got[i], np.cos(w @ filters.T + (0 if phase is None else phase)).sum(0) * np.sqrt(2 / 3))
+    assert seen == [18, 18]  # 6 of the first text, 12 of the last
