@@ -50,7 +50,8 @@ def submission_chromosome(contig: Column) -> Column:
 
 def name_part(path: Column, part: int) -> Column:
     """A dot-separated part of the file name in a path; Spark's part files count to their folder."""
-    file = F.regexp_extract(path, r"([^/]+?)(?:/part-[^/]*)?$", 1)
+    last, folder = F.substring_index(path, "/", -1), F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    file = F.when(last.startswith("part-") & (folder != ""), folder).otherwise(last)  # a pattern would be tried at every letter of the path, for each row
     return F.get(F.split(file, r"\."), F.lit(part))
 
 

@@ -221,3 +221,10 @@ def test_gram_in_several_pieces(spark, monkeypatch):
     full = np.column_stack([x, np.ones(50)])
     assert n == 50 and np.allclose(xx, full.T @ full) and np.allclose(xy, full.T @ y)
     assert O.gram(df.limit(0))[2] == 0
+
+
+def test_names_of_paths_without_a_pattern(spark):
+    paths = ["/a/expression.A549.tsv/part-0.csv", "expression.A549.tsv", "part-0.x", "/part-0.x", "/a/part-x.tsv/part-0.csv", "/a.b/", "/a/b.part-c.d"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select(L.name_part(F.col("p"), 0).alias("a"), L.name_part(F.col("p"), 1).alias("b"))
+    assert [tuple(r) for r in df.collect()] == [("expression", "A549"), ("expression", "A549"), ("part-0", "x"), ("part-0", "x"), ("part-x", "tsv"), ("", None), ("b", "part-c")]
+    assert "regexp" not in df._jdf.queryExecution().toString()
