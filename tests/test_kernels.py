@@ -128,6 +128,28 @@ def test_motifs_of_several_lengths(spark, frame, monkeypatch, wave):
         Q.motif_hits(frame, motifs, 0.0)
 
 
+def test_totals_of_equal_motifs_are_stored_as_runs(spark, tmp_path):
+    """Every sequence meets every motif, but files do not hold the total of equal motifs once for each."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("ACGT"), 60)) for _ in range(300)]
+    kinds, of = rng.dirichlet(np.full(4, 0.4), (30, 3)), rng.permutation(np.arange(3000) % 30)
+    motifs = spark.createDataFrame([(i, "t", 3, kinds[k].ravel().tolist()) for i, k in enumerate(of.tolist())], "motif_id int, tf string, len int, probs array<double>")
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, sequence string").coalesce(1)
+    Q.pwm_totals(frame, motifs).write.parquet(f"file://{tmp_path}/out")
+    got = spark.read.parquet(f"file://{tmp_path}/out").toPandas()
+    assert len(got) == len(got.drop_duplicates(["id", "motif_id"])) == 300 * 3000
+    want = np.array([[sum(motif_scores(t, k)) for k in kinds] for t in texts])
+    assert np.allclose(got["total"], want[got["id"], of[got["motif_id"]]])
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.7 * len(got)
+
+
+def test_totals_are_rounded_as_in_sql(spark, frame):
+    motifs = spark.createDataFrame([(0, "t", 1, [0.125, 0.375, 0.123456, 0.376544]), (1, "t", 1, [0.000005, 0.999985, 0.00001, 0.0])], "motif_id int, tf string, len int, probs array<double>")
+    totals = lambda **by: {(r.id, r.motif_id): r.total for r in Q.pwm_totals(frame, motifs, **by).collect()}
+    exact, rounded = totals(), totals(digits=5)
+    assert exact.keys() == rounded.keys() and len(exact) > 4 and all(rounded[k] == pytest.approx(exact[k], abs=5.1e-6) and rounded[k] == float(f"{rounded[k]:.5f}") for k in exact)
+
+
 @pytest.mark.parametrize("wave", [50_000, 5])
 def test_best_motif_of_many(spark, frame, monkeypatch, wave):
     """Motifs do not meet the texts one by one; long ones are compared between waves."""
