@@ -255,8 +255,9 @@ def top_k(
     own = usable(queries).filter("id is not null").mapInArrow(numbered, "block string, at int, id long, v array<long>")
     asks = stored(own.select(F.xxhash64("block", "at").alias("ask"), "id", "v"))
     blocks = asks.mapInArrow(asking, "queries binary").select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "queries")
-    # a query block's rows come one after the other where the join keeps its left side's order; in any other order they give more rows, not others
-    found = stored(blocks.join(cells, "g").select("block", "cells", "queries").mapInArrow(scan, "ask long, block string, lower array<double>, at array<int>, upper array<double>"))
+    # merged: the copies of the query blocks are many times the table of queries whose size the planner sees, too many to be broadcast through the driver;
+    # and a query block's rows come one after the other, as the join keeps its left side's order (in any other they give more rows, not others)
+    found = stored(blocks.hint("merge").join(cells, "g").select("block", "cells", "queries").mapInArrow(scan, "ask long, block string, lower array<double>, at array<int>, upper array<double>"))
 
     def kth(rows: DataFrame, value: str) -> DataFrame:
         """The k-th highest value of each query that has so many."""

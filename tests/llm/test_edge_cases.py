@@ -72,6 +72,21 @@ def test_topk_of_large_and_short_vectors_and_ties(spark):
     assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in vector_topk.top_k(frame, frame, k=3).collect()} == want
 
 
+def test_topk_does_not_broadcast_the_queries(spark, monkeypatch):
+    """Query blocks go to every group of candidates; all these copies would pass through the driver."""
+    plans = {}
+
+    def stored(df, keep=vector_topk.stored):
+        plans[tuple(df.columns)] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df)
+
+    monkeypatch.setattr(vector_topk, "stored", stored)
+    frame = spark.range(200).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.sin(F.col("id") * (i + 1))).alias("embedding"))
+    assert vector_topk.top_k(frame, frame.filter("vec_id % 10 = 0")).count() == 100
+    scan = plans["ask", "block", "lower", "at", "upper"]
+    assert "SortMergeJoin" in scan and "Broadcast" not in scan
+
+
 def test_topk_of_clustered_vectors_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector_topk, "BLOCK", 16)
     monkeypatch.setattr(vector_topk, "QUERY_BLOCK", 5)
