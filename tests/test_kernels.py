@@ -199,6 +199,25 @@ def test_one_hot_kernels_equal_the_column_functions(spark, frame):
     assert by_id(K.one_hot_signals(raised, "ATCG"), "v") == by_id(raised.select("id", S.one_hot_signal(F.col("sequence"), F.col("signal")).alias("v")), "v")
 
 
+def test_gram_matrix_is_made_and_its_rows_are_counted(spark, frame, monkeypatch):
+    """Each row of the matrix is there with its numbers, in blocks that end within a vector; the counts are those of its rows."""
+    from locusframe.functions import sequence as S
+
+    monkeypatch.setattr(K, "BLOCK", 100)
+    hot = K.one_hot_column(frame, "ATCG").select("id", "v").filter("v IS NOT NULL").orderBy("id").cache()
+    want = [[tuple(g) for g in r.g] for r in hot.select("id", S.ngrams(F.col("v"), 3).alias("g")).orderBy("id").collect()]
+    flat, at = K.flat_lists(pa.array([r.v for r in hot.orderBy("id").collect()], pa.list_(pa.float64())))
+    got = [[] for _ in want]
+    for vector, matrix in K.gram_matrices(flat, at, 3):
+        assert matrix.size <= 100
+        for i, row in zip(vector, matrix, strict=True):
+            got[i].append(tuple(row))
+    assert got == want and sum(map(len, want)) > 20
+    counted = K.gram_counts(hot.withColumn("w", F.col("v")), 3, "w").collect()
+    assert [r.grams for r in sorted(counted, key=lambda r: r.id)] == list(map(len, want))
+    assert not list(K.gram_matrices(np.zeros(0), np.zeros(1, np.int64), 3)) and not list(K.gram_matrices(np.zeros(8), np.array([0, 8, 8]), 3))
+
+
 def test_repeated_grams_are_made_once():
     """What a text repeats costs its cosines once."""
     made = []
