@@ -143,6 +143,35 @@ def test_totals_of_equal_motifs_are_stored_as_runs(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.7 * len(got)
 
 
+def test_hits_are_stored_as_runs(spark, tmp_path):
+    """Places of equal letters have the same motifs: files do not hold the number of each for each place."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ACGT"), 500)) for _ in range(20)]
+    probs = rng.dirichlet(np.full(4, 0.3), (2000, 3))
+    motifs = spark.createDataFrame([(i, "t", 3, p.ravel().tolist()) for i, p in enumerate(probs)], "motif_id int, tf string, len int, probs array<double>")
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, sequence string").coalesce(1)
+    Q.motif_hits(frame, motifs, 0.1).write.parquet(f"file://{tmp_path}/out")
+    got = spark.read.parquet(f"file://{tmp_path}/out").toPandas()
+    scores = np.stack([np.prod([p[j][[["ACGT".index(c) for c in t[j : len(t) - 2 + j]] for t in texts]] for j in range(3)], axis=0) for p in probs])
+    want = np.argwhere(scores >= 0.1)
+    assert sorted(map(tuple, got[["motif_id", "id", "place"]].to_numpy().tolist())) == list(map(tuple, want.tolist())) and len(want) > 500_000
+    assert np.allclose(got["prob"], scores[got["motif_id"], got["id"], got["place"]])
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.8 * len(got)
+
+
+def test_rows_of_motifs_are_made_from_lists(spark, frame):
+    """Python gives lists whose products are the rows, not each row of texts times motifs."""
+    stack = Q.MotifStack([(i, [0.7, 0.1, 0.1, 0.1] * 3) for i in range(3000)])
+    code, at = K.letters(pa.array(["A" * 1000, "CA", "AAA"]), K.code_table("ACGT"))
+    lists = list(stack.products(code, at, 0.3))
+    assert sum((np.diff(w) * np.diff(of)).sum() for _, _, w, _, _, of in lists) == 3000 * 999
+    assert sum(len(x[0]) + len(x[3]) for x in lists) < 3000 * 999 / 100
+    motifs = spark.createDataFrame([(0, "t", 1, [0.7, 0.1, 0.1, 0.1])], "motif_id int, tf string, len int, probs array<double>")
+    for rows in (Q.pwm_totals(frame, motifs), Q.motif_hits(frame, motifs, 0.1)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert -1 < plan.find("Generate") < plan.find("MapInArrow")
+
+
 def test_totals_are_rounded_as_in_sql(spark, frame):
     motifs = spark.createDataFrame([(0, "t", 1, [0.125, 0.375, 0.123456, 0.376544]), (1, "t", 1, [0.000005, 0.999985, 0.00001, 0.0])], "motif_id int, tf string, len int, probs array<double>")
     totals = lambda **by: {(r.id, r.motif_id): r.total for r in Q.pwm_totals(frame, motifs, **by).collect()}
