@@ -105,3 +105,20 @@ def test_near_positives_meet_no_pairs(spark, monkeypatch):
     df = spark.createDataFrame([(0, "c", "x", 1000, 1100, 0), (1, "c", "x", 100, 301, 1), (2, "c", "y", 100, 300, 0), (3, "d", "x", 0, 9, 0), (4, "c", "x", 500, 500, 0), (5, "c", "x", 500, 502, 0)], "id long, contig string, cell_type string, start long, end long, label int")
     assert sorted(r.id for r in I.near_positives(df, ["cell_type"]).collect()) == [1]
     assert sorted(r.id for r in I.near_positives(df, ["cell_type"], window=199).collect()) == [1, 4, 5]
+
+
+def test_overlap_join_shuffles_its_rows_once(spark):
+    """Rows are gathered for the join itself; levels and hot bins are counted without that."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    n = 60_000
+    start = F.pmod(F.xxhash64("id"), F.lit(50_000))
+    rows = spark.range(0, n, 1, 4).select("id", F.lit("chr1").alias("contig"), start.alias("start"), (start + 1 + F.col("id") % 5).alias("end"))
+    before = written()
+    pairs = I.overlap_join(rows, rows)
+    assert written() - before < 20 * 2 * n  # a count of each side's bounds
+    assert pairs.filter("id = r_id").count() == n
